@@ -1,10 +1,12 @@
 """The registered queries of the training-data operators, and their SQL where it can express them."""
 
-from irloom.llm import chat_format, decontaminate, exact_dedup, language_id, packing, secrets
+from irloom.llm import chat_format, decontaminate, exact_dedup, language_id, packing, secrets, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_decontaminate": (decontaminate.op1_decontaminate, decontaminate.SQL),
+    "op3_suffix_dedup": (suffix_dedup.op3_suffix_dedup, suffix_dedup.SQL),
     "op4_exact_dedup": (exact_dedup.op4_exact_dedup, exact_dedup.SQL),
+    "op5_substring_dedup": (substring_dedup.op5_substring_dedup, substring_dedup.SQL),
     "op6_language_id": (language_id.op6_language_id, language_id.SQL),
     "op8_packing": (packing.op8_packing, packing.SQL),
     "op9_secret_scan": (secrets.op9_secret_scan, secrets.SQL),
