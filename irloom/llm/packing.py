@@ -17,7 +17,9 @@ CAPACITY = 2048
 #: A window of remainders is packed when it holds POOL of them, until HALF are left; at most POOL * CAPACITY ids wait.
 POOL, HALF = 512, 256
 #: So many words' ids are remembered in a task.
-WORDS = 300_000
+WORDS = 1_000_000
+#: New words are encoded so many at a time.
+TOGETHER = 16
 END = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -48,23 +50,64 @@ def fill(counts: Counter, room: int) -> Counter:
 
 
 class WordIds:
-    """Ids of a text as bytes, word by word: this tokenizer's pieces never cross a space or line feed."""
+    """Ids of texts as bytes, word by word: this tokenizer's pieces never cross a space or line feed.
+
+    Letters A-Z are lower-cased first, as the tokenizer does itself (but for texts that may hold its
+    special tokens).  New words are encoded together, words of letters only as one text with a
+    digit, which is a piece of its own, between them.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split) - self.known.keys()
-        if len(self.known) + len(new) > WORDS:
-            self.known, new = {}, set().union(*split)
-        new = list(new)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        end, known = np.array([END], "<u4").tobytes(), self.known
-        return [b"".join([known[w] for w in words]) + end for words in split]
+        self.between = self.encode(["0"])[0]
+        self.stops = {c: self.encode([c])[0] for c in ".,"}
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, new: set[bytes]) -> None:
+        known, plain, other, stems = self.known, {}, {}, []
+        for w in new:
+            s = w.decode()
+            if s[-1:] in self.stops and s[:-1].isalpha():
+                stems.append((w, w[:-1], self.stops[s[-1]]))
+                if w[:-1] not in known:
+                    plain[w[:-1]] = s[:-1]
+            elif s.isalpha():
+                plain[w] = s
+            else:
+                other[w] = s
+        if plain:
+            names = list(plain.values())
+            parts = self.encode([" 0 ".join(names[i : i + TOGETHER]) + " 0" for i in range(0, len(names), TOGETHER)])
+            data, start = b"".join(parts), 0
+            ends = np.flatnonzero(np.frombuffer(data, "<u4") == np.frombuffer(self.between, "<u4")[0])
+            for w, end in zip(plain, ends.tolist(), strict=True):
+                known[w] = data[4 * start : 4 * end]
+                start = end + 1
+        known.update(zip(other, self.encode(list(other.values())), strict=True))
+        for w, stem, stop in stems:
+            known[w] = known[stem] + stop
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        split = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
+        if len(self.known) > WORDS:
+            self.known = {}
+        known, missing, out = self.known, [], []
+        for words in split:
+            ids, at = list(map(known.get, words)), -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                missing.append((ids, at, words[at]))
+            out.append(ids)
+        if missing:
+            self.learn({w for _, _, w in missing})
+        for ids, at, w in missing:
+            ids[at] = known[w]
+        end = np.array([END], "<u4").tobytes()
+        return [b"".join(ids) + end for ids in out]
 
 
 class Packer:
@@ -157,7 +200,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for doc_id, data in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                for doc_id, data in zip(part.column(0).to_pylist(), encode(part.column(1).cast(pa.binary()).to_pylist()), strict=True):
                     packer.add(doc_id, data)
             yield packer.taken()
         while packer.size:
