@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and their SQL where it can express them."""
 
-from irloom.llm import chat_format, decontaminate, exact_dedup, language_id, packing, secrets, substring_dedup, suffix_dedup
+from irloom.llm import chat_format, decontaminate, exact_dedup, language_id, near_dedup, packing, secrets, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_decontaminate": (decontaminate.op1_decontaminate, decontaminate.SQL),
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_exact_dedup": (exact_dedup.op4_exact_dedup, exact_dedup.SQL),
     "op5_substring_dedup": (substring_dedup.op5_substring_dedup, substring_dedup.SQL),
     "op6_language_id": (language_id.op6_language_id, language_id.SQL),
+    "op7_near_dedup": (near_dedup.op7_near_dedup, near_dedup.SQL),
     "op8_packing": (packing.op8_packing, packing.SQL),
     "op9_secret_scan": (secrets.op9_secret_scan, secrets.SQL),
     "op10_chat_format": (chat_format.op10_chat_format, chat_format.SQL),
