@@ -7,6 +7,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from irloom.llm.common import arrow_map, documents, id_and_text, set_checkpoint_dir
@@ -87,12 +88,11 @@ def likely(a: Column, b: Column, n_a: Column, n_b: Column, k: int = K) -> Column
 def exact_links(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     """Of pairs (a, b) those whose full shingle sets have 100 * intersection >= percent * union.
 
-    Each pair's smaller part travels: texts of the documents in pairs are read once, b's go to
-    their pairs, and the pairs of one a meet a's text in bounded shares.
+    Texts of the documents in pairs are read once; b's go to their pairs, and the pairs of one a
+    meet a's text in shares of about 512.
     """
-    pairs = pairs.withColumn("share", F.pmod(F.xxhash64("b"), F.lit(64)))
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    pairs = pairs.join(many, "a").withColumn("share", F.when(F.col("n") > 512, F.col("share")).otherwise(F.lit(0))).select("a", "b", "share")
+    of_a = W.partitionBy("a")
+    pairs = pairs.withColumn("share", F.pmod(F.xxhash64("b"), F.ceil(F.count(F.lit(1)).over(of_a) / 512)))
     used = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = id_and_text(docs).join(used, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
     left = pairs.select("a", "share").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "share", F.lit(None).cast("long").alias("b"), "text")
@@ -115,16 +115,22 @@ def exact_links(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFra
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, component (least id reachable) of the ids that have links, by taking the least label of neighbours and then that label's own."""
+    """id, component (least id reachable) of the ids that have links.
+
+    Each round a label becomes the least among the neighbours' labels, then that label's own label;
+    rounds are stored two at a time, and the last pair changes nothing.
+    """
     edges = links.union(links.select("b", "a")).distinct().checkpoint()
-    labels = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")).checkpoint()
+    labels = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
     while True:
-        near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("old"))
-        jump = step.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        step = step.join(jump, "component").select("id", F.least("component", "next").alias("component"), "old").checkpoint()
-        labels = step.select("id", "component")
-        if step.where("component <> old").isEmpty():
+        start = labels.withColumn("old", F.col("component"))
+        for _ in range(2):
+            near = edges.join(start.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+            step = start.join(near, "id").select("id", F.least("component", "near").alias("component"), "old")
+            start = step.join(step.select(F.col("id").alias("component"), F.col("component").alias("next")), "component").select("id", F.least("component", "next").alias("component"), "old")
+        start = start.checkpoint()
+        labels = start.select("id", "component")
+        if start.where("component <> old").isEmpty():
             return labels
 
 
@@ -148,26 +154,26 @@ def near_components(docs: DataFrame, k: int = K, percent: int = 75) -> DataFrame
     known = rows.where(F.col("doc_id").isNotNull() & F.col("class_key").isNotNull())
     classes = known.groupBy("class_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
     same = known.select("doc_id", "class_key").join(classes.where("n > 1"), "class_key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    leaders = known.join(classes.select("id", F.col("class_key").alias("k2")), (F.col("doc_id") == F.col("id")) & (F.col("class_key") == F.col("k2")), "left_semi")
-    reps = leaders.groupBy(F.col("doc_id").alias("id")).agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).checkpoint()
+    reps = known.groupBy("class_key").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n_shingles", "sketch"), "doc_id").alias("x")).select("id", F.col("x.n_shingles").alias("n"), F.col("x.sketch").alias("sketch")).checkpoint()
     lists = prefix_entries(reps).checkpoint()
     sketch_a, sketch_b = (reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
 
+    estimated = lambda pairs: pairs.join(sketch_a, "a").join(sketch_b, "b").where(likely(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"), k)).select("a", "b")
+
     first = lists.join(lists.groupBy("value").agg(F.min("id").alias("a")), "value").where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    first = first.join(sketch_a, "a").join(sketch_b, "b").where(likely(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"), k)).select("a", "b")
-    linked = exact_links(first, docs, percent).checkpoint()
+    linked = exact_links(estimated(first), docs, percent).checkpoint()
 
     labels = components(linked)
-    member = lists.join(labels, "id", "left").select("value", "id", F.coalesce("component", "id").alias("component"))
-    mixed = member.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value")
+    member = lists.join(labels, "id", "left").join(reps.select("id", "n"), "id").select("value", "id", "n", F.coalesce("component", "id").alias("component"))
+    # of a list the pairs with its least id are done; those left lie in two components, at least one of them without that id
+    mixed = member.groupBy("value").agg(F.min_by("component", "id").alias("done"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2").select("value", "done")
     member = member.join(mixed, "value")
-    left = member.select("value", F.col("id").alias("a"), F.col("component").alias("c_a"))
-    right = member.select("value", F.col("id").alias("b"), F.col("component").alias("c_b"))
-    full_a, full_b = left.join(sketch_a, "a"), right.join(sketch_b, "b")
-    across = full_a.join(full_b, (full_a["value"] == full_b["value"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (F.abs(F.col("n_a") - F.col("n_b")) * 4 <= F.greatest("n_a", "n_b")) & likely(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"), k))
-    across = across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    linked = linked.unionByName(exact_links(across, docs, percent)).unionByName(same)
-    found = components(linked)
+    left = member.where("component <> done").select("value", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
+    right = member.select(F.col("value").alias("v"), F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"), (F.col("component") != F.col("done")).alias("open"))
+    met = (F.col("value") == F.col("v")) & (F.col("c_x") != F.col("c_y")) & (~F.col("open") | (F.col("x") < F.col("y"))) & (F.least("n_x", "n_y") * 4 >= F.greatest("n_x", "n_y") * 3)
+    across = left.join(right, met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    across = estimated(across)
+    found = components(linked.unionByName(exact_links(across, docs, percent)).unionByName(same))
     out = rows.join(found, rows["doc_id"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
