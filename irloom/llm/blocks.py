@@ -94,12 +94,17 @@ def send(docs: DataFrame, fn: Callable[[list, list[bytes]], list[tuple[int, byte
 
 
 def answer(sent: DataFrame, fn: Callable[[list[bytes]], list[bytes | None]]) -> DataFrame:
-    """Each bucket's payloads get answers, which go to the blocks: block, bucket, payload; None is not sent."""
+    """Each bucket's payloads get answers, which go to the blocks: block, bucket, payload; None is not sent.
+
+    One answer more than payloads is about the bucket itself and gets block -1.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("block")
         blocks, buckets = table.column("block").to_pylist(), table.column("bucket").to_pylist()
         out = fn(table.column("payload").to_pylist())
+        if len(out) > len(blocks):
+            blocks, buckets = [*blocks, -1], [*buckets, buckets[0]]
         return pa.Table.from_batches([batch_of(SENT[0], [(k, b, p) for k, b, p in zip(buckets, blocks, out, strict=True) if p is not None], SENT[1])])
 
     return sent.groupBy("bucket").applyInArrow(run, SENT_SCHEMA)

@@ -1,9 +1,10 @@
 """The registered queries of the training-data operators, and their SQL where it can express them."""
 
-from irloom.llm import chat_format, decontaminate, exact_dedup, language_id, near_dedup, packing, secrets, substring_dedup, suffix_dedup
+from irloom.llm import chat_format, decontaminate, exact_dedup, katz, language_id, near_dedup, packing, secrets, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_decontaminate": (decontaminate.op1_decontaminate, decontaminate.SQL),
+    "op2_katz_score": (katz.op2_katz_score, katz.SQL),
     "op3_suffix_dedup": (suffix_dedup.op3_suffix_dedup, suffix_dedup.SQL),
     "op4_exact_dedup": (exact_dedup.op4_exact_dedup, exact_dedup.SQL),
     "op5_substring_dedup": (substring_dedup.op5_substring_dedup, substring_dedup.SQL),
