@@ -130,6 +130,11 @@ INTEGER = r"(?<!i)(?<!\[)(?<!%\.)\b{}\b(?![*.]|\s*x\s)"
 KEPT_INTS = ("24", "32", "48", "64", "128", "256")
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once per row, also where it is used for each element of an array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_header(text: Column) -> Column:
     return F.regexp_replace(text, r"(?m)^(source_filename|target datalayout|target triple) =.*$", "")
 
@@ -139,8 +144,8 @@ def strip_metadata_tail(text: Column) -> Column:
     lines = F.split(text, "\n")
     defines = lambda x: F.trim(x).rlike(METADATA_LINE)
     content = F.transform(lines, lambda x, i: F.when((F.trim(x) != "") & ~F.trim(x).startswith(";") & ~defines(x), i))
-    last = F.array_max(content)
-    return F.when(last.isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, i: (i <= last) | ~defines(x)), "\n"))
+    keep = lambda last: F.when(last.isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, i: (i <= last) | ~defines(x)), "\n"))
+    return let(F.array_max(content), keep)
 
 
 def strip_comments(text: Column) -> Column:
@@ -169,15 +174,18 @@ def rename_segments(text: Column, float_first: bool = False) -> Column:
     bare = lambda x: F.regexp_replace(x, '"', "")
     is_var = lambda x: x.rlike(rf"^{VARIABLE}$") & ~x.startswith("%.")
     is_global = lambda x: x.rlike(rf"^(?:{GLOBAL})$") & renames(x)
-    variables = F.array_distinct(F.filter(parts, is_var))
-    functions = F.array_distinct(F.transform(F.filter(parts, is_global), bare))
-    one = lambda x: (
-        F.when(is_var(x), F.concat(F.lit("%var"), F.array_position(variables, x) - 1))
-        .when(is_global(x), F.concat(F.lit("@func"), F.array_position(functions, bare(x)) - 1))
-        .when(x.rlike(r"^([@!%].)"), x)
-        .otherwise(mask_constants(x, float_first))
-    )
-    return F.array_join(F.transform(parts, one), "")
+
+    def rename(p: Column) -> Column:
+        one = lambda x: (
+            F.when(is_var(x), F.concat(F.lit("%var"), F.array_position(p["variables"], x) - 1))
+            .when(is_global(x), F.concat(F.lit("@func"), F.array_position(p["functions"], bare(x)) - 1))
+            .when(x.rlike(r"^([@!%].)"), x)
+            .otherwise(mask_constants(x, float_first))
+        )
+        return F.array_join(F.transform(p["parts"], one), "")
+
+    names = lambda p: F.struct(p.alias("parts"), F.array_distinct(F.filter(p, is_var)).alias("variables"), F.array_distinct(F.transform(F.filter(p, is_global), bare)).alias("functions"))
+    return let(parts, lambda p: let(names(p), rename))
 
 
 def normalize_ir(text: Column, float_first: bool = False) -> Column:
