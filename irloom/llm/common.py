@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -47,6 +47,7 @@ def set_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/irloom")
 
 
-def ascii_lower(s: str) -> str:
-    """Lower-cases A-Z and nothing else."""
-    return re.sub("[A-Z]+", lambda m: m[0].lower(), s)
+def release(spark: SparkSession) -> None:
+    """Lets go of plans that a checkpoint has replaced, so that Spark removes their shuffle files now rather than when the driver's heap fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from irloom.llm.common import arrow_map, documents, id_and_text, set_checkpoint_dir
+from irloom.llm.common import arrow_map, documents, id_and_text, release, set_checkpoint_dir
 
 SHINGLE = 5
 #: Retained values of a document: the least K hashes of its shingles.
@@ -19,6 +19,8 @@ K = 64
 SHARED = 0.5
 #: The union's sketch must hold this part of shared values; again far below the threshold of the exact test.
 ESTIMATE = 0.55
+#: Every document is compared with so many others of each of its inverted lists, the least ids.
+HEADS = 10
 # Fixed value: an odd multiplier for the running hash of a shingle.
 MULT = 0x9E3779B97F4A7C15
 
@@ -145,8 +147,8 @@ def near_components(docs: DataFrame, k: int = K, percent: int = 75) -> DataFrame
 
     Documents with the same words are one class, represented by its least id.  Representatives are
     compared in two rounds, so that a large group of near copies is not expanded into its pairs:
-    first each with the least id of its inverted lists, then, within each list, only those that the
-    first round has left in different components.  Candidates pass the union-sketch estimate before
+    first each with the HEADS least ids of its inverted lists, then, within longer lists, only
+    those that the first round has left outside the list's main component.  Candidates pass the union-sketch estimate before
     their full sets are compared.
     """
     set_checkpoint_dir(docs.sparkSession)
@@ -156,17 +158,20 @@ def near_components(docs: DataFrame, k: int = K, percent: int = 75) -> DataFrame
     same = known.select("doc_id", "class_key").join(classes.where("n > 1"), "class_key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     reps = known.groupBy("class_key").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n_shingles", "sketch"), "doc_id").alias("x")).select("id", F.col("x.n_shingles").alias("n"), F.col("x.sketch").alias("sketch")).checkpoint()
     lists = prefix_entries(reps).checkpoint()
+    release(docs.sparkSession)
     sketch_a, sketch_b = (reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
 
     estimated = lambda pairs: pairs.join(sketch_a, "a").join(sketch_b, "b").where(likely(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"), k)).select("a", "b")
 
-    first = lists.join(lists.groupBy("value").agg(F.min("id").alias("a")), "value").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    heads = lists.withColumn("rank", F.row_number().over(W.partitionBy("value").orderBy("id"))).where(F.col("rank") <= HEADS).select("value", F.col("id").alias("a"))
+    first = lists.join(heads, "value").where("a < id").select("a", F.col("id").alias("b")).distinct().checkpoint()
     linked = exact_links(estimated(first), docs, percent).checkpoint()
+    release(docs.sparkSession)
 
     labels = components(linked)
     member = lists.join(labels, "id", "left").join(reps.select("id", "n"), "id").select("value", "id", "n", F.coalesce("component", "id").alias("component"))
-    # of a list the pairs with its least id are done; those left lie in two components, at least one of them without that id
-    mixed = member.groupBy("value").agg(F.min_by("component", "id").alias("done"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2").select("value", "done")
+    # of a list the pairs with its heads are done; those left lie in two components, at least one of them outside the list's main one
+    mixed = member.groupBy("value").agg(F.mode("component").alias("done"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where(f"lo <> hi and size > {HEADS + 1}").select("value", "done")
     member = member.join(mixed, "value")
     left = member.where("component <> done").select("value", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
     right = member.select(F.col("value").alias("v"), F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"), (F.col("component") != F.col("done")).alias("open"))
