@@ -21,6 +21,8 @@ SHARED = 0.5
 ESTIMATE = 0.55
 #: Every document is compared with so many others of each of its inverted lists, the least ids.
 HEADS = 10
+#: A family is compared in blocks of about so many documents on either side.
+BLOCK = 100
 # Fixed value: an odd multiplier for the running hash of a shingle.
 MULT = 0x9E3779B97F4A7C15
 
@@ -116,6 +118,72 @@ def exact_links(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFra
     return left.unionByName(right).groupBy("a", "share").applyInArrow(run, "a long, b long")
 
 
+def shared_sizes(xs: list[np.ndarray], ys: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """The sizes of the intersections of every one of xs with every one of ys (sorted sets), step hashes at a time."""
+    both = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
+    out = np.zeros((len(xs), len(ys)), np.int64)
+
+    def held(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+        rows = np.zeros((len(sets), len(part)), np.float32)
+        for row, h in zip(rows, sets, strict=True):
+            if len(h):
+                at = np.searchsorted(h, part)
+                row[:] = h[np.minimum(at, len(h) - 1)] == part
+        return rows
+
+    for start in range(0, len(both), step):
+        part = both[start : start + step]
+        out += (held(xs, part) @ held(ys, part).T).astype(np.int64)  # whole numbers up to step: exact
+    return out
+
+
+def family_links(family: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
+    """Links (a, b) that join different components of a family; family has done, id, component.
+
+    Every document outside the family's main component (done) is compared with all others of the
+    family on full shingle sets.  Both sides are dealt into shares of about BLOCK documents, and each
+    pair of shares is a group of its own that receives the texts and returns only links that join
+    components not yet joined in it: fewer rows than it was given, however many pairs are linked.
+    """
+    shares = family.groupBy("done").agg(F.ceil(F.count_if(F.col("component") != F.col("done")) / BLOCK).alias("lefts"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("rights"))
+    dealt = family.join(shares, "done")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = dealt.where("component <> done").select("done", own("lefts").alias("i"), every("rights").alias("j"), "id", "component", F.lit(True).alias("is_left"))
+    right = dealt.select("done", every("lefts").alias("i"), own("rights").alias("j"), "id", "component", F.lit(False).alias("is_left"))
+    used = family.select(F.col("id").alias("doc_id")).distinct()
+    texts = id_and_text(docs).join(used, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, component, is_left = (table.column(c).to_pylist() for c in ("id", "component", "is_left"))
+        of, up, hashes = dict(zip(ids, component, strict=True)), {}, {}
+        for i, t in zip(ids, table.column("text"), strict=True):
+            if i not in hashes:
+                hashes[i] = shingle_hashes(t.as_py())
+        xs, ys = ([i for i in dict.fromkeys(x for x, s in zip(ids, is_left, strict=True) if s == side)] for side in (True, False))
+        a, b = [], []
+        if xs and ys:
+            both = shared_sizes([hashes[x] for x in xs], [hashes[y] for y in ys])
+            n_x, n_y = (np.array([len(hashes[i]) for i in side]) for side in (xs, ys))
+            linked = (100 * both >= percent * (n_x[:, None] + n_y[None, :] - both)) & (both > 0)
+            linked &= np.array([of[x] for x in xs])[:, None] != np.array([of[y] for y in ys])[None, :]
+
+            def top(c: int) -> int:
+                while c in up:
+                    c = up[c]
+                return c
+
+            for x, y in np.argwhere(linked):
+                p, q = top(of[xs[x]]), top(of[ys[y]])
+                if p != q:
+                    up[p] = q
+                    a.append(xs[x])
+                    b.append(ys[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return left.unionByName(right).join(texts, "id").groupBy("done", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, component (least id reachable) of the ids that have links.
 
@@ -147,9 +215,10 @@ def near_components(docs: DataFrame, k: int = K, percent: int = 75) -> DataFrame
 
     Documents with the same words are one class, represented by its least id.  Representatives are
     compared in two rounds, so that a large group of near copies is not expanded into its pairs:
-    first each with the HEADS least ids of its inverted lists, then, within longer lists, only
-    those that the first round has left outside the list's main component.  Candidates pass the union-sketch estimate before
-    their full sets are compared.
+    first each with the HEADS least ids of its inverted lists, where candidates pass the union-sketch
+    estimate before their full sets are compared; then, of longer lists, only those that the first
+    round has left outside the list's main component, by full sets (family_links).  Lists of one main
+    component make one family, so that a group that shares many lists is compared once.
     """
     set_checkpoint_dir(docs.sparkSession)
     rows = sketches(docs, k).checkpoint()
@@ -169,16 +238,14 @@ def near_components(docs: DataFrame, k: int = K, percent: int = 75) -> DataFrame
     release(docs.sparkSession)
 
     labels = components(linked)
-    member = lists.join(labels, "id", "left").join(reps.select("id", "n"), "id").select("value", "id", "n", F.coalesce("component", "id").alias("component"))
+    member = lists.join(labels, "id", "left").select("value", "id", F.coalesce("component", "id").alias("component"))
     # of a list the pairs with its heads are done; those left lie in two components, at least one of them outside the list's main one
-    mixed = member.groupBy("value").agg(F.mode("component").alias("done"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where(f"lo <> hi and size > {HEADS + 1}").select("value", "done")
-    member = member.join(mixed, "value")
-    left = member.where("component <> done").select("value", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
-    right = member.select(F.col("value").alias("v"), F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"), (F.col("component") != F.col("done")).alias("open"))
-    met = (F.col("value") == F.col("v")) & (F.col("c_x") != F.col("c_y")) & (~F.col("open") | (F.col("x") < F.col("y"))) & (F.least("n_x", "n_y") * 4 >= F.greatest("n_x", "n_y") * 3)
-    across = left.join(right, met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    across = estimated(across)
-    found = components(linked.unionByName(exact_links(across, docs, percent)).unionByName(same))
+    parts = member.groupBy("value", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("value").agg(F.max(F.struct("n", "component"))["component"].alias("done"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where(f"parts > 1 and size > {HEADS + 1}")
+    family = member.join(mixed.select("value", "done"), "value").select("done", "id", "component").distinct().checkpoint()
+    release(docs.sparkSession)
+    joined = labels.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+    found = components(joined.unionByName(family_links(family, docs, percent)).unionByName(same))
     out = rows.join(found, rows["doc_id"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -3,7 +3,9 @@
 import random
 import re
 
-from irloom.llm.near_dedup import near_components, near_dedup
+import numpy as np
+
+from irloom.llm.near_dedup import near_components, near_dedup, shared_sizes
 
 SCHEMA = "doc_id long, text string, id long, component string"
 
@@ -73,3 +75,25 @@ def test_empty_null_and_repeated_ids(spark):
     rows = [(None, "a b c", 1, ""), (4, "a b c", 1, ""), (4, "a b c", 1, ""), (9, "a b c", None, None), (None, None, None, None)]
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_components(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     assert got == sorted([(None, None, True), (None, None, True), (4, 4, True), (4, 4, True), (9, 4, False)], key=str)
+
+
+def test_shared_sizes():
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(300), rng.randint(0, 200))) for _ in range(14)]
+    xs, ys = ([np.array(s, np.uint64) for s in part] for part in (sets[:6], sets[6:]))
+    assert shared_sizes(xs, ys, step=37).tolist() == [[len(set(x) & set(y)) for y in sets[6:]] for x in sets[:6]]
+
+
+def test_group_that_its_heads_do_not_connect(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(70):  # copies with so many changes that only some pairs reach the threshold, some through later documents
+        copy = list(base)
+        for at in rng.sample(range(120), 2 if i > 40 else 4):
+            copy[at] = f"x{i % 9}" if i % 2 else f"y{i}"
+        rows.append((i, " ".join(copy), 0, ""))
+    want = brute(rows)
+    assert 5 < len({v[1] for v in want.values()}) < 60
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
