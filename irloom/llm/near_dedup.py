@@ -17,8 +17,8 @@ SHINGLE = 5
 K = 64
 #: Candidates share at least this part of a full sketch; a pair at the threshold shares 0.75 of the union's, 4.6 deviations more.
 SHARED = 0.5
-#: The union's sketch must hold this part of shared values; again far below the threshold of the exact test.
-ESTIMATE = 0.55
+#: The union's sketch must hold this part of shared values; a pair at the threshold falls below it with a probability of 5e-6.
+ESTIMATE = 0.5
 #: Every document is compared with so many others of each of its inverted lists, the least ids.
 HEADS = 10
 #: A family is compared in blocks of about so many documents on either side.
