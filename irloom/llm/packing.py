@@ -198,10 +198,11 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
         encode = WordIds(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
         packer = Packer(TaskContext.get().partitionId() << 33)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 for doc_id, data in zip(part.column(0).to_pylist(), encode(part.column(1).cast(pa.binary()).to_pylist()), strict=True):
                     packer.add(doc_id, data)
+            batch = part = None  # let go of it before the next one arrives
             yield packer.taken()
         while packer.size:
             packer.window()
