@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,8 @@ from irloom.llm.common import documents, id_and_text
 CAPACITY = 2048
 #: A window of remainders is packed when it holds POOL of them, until HALF are left; at most POOL * CAPACITY ids wait.
 POOL, HALF = 512, 256
-#: So many words' ids are remembered in a task.
-WORDS = 1_000_000
+#: So many words' ids are remembered by a Python worker, from task to task.
+WORDS = 500_000
 #: New words are encoded so many at a time.
 TOGETHER = 16
 END = 1
@@ -110,6 +111,12 @@ class WordIds:
         return [b"".join(ids) + end for ids in out]
 
 
+@cache
+def word_ids(path: str) -> WordIds:
+    """The one WordIds of a Python worker, so that tasks that reuse the worker do not each load and learn anew."""
+    return WordIds(path)
+
+
 class Packer:
     """Packs the documents of one task; emits pieces column by column."""
 
@@ -195,7 +202,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     def run(batches):
         import public_tokenizers
 
-        encode = WordIds(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+        encode = word_ids(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
         packer = Packer(TaskContext.get().partitionId() << 33)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
