@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from irloom.functions.text import PRETOKEN
+
 LABEL = r"^[\w.$]+:"
+#: Two neighbours of one token.
+JOINED = r"^([\p{L}\p{M}\p{N}_]{2}|[^\p{L}\p{M}\p{N}_\s]{2})$"
 
 
 def ir_lines(functions: DataFrame) -> DataFrame:
@@ -59,21 +63,23 @@ def raw_dependence(functions: DataFrame) -> DataFrame:
     return loads.join(stores, ["file_path", "ptr"]).where("src_id < dst_id").groupBy("file_path", "dst_id").agg(F.max("src_id").alias("src_id")).select("file_path", "src_id", "dst_id")
 
 
-def line_token_ranges(functions: DataFrame, tokens_of, kind: str = "instruction") -> DataFrame:
+def line_token_ranges(functions: DataFrame, kind: str = "instruction") -> DataFrame:
     """file_path, key, first_token, last_token (inclusive): where each instruction's or block label's text lies.
 
-    A text is looked for by its first occurrence in the function, so equal lines share one range;
-    tokens that overlap the found span are counted, row by row, without a join on positions.
+    A text is looked for by its first occurrence in the function, so equal lines share one range.
+    Tokens are pre-tokens, which never cross a line break: those before the text are the tokens of
+    the lines above, counted once per function, and those of its own line in front of it.
     """
-    spans = functions.select("file_path", "text", tokens_of(F.col("text")).alias("spans"))
+    count = lambda x: F.regexp_count(x, F.lit(PRETOKEN))
+    whole = functions.select("file_path", "text", F.transform(F.split("text", "\n"), count).alias("counts"))
     x = ir_lines(functions).where("not is_label" if kind == "instruction" else "is_label")
-    key = F.col("inst_id") if kind == "instruction" else F.col("block")
-    x = x.select("file_path", key.alias("key"), F.col("line" if kind == "instruction" else "block").alias("needle"))
-    if kind != "instruction":
-        x = x.withColumn("needle", F.concat("needle", F.lit(":")))
-    x = x.join(spans, "file_path").withColumn("at", F.expr("locate(needle, text) - 1")).where("at >= 0")
-    hit = F.filter(F.transform("spans", lambda s, i: F.when((s["end"] > F.col("at")) & (s["start"] < F.col("at") + F.length("needle")), i)), lambda i: i.isNotNull())
-    return x.select("file_path", "key", F.array_min(hit).alias("first_token"), F.array_max(hit).alias("last_token")).where("first_token is not null")
+    key, needle = (F.col("inst_id"), F.col("line")) if kind == "instruction" else (F.col("block"), F.concat("block", F.lit(":")))
+    x = x.select("file_path", key.alias("key"), needle.alias("needle")).join(whole, "file_path").withColumn("head", F.expr("left(text, locate(needle, text) - 1)")).where("locate(needle, text) > 0")
+    x = x.withColumns({"above": F.length("head") - F.length(F.replace("head", F.lit("\n"), F.lit(""))), "front": F.substring_index("head", "\n", -1)})
+    x = x.withColumn("before", F.aggregate(F.slice("counts", F.lit(1), F.col("above")), F.lit(0), lambda s, n: s + n))
+    joined = F.concat(F.right("front", F.lit(1)), F.left("needle", F.lit(1))).rlike(JOINED)  # a token reaches into the text
+    x = x.select("file_path", "key", (F.col("before") + count(F.col("front")) - joined.cast("int")).alias("first_token"), (F.col("before") + count(F.concat("front", "needle")) - 1).alias("last_token"))
+    return x.where("first_token <= last_token")
 
 
 def align_edges(edges: DataFrame, ranges: DataFrame, src: str, dst: str) -> DataFrame:

@@ -174,10 +174,6 @@ def raw_dependence(spark, d):
     return graphs.raw_dependence(ir_functions(spark, d))
 
 
-def spans(text):
-    return X.token_offsets(text, X.pretokens(text))
-
-
 RANGES = rf"""tk as (select file_path, text, {PRETOKENS} as t, regexp_split_to_array(text, '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_\s]+') as gaps from ir),
 ts as (select file_path, i - 1 as tok, list_sum(list_transform(gaps[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(t[1 : i - 1], lambda x: length(x))), 0) as a, length(t[i]) as n from (select *, unnest(range(1, len(t) + 1)) as i from tk)),
 loc as (select inst.file_path, inst_id, strpos(text, line) - 1 as a, length(line) as n from inst join ir on inst.file_path = ir.file_path),
@@ -187,7 +183,7 @@ rg as (select loc.file_path, inst_id, min(tok) as f, max(tok) as l from loc join
 @query(f"{INST}, {RANGES}, {DDG} select ddg.file_path, cast(s.f as int) as src_start, cast(s.l as int) as src_end, cast(t.f as int) as dst_start, cast(t.l as int) as dst_end from ddg join rg s on s.file_path = ddg.file_path and s.inst_id = src_id join rg t on t.file_path = ddg.file_path and t.inst_id = dst_id")
 def ddg_edge_align(spark, d):
     x = ir_functions(spark, d)
-    return graphs.align_edges(graphs.ddg_edges(x), graphs.line_token_ranges(x, spans), "src_id", "dst_id")
+    return graphs.align_edges(graphs.ddg_edges(x), graphs.line_token_ranges(x), "src_id", "dst_id")
 
 
 @query(f"{DUCK} select count(*) as total_files, count(*) as processed_files, sum(case when contains(text, 'define ') then 1 else 0 end) as total_functions, sum(len(string_split(text, chr(10)))) as total_lines from ir")
