@@ -34,14 +34,14 @@ U = np.uint64
 # --- blocks ---------------------------------------------------------------------------------------
 
 
-def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes]]]:
+def cut(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[tuple[int, list, list[bytes]]]:
     """Blocks of a task's rows: number, doc ids, texts in UTF-8."""
     number, ids, texts, size = TaskContext.get().partitionId() << 24, [], [], 0
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             for i, t in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                if size and size + len(t) > BLOCK_BYTES:
+                if size and size + len(t) > most:
                     yield number, ids, texts
                     number, ids, texts, size = number + 1, [], [], 0
                 ids.append(i)
@@ -83,11 +83,11 @@ SENT = (["bucket", "block", "payload"], [pa.int64(), pa.int64(), pa.binary()])
 SENT_SCHEMA = "bucket long, block long, payload binary"
 
 
-def send(docs: DataFrame, fn: Callable[[list, list[bytes]], list[tuple[int, bytes]]]) -> DataFrame:
+def send(docs: DataFrame, fn: Callable[[list, list[bytes]], list[tuple[int, bytes]]], most: int = BLOCK_BYTES) -> DataFrame:
     """First pass: fn makes of each block's ids and texts the payloads of its buckets."""
 
     def run(batches):
-        for number, ids, texts in cut(batches):
+        for number, ids, texts in cut(batches, most):
             yield batch_of(SENT[0], [(b, number, p) for b, p in fn(ids, texts)], SENT[1])
 
     return id_and_text(docs).mapInArrow(run, SENT_SCHEMA)
@@ -110,11 +110,11 @@ def answer(sent: DataFrame, fn: Callable[[list[bytes]], list[bytes | None]]) ->
     return sent.groupBy("bucket").applyInArrow(run, SENT_SCHEMA)
 
 
-def rejoin(docs: DataFrame, answers: list[DataFrame], fn: Callable, names: list[str], types: list[pa.DataType], schema: str) -> DataFrame:
+def rejoin(docs: DataFrame, answers: list[DataFrame], fn: Callable, names: list[str], types: list[pa.DataType], schema: str, most: int = BLOCK_BYTES) -> DataFrame:
     """A later pass: fn(block, ids, texts, one dict of bucket to payload for each of answers) gives rows for each block."""
 
     def pack(batches):
-        for number, ids, texts in cut(batches):
+        for number, ids, texts in cut(batches, most):
             ids = [NO_ID if i is None else i for i in ids]
             yield batch_of(["bucket", "block", "payload"], [(-1, number, squeeze(np.array(ids, "<i8").tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), b"".join(texts)))], SENT[1])
 
