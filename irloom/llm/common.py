@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -48,6 +49,12 @@ def set_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets go of plans that a checkpoint has replaced, so that Spark removes their shuffle files now rather than when the driver's heap fills."""
+    """Lets go of plans that a checkpoint has replaced, so that Spark removes their shuffle files now rather than when the driver's heap fills.
+
+    What the first collection frees is let go of in the background and still holds the shuffles; the
+    second one frees those.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
+    spark.sparkContext._jvm.System.gc()
