@@ -308,11 +308,18 @@ def pack_runs(keep: np.ndarray, least: np.ndarray, buckets: int, doc: np.ndarray
     return out
 
 
+def may_repeat(string: bytes, count: int) -> bool:
+    """Whether one of a string's count windows of bytes can start in it twice; True if in doubt."""
+    core = string[count - 1 : len(string) - count + 1]  # what all windows have in common
+    return not core or string.find(core, count) >= 0
+
+
 def bucket_answers(payloads: list[bytes], windows: Callable, strict: bool) -> list[bytes | None]:
     """For each payload the bits of its windows, string by string, or None where all are 0.
 
     windows(buf, starts, lengths, counts) gives byte ranges of all windows, string by string.
-    Strings whose minimiser no other string of the bucket has hold no repeated window.
+    A string whose minimiser no other string of the bucket has holds no window that another string
+    has; unless strict, it is left out only if it does not repeat a window of its own either.
     """
     got = [unsqueeze(p) for p in payloads]
     cols = [[np.frombuffer(g[k], t) for g in got] for k, t in enumerate(("<u4", "<i8", "<i8", "<i4", "<i4"))]
@@ -322,6 +329,9 @@ def bucket_answers(payloads: list[bytes], windows: Callable, strict: bool) -> li
     sizes = [len(c) for c in cols[0]]
     where = np.concatenate([np.cumsum(c) - c for c in cols[4]]).astype(np.int64)
     source = np.repeat(np.arange(len(got)), sizes)
+    if not strict:
+        alone = np.flatnonzero(~shared & (count > 1))
+        shared[alone] = [may_repeat(got[s][5][a : a + n], c) for s, a, n, c in zip(source[alone].tolist(), where[alone].tolist(), length[alone].tolist(), count[alone].tolist(), strict=True)]
     chosen = np.flatnonzero(shared)
     flags = np.zeros(int(count.sum()), bool)
     offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)

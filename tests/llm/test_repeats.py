@@ -85,6 +85,16 @@ def test_many_small_blocks(spark, tmp_path, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeated_bytes(docs).collect()} == brute_bytes(rows)
 
 
+def test_bytes_that_repeat_inside_one_string(spark, tmp_path):
+    """Short periods give all windows of a run one minimiser, which no other string has."""
+    line = "".join(random.Random(6).choice("ghijklmnop") for _ in range(39)) + "\n"
+    for k, texts in enumerate((["a" * 150], ["b" * 355], [line * 4], ["cd" * 51], ["e" * 101, "f" * 100, "g" * 227, "h" * 228, "xyz" * 700])):
+        rows = [(i, t, "clash", 1) for i, t in enumerate(texts)]
+        spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / f"p{k}"))
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeated_bytes(spark.read.parquet(str(tmp_path / f"p{k}"))).collect()}
+        assert got == brute_bytes(rows)
+
+
 def test_equal_hashes_are_told_apart(spark, tmp_path, monkeypatch):
     """With a hash of few values every match has to be confirmed on the bytes."""
     rows = corpus(4)
