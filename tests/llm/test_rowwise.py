@@ -139,6 +139,21 @@ def test_secrets(spark):
     assert got[8].spans == "novel:14:34" and got[9].n_novel == 0
 
 
+def test_secrets_in_the_whole_context(spark):
+    far = "password of the nightly deployment account is "
+    texts = [
+        far + "qX7vT2mK9pLwZ4rN8sB1",  # starts 38 characters behind the word
+        "password" + " " * 47 + "qX7vT2mK9pLwZ4rN8sB1 x",
+        "password" + " " * 48 + "qX7vT2mK9pLwZ4rN8sB1 x",
+        "passphrase is RnBUbHoWCFJowoRoWDsbAJPg for the archive",
+        "credential is 08377835337406812415 for the archive",
+        "the bearer is qX7vT2mK9pLwZ4rN8sB1token=abcdefgh",  # its first part is outside the base span
+        "the secret is responsibilities_of_the_administrator",
+    ]
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("novel")] for r in secrets.scan(table(spark, texts)).collect()}
+    assert got == {0: ["novel:46:66"], 1: ["novel:55:75"], 2: [], 3: ["novel:14:38"], 4: ["novel:14:34"], 5: ["novel:14:34"], 6: []}
+
+
 def test_chat(spark):
     tricky = [chat_format.TRICKY, "\\", "\\\\h\\", "####", "</turn>\n### User: x", "\\t\\h", "", None, ": ###", "#\\##"]
     rows = [(1, i, "user" if i % 2 == 0 else "assistant", t, 0) for i, t in enumerate(tricky)]
