@@ -4,7 +4,9 @@ A block is a few megabytes of whole documents of one scan task.  Blocks send pac
 buckets, each bucket decides which of its windows also start earlier elsewhere, and the answers go
 back to the blocks as bits.  A block sends each distinct string once, so a passage that a third of
 all documents hold reaches its bucket once per block, and every group that a task sees is bounded:
-a block by BLOCK_BYTES (or one document), a bucket by BUCKET_BYTES of text.
+a block by BLOCK_BYTES (or one document), a bucket by BUCKET_BYTES of text.  Strings at the borders
+of such a passage differ in every document and share its minimiser; a minimiser with HOT_WINDOWS
+windows or more is therefore hot, and its windows go one by one to the buckets of their own hashes.
 
 Blocks are made again for each pass, from the same rows in the same tasks: the documents must be
 read from a stored table, whose scan gives the same partitions each time.
@@ -26,6 +28,10 @@ BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 #: Windows that one packed string holds at most (texts of one repeated word would give endless ones).
 MOST_WINDOWS = 128
+#: From so many distinct windows on a minimiser is hot.
+HOT_WINDOWS = 1 << 18
+#: A block reports minimisers with so many distinct windows, to one of SIDES buckets below 0.
+REPORTED_WINDOWS, SIDES = 128, 16
 NO_ID = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
@@ -93,16 +99,18 @@ def send(docs: DataFrame, fn: Callable[[list, list[bytes]], list[tuple[int, byte
     return id_and_text(docs).mapInArrow(run, SENT_SCHEMA)
 
 
-def answer(sent: DataFrame, fn: Callable[[list[bytes]], list[bytes | None]]) -> DataFrame:
+def answer(sent: DataFrame, fn: Callable[[list[bytes]], list[bytes | None]], hot: int = HOT_WINDOWS) -> DataFrame:
     """Each bucket's payloads get answers, which go to the blocks: block, bucket, payload; None is not sent.
 
-    One answer more than payloads is about the bucket itself and gets block -1.
+    One answer more than payloads is about the bucket itself and gets block -1; buckets below 0 so
+    tell which of the reported minimisers have hot windows or more.
     """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("block")
         blocks, buckets = table.column("block").to_pylist(), table.column("bucket").to_pylist()
-        out = fn(table.column("payload").to_pylist())
+        payloads = table.column("payload").to_pylist()
+        out = fn(payloads) if buckets[0] >= 0 else [*[None] * len(payloads), hot_of(payloads, hot)]
         if len(out) > len(blocks):
             blocks, buckets = [*blocks, -1], [*buckets, buckets[0]]
         return pa.Table.from_batches([batch_of(SENT[0], [(k, b, p) for k, b, p in zip(buckets, blocks, out, strict=True) if p is not None], SENT[1])])
@@ -199,12 +207,36 @@ def rolling_min(a: np.ndarray, width: int) -> np.ndarray:
 # --- packed strings ---------------------------------------------------------------------------------
 
 
-def runs(code: np.ndarray, lengths: np.ndarray, width: int, sample: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def report(count: np.ndarray, least: np.ndarray, content: np.ndarray, hot: int) -> list[tuple[int, bytes]]:
+    """Payloads for the buckets below 0: minimisers of which a block has many distinct windows, and how many."""
+    _, first = np.unique(content, return_index=True)
+    m, inverse = np.unique(least[first], return_inverse=True)
+    n = np.bincount(inverse, weights=count[first], minlength=len(m)).astype(np.int64)
+    m, n = m[n >= min(hot, REPORTED_WINDOWS)], n[n >= min(hot, REPORTED_WINDOWS)]
+    side = (m % U(SIDES)).astype(np.int64)
+    return [(-1 - k, np.stack([m[side == k], n[side == k].astype(U)]).astype("<u8").tobytes()) for k in np.unique(side).tolist()]
+
+
+def hot_of(payloads: list[bytes], hot: int) -> bytes | None:
+    m, n = np.concatenate([np.frombuffer(p, "<u8").reshape(2, -1) for p in payloads], 1)
+    m, inverse = np.unique(m, return_inverse=True)
+    total = np.zeros(len(m), U)
+    np.add.at(total, inverse, n)
+    return m[total >= U(hot)].astype("<u8").tobytes() or None
+
+
+def hot_minimisers(answers: DataFrame) -> np.ndarray:
+    """Those that the buckets below 0 found; fewer than one for each HOT_WINDOWS bytes of text."""
+    return np.frombuffer(b"".join(r[0] for r in answers.where("block = -1 and bucket < 0").select("payload").collect()), "<u8")
+
+
+def runs(code: np.ndarray, lengths: np.ndarray, width: int, sample: int, wanted: np.ndarray | None = None, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of windows that share their minimiser.
 
     code: tokens of a block's documents, one after another; lengths: tokens of each.  A window is
     width tokens of one document, its minimiser the least hash of sample tokens within it.
-    Returns each run's first window, number of windows, minimiser and content hash.
+    Returns each run's first window, number of windows, minimiser and content hash.  Windows with a
+    hot minimiser are runs of their own, with the hash of the window in place of the minimiser.
     """
     none = np.zeros(0, np.int64)
     n = len(code) - width + 1
@@ -235,8 +267,16 @@ def runs(code: np.ndarray, lengths: np.ndarray, width: int, sample: int, wanted:
         k = np.arange(len(which)) - np.repeat(np.cumsum(shares) - shares, shares)
         count = np.minimum(MOST_WINDOWS, count[which] - k * MOST_WINDOWS)
         at = at[which] + k * MOST_WINDOWS
+    key = least[at]
+    if hot is not None and len(hot) and (split := np.isin(key, hot)).any():
+        each = np.where(split, count, 1)
+        which = np.repeat(np.arange(len(at)), each)
+        at = at[which] + np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
+        split, count = split[which], np.where(split, 1, count)[which]
+        key = key[which]
+        key[split] = range_hash(sums, at[split], at[split] + width)
     content = range_hash(sums, at, at + count + width - 1) ^ count.astype(U)
-    return at, count, least[at], content
+    return at, count, key, content
 
 
 def distinct_runs(content: np.ndarray, order: list[np.ndarray], same: Callable[[int, int], bool]) -> tuple[np.ndarray, np.ndarray]:

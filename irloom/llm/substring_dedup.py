@@ -16,8 +16,8 @@ WINDOW = 13
 SAMPLE = 4
 
 
-def block_runs(ids: list, texts: list[bytes], window: int, sample: int) -> dict:
-    """A block's words and their runs; docs and starts tell where a run's first window lies."""
+def word_runs(texts: list[bytes], window: int, sample: int, hot: np.ndarray | None = None) -> tuple[list[bytes], np.ndarray, tuple]:
+    """A block's words, how many each text has, and their runs."""
     import xxhash
 
     code: dict[bytes, int] = {}
@@ -31,7 +31,12 @@ def block_runs(ids: list, texts: list[bytes], window: int, sample: int) -> dict:
         code[w] = xxhash.xxh64_intdigest(w)
     codes = np.fromiter(map(code.__getitem__, words), B.U, len(words))
     n = np.array(lengths, np.int64)
-    at, count, least, content = B.runs(codes, n, window, sample)
+    return words, n, B.runs(codes, n, window, sample, hot=hot)
+
+
+def block_runs(ids: list, texts: list[bytes], window: int, sample: int, hot: np.ndarray | None = None) -> dict:
+    """A block's words and their runs; docs and starts tell where a run's first window lies."""
+    words, n, (at, count, least, content) = word_runs(texts, window, sample, hot)
     ends = np.cumsum(n)
     which = np.searchsorted(ends, at, "right")
     doc = np.array([B.NO_ID if i is None else i for i in ids], np.int64)[which] if len(at) else np.zeros(0, np.int64)
@@ -60,7 +65,7 @@ def word_windows(window: int):
     return ranges
 
 
-def remove_repeated(docs: DataFrame, window: int = WINDOW, sample: int = SAMPLE) -> DataFrame:
+def remove_repeated(docs: DataFrame, window: int = WINDOW, sample: int = SAMPLE, hot_windows: int = B.HOT_WINDOWS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text.
 
     A word is removed if a window of `window` words that covers it also starts in a document with
@@ -70,13 +75,15 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, sample: int = SAMPLE)
     columns are not read.  docs must be a stored table (see blocks).
     """
     buckets = B.n_buckets(docs)
+    reports = B.send(docs, lambda ids, texts: B.report(*word_runs(texts, window, sample)[2][1:], hot_windows))
+    hot = B.hot_minimisers(B.answer(reports, lambda payloads: [None] * len(payloads), hot_windows))
 
     def first(ids: list, texts: list[bytes]) -> list[tuple[int, bytes]]:
-        r = block_runs(ids, texts, window, sample)
+        r = block_runs(ids, texts, window, sample, hot)
         return B.pack_runs(r["keep"], r["least"], buckets, r["doc"], np.zeros(len(r["at"]), np.int64), r["string"], r["count"])
 
     def last(_: int, ids: list, texts: list[bytes], bits: dict) -> list[tuple]:
-        r = block_runs(ids, texts, window, sample)
+        r = block_runs(ids, texts, window, sample, hot)
         words, at, doc, keep = r["words"], r["at"], r["doc"], r["keep"]
         cover = np.zeros(len(words) + 1, np.int64)
         flags = B.read_flags(keep, r["least"], r["count"], buckets, bits)

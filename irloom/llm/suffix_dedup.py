@@ -56,10 +56,11 @@ def bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
     return ((names >> B.U(40)) % B.U(buckets)).astype(np.int64)
 
 
-def send_samples(b: dict, width: int, buckets: int) -> list[tuple[int, bytes]]:
+def send_samples(b: dict, width: int, buckets: int, hot: int) -> list[tuple[int, bytes]]:
     _, names = samples(b, width)
     to = bucket_of(names, buckets)
-    return [(k, names[to == k].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES].tobytes()) for k in np.unique(to).tolist()]
+    _, count, least, content = B.runs(b["code"], b["n"], width, width - COVER_PERIOD + 1)
+    return B.report(count, least, content, hot) + [(k, names[to == k].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES].tobytes()) for k in np.unique(to).tolist()]
 
 
 def shared_samples(payloads: list[bytes]) -> list[bytes | None]:
@@ -92,11 +93,11 @@ def candidates(b: dict, width: int, buckets: int, bits: dict[int, bytes]) -> np.
     return np.cumsum(reach[:-2]) > 0
 
 
-def block_runs(ids: list, texts: list[bytes], width: int, buckets: int, bits: dict) -> dict:
+def block_runs(ids: list, texts: list[bytes], width: int, buckets: int, bits: dict, hot: np.ndarray | None = None) -> dict:
     b = block_bytes(ids, texts)
     if not bits:
         return b | {"at": np.zeros(0, np.int64)}
-    at, count, least, content = B.runs(b["code"], b["n"], width, width - COVER_PERIOD + 1, candidates(b, width, buckets, bits))
+    at, count, least, content = B.runs(b["code"], b["n"], width, width - COVER_PERIOD + 1, candidates(b, width, buckets, bits), hot)
     which = np.searchsorted(b["ends"], at, "right")
     doc, pos, data = b["ids"][which], at - b["starts"][which], b["data"]
     string = lambda i: data[at[i] : at[i] + count[i] + width - 1]
@@ -114,7 +115,7 @@ def byte_windows(width: int):
     return ranges
 
 
-def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, hot_windows: int = B.HOT_WINDOWS) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start:end in bytes).
 
     Removes every byte covered by a string of width bytes that also starts earlier: in a document
@@ -129,14 +130,16 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     buckets = B.n_buckets(docs)
     if width < COVER_PERIOD + 8:
         raise ValueError(f"width must be at least {COVER_PERIOD + 8}")
-    ranks = B.answer(B.send(docs, lambda ids, texts: send_samples(block_bytes(ids, texts), width, buckets)), shared_samples).checkpoint()
+    ranks = B.answer(B.send(docs, lambda ids, texts: send_samples(block_bytes(ids, texts), width, buckets, hot_windows)), shared_samples, hot_windows).checkpoint()
+    hot = B.hot_minimisers(ranks)
+    ranks = ranks.where("block >= 0")
 
     def second(block: int, ids: list, texts: list[bytes], bits: dict) -> list[tuple]:
-        r = block_runs(ids, texts, width, buckets, bits)
+        r = block_runs(ids, texts, width, buckets, bits, hot)
         return [(k, block, p) for k, p in B.pack_runs(r["keep"], r["least"], buckets, r["doc"], r["pos"], r["string"], r["count"])] if len(r["at"]) else []
 
     def last(_: int, ids: list, texts: list[bytes], bits: dict, found: dict) -> list[tuple]:
-        r = block_runs(ids, texts, width, buckets, bits)
+        r = block_runs(ids, texts, width, buckets, bits, hot)
         data = np.frombuffer(r["data"], np.uint8)
         cover = np.zeros(len(data) + 1, np.int32)
         if len(r["at"]):

@@ -4,7 +4,7 @@ import hashlib
 import random
 
 import numpy as np
-from irloom.llm import blocks
+from irloom.llm import blocks, substring_dedup, suffix_dedup
 from irloom.llm.substring_dedup import remove_repeated
 from irloom.llm.suffix_dedup import COVER, COVER_PERIOD, remove_repeated_bytes
 
@@ -95,6 +95,26 @@ def test_bytes_that_repeat_inside_one_string(spark, tmp_path):
         assert got == brute_bytes(rows)
 
 
+def test_hot_minimisers_are_split(spark, tmp_path):
+    """The borders of a passage that all documents hold differ, and share its minimisers."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(25))
+    texts = [f"{' '.join(word() for _ in range(20))} {passage} {' '.join(word() for _ in range(20))}".encode() for _ in range(200)]
+    ids, hot_windows = list(range(200)), 300
+    most = lambda r: np.bincount(np.unique(r["least"][r["keep"]], return_inverse=True)[1], weights=r["count"][r["keep"]]).max()
+    for runs, report in (
+        (lambda hot: substring_dedup.block_runs(ids, texts, 13, 4, hot), lambda: blocks.report(*substring_dedup.word_runs(texts, 13, 4)[2][1:], hot_windows)),
+        (lambda hot: suffix_dedup.block_runs(ids, texts, 100, 1, {0: bytes([255]) * 100000}, hot), lambda: [x for x in suffix_dedup.send_samples(suffix_dedup.block_bytes(ids, texts), 100, 1, hot_windows) if x[0] < 0]),
+    ):
+        hot = np.concatenate([np.frombuffer(blocks.hot_of([p], hot_windows) or b"", "<u8") for _, p in report()])
+        assert len(hot) and most(runs(None)) >= 1000 and most(runs(hot)) < hot_windows
+    rows = [(i, t.decode(), "clash", 1) for i, t in zip(ids, texts)] + [(200 + i, t, b, p) for i, t, b, p in corpus(7)]
+    docs = stored(spark, tmp_path, rows)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeated(docs, hot_windows=40).collect()} == brute_words(rows)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeated_bytes(docs, hot_windows=150).collect()} == brute_bytes(rows)
+
+
 def test_equal_hashes_are_told_apart(spark, tmp_path, monkeypatch):
     """With a hash of few values every match has to be confirmed on the bytes."""
     rows = corpus(4)
