@@ -9,7 +9,9 @@ of such a passage differ in every document and share its minimiser; a minimiser
 windows or more is therefore hot, and its windows go one by one to the buckets of their own hashes.
 
 Blocks are made again for each pass, from the same rows in the same tasks: the documents must be
-read from a stored table, whose scan gives the same partitions each time.
+read from a stored table, whose scan gives the same partitions each time.  n_buckets holds the
+number that the scan's splits depend on, and each pass sends a digest of each block: a block that
+differs in a later pass fails the job.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ MOST_WINDOWS = 128
 HOT_WINDOWS = 1 << 18
 #: A block reports minimisers with so many distinct windows, to one of SIDES buckets below 0.
 REPORTED_WINDOWS, SIDES = 128, 16
+#: Buckets below this one carry digests of blocks and are answered by what they got.
+DIGESTS = -SIDES
 NO_ID = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
@@ -75,7 +79,14 @@ def unsqueeze(data: bytes) -> list[bytes]:
 
 
 def n_buckets(docs: DataFrame) -> int:
-    """So many buckets that each gets about BUCKET_BYTES of text."""
+    """So many buckets that each gets about BUCKET_BYTES of text.
+
+    Splits of a scan follow the cores that are registered when it is planned, unless their number
+    is set; for this session it is set to what it is now.
+    """
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(16, -(-total // BUCKET_BYTES))
 
@@ -85,6 +96,20 @@ def batch_of(names: list[str], rows: list[tuple], types: list[pa.DataType]) -> p
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
+def digest(number: int, *parts: bytes) -> tuple[int, int, bytes]:
+    """The row that carries the digest of a block: its ids, lengths and text."""
+    import xxhash
+
+    x = xxhash.xxh64()
+    for p in parts:
+        x.update(p)
+    return DIGESTS - 1 - number % SIDES, number, x.digest()
+
+
+def body(ids: list, texts: list[bytes]) -> tuple[bytes, bytes, bytes]:
+    return np.array([NO_ID if i is None else i for i in ids], "<i8").tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), b"".join(texts)
+
+
 SENT = (["bucket", "block", "payload"], [pa.int64(), pa.int64(), pa.binary()])
 SENT_SCHEMA = "bucket long, block long, payload binary"
 
@@ -94,7 +119,7 @@ def send(docs: DataFrame, fn: Callable[[list, list[bytes]], list[tuple[int, byte
 
     def run(batches):
         for number, ids, texts in cut(batches, most):
-            yield batch_of(SENT[0], [(b, number, p) for b, p in fn(ids, texts)], SENT[1])
+            yield batch_of(SENT[0], [digest(number, *body(ids, texts)), *[(b, number, p) for b, p in fn(ids, texts)]], SENT[1])
 
     return id_and_text(docs).mapInArrow(run, SENT_SCHEMA)
 
@@ -110,7 +135,10 @@ def answer(sent: DataFrame, fn: Callable[[list[bytes]], list[bytes | None]], hot
         table = table.combine_chunks().sort_by("block")
         blocks, buckets = table.column("block").to_pylist(), table.column("bucket").to_pylist()
         payloads = table.column("payload").to_pylist()
-        out = fn(payloads) if buckets[0] >= 0 else [*[None] * len(payloads), hot_of(payloads, hot)]
+        if buckets[0] < DIGESTS:
+            out = payloads
+        else:
+            out = fn(payloads) if buckets[0] >= 0 else [*[None] * len(payloads), hot_of(payloads, hot)]
         if len(out) > len(blocks):
             blocks, buckets = [*blocks, -1], [*buckets, buckets[0]]
         return pa.Table.from_batches([batch_of(SENT[0], [(k, b, p) for k, b, p in zip(buckets, blocks, out, strict=True) if p is not None], SENT[1])])
@@ -123,8 +151,7 @@ def rejoin(docs: DataFrame, answers: list[DataFrame], fn: Callable, names: list[
 
     def pack(batches):
         for number, ids, texts in cut(batches, most):
-            ids = [NO_ID if i is None else i for i in ids]
-            yield batch_of(["bucket", "block", "payload"], [(-1, number, squeeze(np.array(ids, "<i8").tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), b"".join(texts)))], SENT[1])
+            yield batch_of(SENT[0], [(-1, number, squeeze(*body(ids, texts)))], SENT[1])
 
     rows = id_and_text(docs).mapInArrow(pack, SENT_SCHEMA).withColumn("kind", F.lit(-1))
     for k, a in enumerate(answers):
@@ -134,16 +161,22 @@ def rejoin(docs: DataFrame, answers: list[DataFrame], fn: Callable, names: list[
 
     def run(table: pa.Table) -> pa.Table:
         got: list[dict] = [{} for _ in range(many)]
-        body, block = b"", table.column("block")[0].as_py()
+        whole, block, digests = b"", table.column("block")[0].as_py(), [b""] * many
         for kind, bucket, payload in zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("payload").to_pylist(), strict=True):
             if kind < 0:
-                body = payload
+                whole = payload
+            elif bucket < DIGESTS:
+                digests[kind] = payload
             else:
                 got[kind][bucket] = payload
-        ids, lengths, text = unsqueeze(body)
+        ids, lengths, text = unsqueeze(whole) if whole else (b"", b"", b"")
+        seal = digest(block, ids, lengths, text)
+        if not whole or any(d != seal[2] for d in digests):
+            raise RuntimeError(f"block {block} differs between passes: the scan of the documents gave other partitions")
         ends = np.cumsum(np.frombuffer(lengths, "<i8")).tolist()
         texts = [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        return pa.Table.from_batches([batch_of(names, fn(block, np.frombuffer(ids, "<i8").tolist(), texts, *got), types)])
+        rows = fn(block, np.frombuffer(ids, "<i8").tolist(), texts, *got)
+        return pa.Table.from_batches([batch_of(names, [seal, *rows] if names == SENT[0] else rows, types)])
 
     return rows.groupBy("block").applyInArrow(run, schema)
 

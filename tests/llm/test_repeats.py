@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from irloom.llm import blocks, substring_dedup, suffix_dedup
 from irloom.llm.substring_dedup import remove_repeated
 from irloom.llm.suffix_dedup import COVER, COVER_PERIOD, remove_repeated_bytes
@@ -115,6 +117,17 @@ def test_hot_minimisers_are_split(spark, tmp_path):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeated_bytes(docs, hot_windows=150).collect()} == brute_bytes(rows)
 
 
+def test_other_blocks_in_a_later_pass_fail(spark, tmp_path):
+    """Answers to the blocks of another partitioning must not be read, nor blocks be taken for ones without answers."""
+    docs = stored(spark, tmp_path, corpus(8)).select("doc_id", "text")
+    answers = blocks.answer(blocks.send(docs, lambda ids, texts: [(0, b"x")]), lambda payloads: [None] * len(payloads)).checkpoint()
+    same = lambda d: blocks.rejoin(d, [answers], lambda block, ids, texts, got: [(len(ids),)], ["n"], [pa.int64()], "n long").collect()
+    assert sum(r.n for r in same(docs)) == docs.count()
+    for other in (docs.coalesce(1), docs.repartition(5), docs.where("doc_id <> 3")):
+        with pytest.raises(Exception, match="differs between passes"):
+            same(other)
+
+
 def test_equal_hashes_are_told_apart(spark, tmp_path, monkeypatch):
     """With a hash of few values every match has to be confirmed on the bytes."""
     rows = corpus(4)
