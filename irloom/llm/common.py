@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import gc
+import re
+import tempfile
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +33,29 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WORD_BREAK), lambda w: w != F.lit(""))
 
 
+def by_bytes(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices whose strings and bytes take at most `most`, or one row; none of an empty batch."""
+    size = np.full(batch.num_rows, 16, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    size = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")) - at)
+        yield batch.slice(at, n)
+        at += n
+
+
 def arrow_map(df: DataFrame, fn: Callable[..., dict], schema: str, names: list[str]) -> DataFrame:
-    """mapInArrow over plain lists: fn gets one list per input column and returns one list per output column."""
+    """mapInArrow over plain lists: fn gets one list per input column and returns one list per output column.
+
+    Of a batch no more rows are turned into Python objects at once than by_bytes allows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch], fn=fn, names=names) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in by_bytes(whole):
                 out = fn(*(c.to_pylist() for c in batch.columns))
                 yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in (out[n] for n in names)], names=names)
 
@@ -42,10 +63,14 @@ def arrow_map(df: DataFrame, fn: Callable[..., dict], schema: str, names: list[s
 
 
 def set_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's shared checkpoint folder; only where none is named (tests) a folder of our own."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    """Uses the shared checkpoint folder that the cluster names; a folder of our own only for a local session that names none (tests)."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/irloom")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
 
 
 def release(spark: SparkSession) -> None:

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import Counter, defaultdict
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from irloom.llm.common import documents, id_and_text
+from irloom.llm.common import by_bytes, documents, id_and_text
 
 #: A sequence holds at most so many tokens.
 CAPACITY = 2048
 #: A window of remainders is packed when it holds POOL of them, until HALF are left; at most POOL * CAPACITY ids wait.
 POOL, HALF = 512, 256
-#: So many words' ids are remembered by a Python worker, from task to task.
-WORDS = 500_000
+#: A task forgets the words it has met when they are more than this.
+WORDS = 400_000
 #: New words are encoded so many at a time.
-TOGETHER = 16
+TOGETHER = 64
+#: Texts are encoded in batches of about so many bytes, or one text.
+BATCH_BYTES = 4 << 20
 END = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -50,71 +54,88 @@ def fill(counts: Counter, room: int) -> Counter:
     return used
 
 
+#: What lower-casing and normalising leave as letters, one by one, with at most one stop behind them.
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
+
+
 class WordIds:
-    """Ids of texts as bytes, word by word: this tokenizer's pieces never cross a space or line feed.
+    """Ids of texts word by word: this tokenizer's pieces never cross a space or line feed.
 
-    Letters A-Z are lower-cased first, as the tokenizer does itself (but for texts that may hold its
-    special tokens).  New words are encoded together, words of letters only as one text with a
-    digit, which is a piece of its own, between them.
+    A batch's words are numbered by a dictionary of its distinct words; new ones are encoded together
+    and remembered, and the ids of all words are gathered at once.  Words of Latin letters, with or
+    without a stop, are lower-cased here and skip the tokenizer's own normalising and splitting,
+    which would change nothing; a piece's last token tells where it ends.  All others, such as words
+    with marks or letters that lower-casing makes longer, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.between = self.encode(["0"])[0]
-        self.stops = {c: self.encode([c])[0] for c in ".,"}
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def learn(self, new: set[bytes]) -> None:
-        known, plain, other, stems = self.known, {}, {}, []
-        for w in new:
-            s = w.decode()
-            if s[-1:] in self.stops and s[:-1].isalpha():
-                stems.append((w, w[:-1], self.stops[s[-1]]))
-                if w[:-1] not in known:
-                    plain[w[:-1]] = s[:-1]
-            elif s.isalpha():
-                plain[w] = s
-            else:
-                other[w] = s
-        if plain:
-            names = list(plain.values())
-            parts = self.encode([" 0 ".join(names[i : i + TOGETHER]) + " 0" for i in range(0, len(names), TOGETHER)])
-            data, start = b"".join(parts), 0
-            ends = np.flatnonzero(np.frombuffer(data, "<u4") == np.frombuffer(self.between, "<u4")[0])
-            for w, end in zip(plain, ends.tolist(), strict=True):
-                known[w] = data[4 * start : 4 * end]
-                start = end + 1
-        known.update(zip(other, self.encode(list(other.values())), strict=True))
-        for w, stem, stop in stems:
-            known[w] = known[stem] + stop
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
-        if len(self.known) > WORDS:
-            self.known = {}
-        known, missing, out = self.known, [], []
-        for words in split:
-            ids, at = list(map(known.get, words)), -1
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                missing.append((ids, at, words[at]))
-            out.append(ids)
-        if missing:
-            self.learn({w for _, _, w in missing})
-        for ids, at, w in missing:
-            ids[at] = known[w]
-        end = np.array([END], "<u4").tobytes()
-        return [b"".join(ids) + end for ids in out]
-
-
-@cache
-def word_ids(path: str) -> WordIds:
-    """The one WordIds of a Python worker, so that tasks that reuse the worker do not each load and learn anew."""
-    return WordIds(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ascii = Tokenizer(self.tokenizer.model)
+        self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.is_end[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.number, self.ids, self.ends = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    @staticmethod
+    def encode(tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def plain_ids(self, words: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of words that match PLAIN, and how many each has."""
+        pieces = pc.replace_substring_regex(pc.utf8_lower(words), r"([.,])$", r" \1")
+        groups = pa.ListArray.from_arrays(pa.array([*range(0, len(pieces), TOGETHER), len(pieces)], pa.int32()), pieces)
+        texts = pc.binary_join(groups, " ").to_pylist()
+        parts = [x for t in texts for x in self.encode(self.ascii if t.isascii() else self.letters, [t])]
+        ends = np.flatnonzero(self.is_end[np.concatenate(parts)]) + 1
+        lasts = np.cumsum(1 + pc.match_substring(pieces, " ").to_numpy(zero_copy_only=False)) - 1
+        if len(ends) != lasts[-1] + 1:
+            raise ValueError("the tokenizer does not mark the ends of its words with </w>")
+        return parts, np.diff(ends[lasts], prepend=0)
+
+    def learn(self, new: pa.Array) -> None:
+        """Numbers new words and keeps their ids."""
+        plain = pc.match_substring_regex(new, PLAIN)
+        letters, rest = new.filter(plain), new.filter(pc.invert(plain))
+        parts, sizes = self.plain_ids(letters) if len(letters) else ([], np.zeros(0, np.int64))
+        others = self.encode(self.tokenizer, [w.decode("utf-8", "replace") for w in rest.cast(pa.binary()).to_pylist()])
+        for words in (letters, rest):
+            first = len(self.number)
+            self.number.update(zip(as_bytes(words), range(first, first + len(words)), strict=True))
+        sizes = np.concatenate([sizes, np.array([len(x) for x in others], np.int64)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, *parts, *others])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (strings without nulls), one text behind the other, and where each text's ids end."""
+        if len(self.number) > WORDS:
+            self.forget()
+        special = pc.match_substring(texts, "<|")  # may hold the tokenizer's special tokens, whose case counts
+        folded = pc.if_else(special, texts, pc.ascii_lower(texts)) if pc.any(special).as_py() else pc.ascii_lower(texts)
+        split = pc.split_pattern(pc.replace_substring(folded, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        distinct = as_bytes(words.dictionary)
+        number = list(map(self.number.get, distinct))
+        if missing := [i for i, n in enumerate(number) if n is None]:
+            self.learn(words.dictionary.take(pa.array(missing)))
+            for i in missing:
+                number[i] = self.number[distinct[i]]
+        of_word = np.array(number, np.int64)[words.indices.to_numpy()]
+        start = self.ends[of_word]
+        size = self.ends[of_word + 1] - start
+        behind = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(start - behind[:-1], size) + np.arange(behind[-1])
+        return self.ids[at], behind[np.cumsum(pc.list_value_length(split).to_numpy())]
+
+
+def as_bytes(words: pa.Array) -> list[bytes]:
+    return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
 
 
 class Packer:
@@ -202,14 +223,16 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     def run(batches):
         import public_tokenizers
 
-        encode = word_ids(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        encode = WordIds(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
         packer = Packer(TaskContext.get().partitionId() << 33)
+        end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                for doc_id, data in zip(part.column(0).to_pylist(), encode(part.column(1).cast(pa.binary()).to_pylist()), strict=True):
-                    packer.add(doc_id, data)
-            batch = part = None  # let go of it before the next one arrives
+            for part in by_bytes(batch, BATCH_BYTES):
+                ids, ends = encode(part.column(1))
+                for doc_id, a, z in zip(part.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    packer.add(doc_id, ids[a:z].tobytes() + end)
+            batch = part = ids = None  # let go of it before the next one arrives
             yield packer.taken()
         while packer.size:
             packer.window()
