@@ -21,8 +21,8 @@ SHARED = 0.5
 ESTIMATE = 0.5
 #: Every document is compared with so many others of each of its inverted lists, the least ids.
 HEADS = 10
-#: A family is compared in blocks of about so many documents on either side.
-BLOCK = 100
+#: A group of comparisons holds about so many shingles of either side (16 bytes each with their text), or one document.
+GROUP = 60_000
 # Fixed value: an odd multiplier for the running hash of a shingle.
 MULT = 0x9E3779B97F4A7C15
 
@@ -65,20 +65,23 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
     return arrow_map(rows, run, "doc_id long, n_shingles long, class_key binary, sketch array<long>", ["doc_id", "n_shingles", "class_key", "sketch"])
 
 
-def prefix_entries(reps: DataFrame) -> DataFrame:
+def prefix_entries(reps: DataFrame, k: int = K, percent: int = 75) -> DataFrame:
     """Inverted lists: value, id, for the values by which a document has to be found.
 
     Two sketches that share at least half of either share one of the rarest half (and one more) of
     either, whatever the common order; so of each sketch only its rarest values are listed, and
-    values that no other sketch holds only take up their share.  Common lines and phrases, which
-    many sketches hold, are the last in this order and seldom listed.
+    values that no other sketch holds only take up their share.  A document with so few shingles
+    that the sketches of all that can be linked with it are whole sets must share percent of it,
+    not half.  Common lines and phrases, which many sketches hold, are the last in this order and
+    seldom listed.
     """
     entries = reps.select("id", F.explode("sketch").alias("value"))
     often = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = entries.join(often, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("e"))  # at most K values
     size = F.size("sketch")
-    prefix = size - F.floor(size * SHARED).cast("int") + 1
-    x = ranked.join(reps.select("id", "sketch"), "id")
+    needed = F.when(F.col("n") * 100 <= percent * k, F.ceil(F.col("n") * percent / 100)).otherwise(F.floor(size * SHARED))
+    prefix = size - needed.cast("int") + 1
+    x = ranked.join(reps.select("id", "n", "sketch"), "id")
     return x.select("id", F.explode(F.slice("e", 1, F.greatest(F.lit(0), prefix - (size - F.size("e"))))).alias("e")).select("id", F.col("e.value").alias("value"))
 
 
@@ -90,26 +93,26 @@ def likely(a: Column, b: Column, n_a: Column, n_b: Column, k: int = K) -> Column
 
 
 def exact_links(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
-    """Of pairs (a, b) those whose full shingle sets have 100 * intersection >= percent * union.
+    """Of pairs (a, b, n_b) those whose full shingle sets have 100 * intersection >= percent * union.
 
     Texts of the documents in pairs are read once; b's go to their pairs, and the pairs of one a
-    meet a's text in shares of about 512.
+    meet a's text in shares of about GROUP shingles.  Only documents with more than one share are
+    joined to the pairs.
     """
-    of_a = W.partitionBy("a")
-    pairs = pairs.withColumn("share", F.pmod(F.xxhash64("b"), F.ceil(F.count(F.lit(1)).over(of_a) / 512)))
+    large = pairs.groupBy("a").agg(F.ceil(F.sum("n_b") / GROUP).alias("shares")).where("shares > 1")
+    pairs = pairs.join(large, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1))).alias("share"))
     used = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = id_and_text(docs).join(used, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
     left = pairs.select("a", "share").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "share", F.lit(None).cast("long").alias("b"), "text")
     right = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "share", "b", "text")
 
     def run(table: pa.Table) -> pa.Table:
-        a = table.column("a")[0].as_py()
-        b, text = table.column("b").to_pylist(), table.column("text").to_pylist()
-        mine = shingle_hashes(text[b.index(None)])
+        a, b, text = table.column("a")[0].as_py(), table.column("b").to_pylist(), table.column("text")
+        mine = shingle_hashes(text[b.index(None)].as_py())
         out = []
         for i, t in zip(b, text, strict=True):
             if i is not None:
-                other = shingle_hashes(t)
+                other = shingle_hashes(t.as_py())
                 both = np.intersect1d(mine, other, assume_unique=True).size
                 if 100 * both >= percent * (len(mine) + len(other) - both) > 0:
                     out.append(i)
@@ -138,14 +141,14 @@ def shared_sizes(xs: list[np.ndarray], ys: list[np.ndarray], step: int = 4096) -
 
 
 def family_links(family: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
-    """Links (a, b) that join different components of a family; family has done, id, component.
+    """Links (a, b) that join different components of a family; family has done, id, n, component.
 
     Every document outside the family's main component (done) is compared with all others of the
-    family on full shingle sets.  Both sides are dealt into shares of about BLOCK documents, and each
+    family on full shingle sets.  Both sides are dealt into shares of about GROUP shingles, and each
     pair of shares is a group of its own that receives the texts and returns only links that join
     components not yet joined in it: fewer rows than it was given, however many pairs are linked.
     """
-    shares = family.groupBy("done").agg(F.ceil(F.count_if(F.col("component") != F.col("done")) / BLOCK).alias("lefts"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("rights"))
+    shares = family.groupBy("done").agg(F.ceil(F.sum(F.when(F.col("component") != F.col("done"), F.col("n"))) / GROUP).alias("lefts"), F.ceil(F.sum("n") / GROUP).alias("rights"))
     dealt = family.join(shares, "done")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -226,11 +229,11 @@ def near_components(docs: DataFrame, k: int = K, percent: int = 75) -> DataFrame
     classes = known.groupBy("class_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
     same = known.select("doc_id", "class_key").join(classes.where("n > 1"), "class_key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     reps = known.groupBy("class_key").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n_shingles", "sketch"), "doc_id").alias("x")).select("id", F.col("x.n_shingles").alias("n"), F.col("x.sketch").alias("sketch")).checkpoint()
-    lists = prefix_entries(reps).checkpoint()
+    lists = prefix_entries(reps, k, percent).checkpoint()
     release(docs.sparkSession)
     sketch_a, sketch_b = (reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
 
-    estimated = lambda pairs: pairs.join(sketch_a, "a").join(sketch_b, "b").where(likely(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"), k)).select("a", "b")
+    estimated = lambda pairs: pairs.join(sketch_a, "a").join(sketch_b, "b").where(likely(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"), k)).select("a", "b", "n_b")
 
     heads = lists.withColumn("rank", F.row_number().over(W.partitionBy("value").orderBy("id"))).where(F.col("rank") <= HEADS).select("value", F.col("id").alias("a"))
     first = lists.join(heads, "value").where("a < id").select("a", F.col("id").alias("b")).distinct().checkpoint()
@@ -242,7 +245,7 @@ def near_components(docs: DataFrame, k: int = K, percent: int = 75) -> DataFrame
     # of a list the pairs with its heads are done; those left lie in two components, at least one of them outside the list's main one
     parts = member.groupBy("value", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("value").agg(F.max(F.struct("n", "component"))["component"].alias("done"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where(f"parts > 1 and size > {HEADS + 1}")
-    family = member.join(mixed.select("value", "done"), "value").select("done", "id", "component").distinct().checkpoint()
+    family = member.join(mixed.select("value", "done"), "value").select("done", "id", "component").distinct().join(reps.select("id", "n"), "id").checkpoint()
     release(docs.sparkSession)
     joined = labels.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
     found = components(joined.unionByName(family_links(family, docs, percent)).unionByName(same))
