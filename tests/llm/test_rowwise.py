@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from irloom.llm import chat_format, language_id, packing, secrets
+from irloom.llm import decontaminate as decontaminate_module
 from irloom.llm.decontaminate import contained_items, decontaminate
 from irloom.llm.exact_dedup import exact_dedup, exact_groups
 
@@ -30,7 +31,11 @@ def test_exact_groups(spark):
     assert sorted((r.doc_id or -1, r.kept) for r in exact_groups(odd).collect()) == [(-1, False), (-1, False), (5, True), (5, True)]
 
 
-def test_contained_items(spark):
+@pytest.mark.parametrize("rows", [100_000, 0])
+def test_contained_items(spark, monkeypatch, rows):
+    """By broadcast and by shuffle, with pieces far shorter than the documents."""
+    monkeypatch.setattr(decontaminate_module, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(decontaminate_module, "PIECE", 37)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 5)))
     items = [[word() for _ in range(n)] for n in (1, 3, 5, 6, 9, 20, 33, 64, 100)]
@@ -111,6 +116,22 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_ids_of_odd_strings():
+    """Letters that lower-casing lengthens, marks, stops and special tokens in any order give the whole tokenizer's ids."""
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(0)
+    pool = [*"aBéÉßİıΣς.,'90½²´日本ªºµ_-À×÷ÿŸ\t\r\x0b\xa0\u2009\u0301\u0307\u0958\u212a\ufb01\u01c5\u1c8a\U0001f600\u200d", "..", "'s", "'RE", " ", " ", "  ", "\n", "\n\n", "x.", "Z,", "</w>", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 14))) for _ in range(8000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x250, 0xD7FF), rng.randrange(0xE000, 0x1FFFF)])) for _ in range(rng.randint(1, 10))) + rng.choice(["", ".", ","]) for _ in range(8000)]
+    ids, ends = packing.WordIds(path)(pa.array(texts))
+    whole = Tokenizer.from_file(path)
+    got = [ids[a:z].tolist() for a, z in itertools.pairwise([0, *ends.tolist()])]
+    assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_fill_is_the_best_subset():
     rng = random.Random(1)
     for _ in range(300):
@@ -165,6 +186,7 @@ def test_chat(spark):
         assert back[c] == [(r or "", t or "") for _, _, r, t in sorted(((x[0], -1 if x[1] is None else x[1], x[2], x[3]) for x in rows if x[0] == c), key=lambda x: x[1])]
     assert {r.conv_id for r in out.collect() if r.valid_order} == {1, 4}
     digest = {r.conv_id: r for r in chat_format.conversation_digest(out).collect()}
+    assert {c for c, r in digest.items() if r.valid_order} == {1, 4}
     learned = "".join(t or "" for i, t in enumerate(tricky) if i % 2)
     assert digest[1].loss_chars == len(learned) and digest[1].loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
     assert chat_format.conversation_digest(chat_format.format_conversations(turns.limit(0))).count() == 0
