@@ -90,7 +90,8 @@ def count_words(payloads: list[bytes]) -> list[bytes | None]:
     got = [B.unsqueeze(p) for p in payloads]
     h = np.concatenate([np.frombuffer(g[0], "<u8") for g in got])
     _, inverse = np.unique(h, return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate([np.frombuffer(g[1], "<i8") for g in got])).astype(np.int64)
+    total = np.zeros(int(inverse.max()) + 1, np.int64)
+    np.add.at(total, inverse, np.concatenate([np.frombuffer(g[1], "<i8") for g in got]))
     out, at = [], 0
     for g in got:
         m = len(g[0]) // 8
@@ -171,7 +172,7 @@ def send_pairs(block: int, p: dict, buckets: int, hot: int) -> list[tuple]:
         at, n = heads(p["first"][k])
         h = p["first"][k[at]]
         six = p["h2"][k].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-        out.append((b, block, B.squeeze(p["h1"][h].astype("<u8").tobytes(), p["c1"][h].astype("<i8").tobytes(), n.astype("<i4").tobytes(), six, p["own"][k].astype("<i4").tobytes(), p["c2"][k].astype("<i4").tobytes())))
+        out.append((b, block, B.squeeze(p["h1"][h].astype("<u8").tobytes(), p["c1"][h].astype("<i8").tobytes(), n.astype("<i4").tobytes(), six, p["own"][k].astype("<i8").tobytes(), p["c2"][k].astype("<i8").tobytes())))
     return out
 
 
@@ -189,20 +190,21 @@ def count_pairs(payloads: list[bytes], words: Words, hot: int) -> list[bytes | N
     six = np.frombuffer(b"".join(g[3] for g in got), np.uint8).reshape(-1, 6)
     wide = np.zeros((len(six), 8), np.uint8)
     wide[:, :6] = six
-    own, c2 = (np.concatenate([np.frombuffer(g[k], "<i4") for g in got]) for k in (4, 5))
+    own, c2 = (np.concatenate([np.frombuffer(g[k], "<i8") for g in got]) for k in (4, 5))
     h1, h1_of = np.unique(cols[0], return_inverse=True)
     c1 = np.zeros(len(h1), np.int64)
     c1[h1_of] = cols[1]
     first = np.repeat(h1_of, cols[2])
     key = B.mixed(h1[first] * B.U(B.BASE) + wide.view("<u8").ravel() * B.U(0xD1B54A32D192ED03))
     _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-    total = np.bincount(inverse, weights=own, minlength=len(at)).astype(np.int64)
+    total = np.zeros(len(at), np.int64)
+    np.add.at(total, inverse, own)
     times, seen = history_sums(first[at], len(h1), total, c2[at], words)
     out, i, j = [], 0, 0
     for g in got:
-        a, z = len(g[2]) // 4, len(g[4]) // 4
+        a, z = len(g[2]) // 4, len(g[4]) // 8
         h = h1_of[i : i + a]
-        out.append(B.squeeze(total[inverse[j : j + z]].astype("<i4").tobytes(), times[h].astype("<i4").tobytes(), seen[h].astype("<f8").tobytes()))
+        out.append(B.squeeze(total[inverse[j : j + z]].astype("<i8").tobytes(), times[h].astype("<i8").tobytes(), seen[h].astype("<f8").tobytes()))
         i, j = i + a, j + z
     large = np.flatnonzero(c1 > hot)
     stats = np.array([(total == r).sum() for r in range(1, MOST + 2)], "<i8")
@@ -217,9 +219,9 @@ def score_block(ids: list, t: dict, c: np.ndarray, buckets: int, got: dict, word
     times, seen = np.zeros((n1, MOST), np.int64), np.zeros(n1)
     for b, k in sent_pairs(p, buckets, hot).items():
         data = B.unsqueeze(got[b])
-        total[k] = np.frombuffer(data[0], "<i4")
+        total[k] = np.frombuffer(data[0], "<i8")
         h = p["first"][k[heads(p["first"][k])[0]]]
-        times[h] = np.frombuffer(data[1], "<i4").reshape(-1, MOST)
+        times[h] = np.frombuffer(data[1], "<i8").reshape(-1, MOST)
         seen[h] = np.frombuffer(data[2], "<f8")
     for h in np.flatnonzero(p["c1"] > hot).tolist():
         if int(p["h1"][h]) in sums:
