@@ -79,12 +79,12 @@ def read_back(formatted: Column, t: dict = TEMPLATE) -> Column:
 
 
 def conversation_digest(formatted: DataFrame, t: dict = TEMPLATE) -> DataFrame:
-    """Counts and hashes of format_conversations' output, taken from the formatted text and its segments."""
+    """Counts and hashes of format_conversations' output, taken from the formatted text and its segments, and whether its turn order is valid."""
     x = formatted.select("conv_id", "valid_order", read_back(F.col("formatted"), t).alias("back"), F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape_text(s["text"], t)), "").alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"))
     return x.select(
         "conv_id", F.size("back").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("back", lambda b: F.concat(b["role"], F.lit("\n"), b["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars",
+        F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars", "valid_order",
     )
 
 
@@ -106,11 +106,16 @@ e as (
   select *, replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\t') as et,
          case when role in ('system', 'user', 'assistant', 'tool') then role
               else concat('?', replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\t'), ':', '\c')) end as label
-  from t)
+  from t),
+o as (
+  select *, lag(role, 1, 'start') over w as before, lead(role) over w as after
+  from e window w as (partition by conv_id order by turn nulls first, role, text))
 select conv_id, count(*) as n_turns,
        sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by turn, role, text)) as turns_sha256,
        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-       cast(sum(4 + length(label) + 2 + length(et) + 8) as bigint) as formatted_chars
-from e group by conv_id
+       cast(sum(4 + length(label) + 2 + length(et) + 8) as bigint) as formatted_chars,
+       bool_and(concat(before, '>', role) in ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user', 'assistant>tool', 'tool>assistant')
+                and (after is not null or role = 'assistant')) as valid_order
+from o group by conv_id
 """
