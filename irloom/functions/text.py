@@ -48,7 +48,7 @@ def counted_lines(text: Column) -> Column:
         closed = (opens | (s["depth"] > 0)) & (depth == 0)
         return F.struct(depth.alias("depth"), n.alias("n"), F.when(closed, F.array_append(s["done"], n)).otherwise(s["done"]).alias("done"))
 
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     return F.aggregate(lines, zero, step, lambda s: F.when(s["depth"] > 0, F.array_append(s["done"], s["n"])).otherwise(s["done"]))
 
 
@@ -58,19 +58,31 @@ def keeps_function(text: Column, least: int = 3) -> Column:
     return (F.size(counts) == 0) | F.exists(counts, lambda c: c > least)
 
 
-def pretokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PRETOKEN), F.lit(0))
+def pretokens(text: Column, specials: tuple[str, ...] = ()) -> Column:
+    """Runs of word characters or of other visible characters; special tokens stay whole."""
+    return F.regexp_extract_all(text, F.lit(with_specials(specials)), F.lit(0))
 
 
-def token_offsets(text: Column, tokens: Column) -> Column:
-    """start and end (exclusive) of each pre-token, found one after another."""
-    zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+#: Pre-tokens and the white space between them, which together are the whole text.
+PIECE = PRETOKEN + r"|\s+"
 
-    def step(s: Column, token: Column) -> Column:
-        start = F.position(token, text, s["at"])
-        return F.struct((start + F.length(token)).alias("at"), F.array_append(s["spans"], F.struct((start - 1).alias("start"), (start - 1 + F.length(token)).alias("end"))).alias("spans"))
 
-    return F.aggregate(tokens, zero, step, lambda s: s["spans"])
+def token_offsets(text: Column, specials: tuple[str, ...] = ()) -> Column:
+    """start and end (exclusive) of each pre-token.
+
+    With special tokens they are matched whole, and one in front and one behind the text stand at (0, 0).
+    """
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(with_specials(specials, PIECE)), F.lit(0)), lambda x: F.struct(F.length(x).alias("n"), (~x.rlike(r"^\s+$")).alias("token")))
+    ends = lambda s: F.aggregate(s, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x["n"]))
+    span = lambda s, e: F.filter(F.transform(s, lambda x, i: F.struct(e[i].alias("start"), F.get(e, i + 1).alias("end"), x["token"].alias("token"))), lambda x: x["token"])
+    spans = let(sizes, lambda s: let(ends(s), lambda e: F.transform(span(s, e), lambda x: F.struct(x["start"], x["end"]))))
+    edge = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")))
+    return F.concat(edge, spans, edge) if specials else spans
+
+
+def with_specials(specials: tuple[str, ...], pattern: str = PRETOKEN) -> str:
+    """The pattern of pre-tokens that finds special tokens whole before it splits."""
+    return "|".join([*(f"\\Q{t}\\E" for t in sorted(specials, key=len, reverse=True)), pattern])
 
 
 def strip_instruction_id(line: Column) -> Column:
@@ -93,6 +105,11 @@ def edge_probability(label: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(label, r"(\d+(?:\.\d+)?)%", 1), F.lit("")).cast("double") / 100, F.lit(1.0))
 
 
+def graph_node_label(line: Column, inst_id: Column) -> Column:
+    """An instruction as a node's label: double quotes become single ones, its number stands on a line of its own."""
+    return F.concat(F.replace(line, F.lit('"'), F.lit("'")), F.lit("\\n(ID: "), inst_id.cast("string"), F.lit(")"))
+
+
 def strip_metadata(line: Column) -> Column:
     """An instruction without its metadata attachments."""
     return F.regexp_replace(line, r",\s*![\w.]+\s+!(\d+|\{[^}]*\})", "")
@@ -120,14 +137,20 @@ def occurrences(text: Column, token: str) -> Column:
 
 # --- normaliser ---------------------------------------------------------------------------------------
 
+# The metadata definition, the names, and the integers that the rules are about.
 METADATA_LINE = r"^!\d+\s*=\s*!?\{.*\}$"
 VARIABLE = r"%(?!\d+(?![\w.]))[.\w]+"
-GLOBAL = r'@"[^"]*"|@\w[\w.]*'
-#: What constants' rules leave alone, and what lies between.
-SEGMENT = rf"{VARIABLE}|{GLOBAL}|%\"[^\"]*\"|!\d+|[^%@!]+|[%@!]"
+GLOBAL = r'@"[^"]*"|@\x01?\w[\w.]*'
 INTEGER = r"(?<!i)(?<!\[)(?<!%\.)\b{}\b(?![*.]|\s*x\s)"
-#: Integers up to 16 and these stay; others are masked by size.
-KEPT_INTS = ("24", "32", "48", "64", "128", "256")
+KEPT_INTS = ("24", "32", "48", "64", "128", "256")  # besides those up to 16
+KEPT_INTS_ADVANCED = (*KEPT_INTS, "73", "105")
+#: The name that a define or declare line is about; it is marked, as it is renamed whatever its prefix is.
+DEFINED = r"(?m)^([ \t]*(?:{})\s[^@\n]*\s)@(\w+)(?=\s*\()"
+MARK = "\x01"
+#: What is left as it is or renamed, and the text between, line by line; the first alternative is a line that only holds a label.
+SEGMENT = rf"(?m)^[^:%@!\n]+:[ \t]*$|{VARIABLE}|{GLOBAL}|%\"[^\"]*\"|!\d+|[^%@!\n]+|[%@!\n]"
+#: The same with string literals on their own, and comments and declarations left as they are.
+SEGMENT_ADVANCED = rf"(?m)^[ \t]*(?:;|declare)[^\n]*$|^[^:%@!\n]+:[ \t]*$|{VARIABLE}|{GLOBAL}|%\"[^\"]*\"|!\d+|\"[^\"@%\n]*\"(?!\s*:)|[^%@!\"\n]+|[%@!\"\n]"
 
 
 def let(value: Column, body) -> Column:
@@ -141,11 +164,10 @@ def strip_header(text: Column) -> Column:
 
 def strip_metadata_tail(text: Column) -> Column:
     """Drops metadata definitions behind the last line of content."""
-    lines = F.split(text, "\n")
     defines = lambda x: F.trim(x).rlike(METADATA_LINE)
-    content = F.transform(lines, lambda x, i: F.when((F.trim(x) != "") & ~F.trim(x).startswith(";") & ~defines(x), i))
-    keep = lambda last: F.when(last.isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, i: (i <= last) | ~defines(x)), "\n"))
-    return let(F.array_max(content), keep)
+    content = lambda lines: F.transform(lines, lambda x, i: F.when((F.trim(x) != "") & ~F.trim(x).startswith(";") & ~defines(x), i))
+    keep = lambda lines: lambda last: F.when(last.isNull(), F.array_join(lines, "\n")).otherwise(F.array_join(F.filter(lines, lambda x, i: (i <= last) | ~defines(x)), "\n"))
+    return let(F.split(text, "\n"), lambda lines: let(F.array_max(content(lines)), keep(lines)))
 
 
 def strip_comments(text: Column) -> Column:
@@ -154,33 +176,33 @@ def strip_comments(text: Column) -> Column:
     return F.array_join(F.transform(lines, lambda x: F.trim(F.substring_index(x, ";", 1))), "\n")
 
 
-def mask_constants(part: Column, float_first: bool = False) -> Column:
+def mask_constants(part: Column, float_first: bool = False, kept: tuple[str, ...] = KEPT_INTS) -> Column:
     """Hexadecimal numbers, then integers by size, then fractions (by default in this order)."""
-    masks = [(INTEGER.format(r"0*(?!0*(?:{})\b)(?:1[7-9]|[2-9]\d)".format("|".join(KEPT_INTS))), "<MED_INT>"), (INTEGER.format(r"0*(?!0*(?:{})\b)[1-9]\d\d".format("|".join(KEPT_INTS))), "<LARGE_INT>"), (INTEGER.format(r"0*[1-9]\d{3,}"), "<HUGE_INT>")]
+    other = r"0*(?!0*(?:{})\b)".format("|".join(kept))
+    masks = [(INTEGER.format(other + r"(?:1[7-9]|[2-9]\d)"), "<MED_INT>"), (INTEGER.format(other + r"[1-9]\d\d"), "<LARGE_INT>"), (INTEGER.format(r"0*[1-9]\d{3,}"), "<HUGE_INT>")]
     floats = [(r"(?<!%\.)\b\d+\.\d+(?:e[+-]?\d+)?\b", "<FLOAT_CONST>")]
     rules = [(r"\b0x[0-9a-fA-F]+\b", "<HEX_CONST>"), *(floats + masks if float_first else masks + floats)]
-    return reduce(lambda c, r: F.regexp_replace(c, *r), rules, part)
-
-
-def renames(name: Column) -> Column:
-    """Whether a global's name is given a number."""
-    bare = F.regexp_replace(F.substring(name, 2, 1 << 30), '"', "")
-    return ~bare.rlike(r"^(func|var|bb|\d|llvm\.|\.|$)")
+    return F.when(part.rlike(r"\d"), reduce(lambda c, r: F.regexp_replace(c, *r), rules, part)).otherwise(part)
 
 
-def rename_segments(text: Column, float_first: bool = False) -> Column:
-    """Variables and globals by order of first appearance, constants masked between them."""
-    parts = F.regexp_extract_all(text, F.lit(SEGMENT), F.lit(0))
-    bare = lambda x: F.regexp_replace(x, '"', "")
-    is_var = lambda x: x.rlike(rf"^{VARIABLE}$") & ~x.startswith("%.")
-    is_global = lambda x: x.rlike(rf"^(?:{GLOBAL})$") & renames(x)
+def rename_segments(text: Column, float_first: bool = False, mode: str = "regex") -> Column:
+    """Variables and globals by order of first appearance, constants masked between them; label lines stay."""
+    advanced = mode == "advanced"
+    parts = F.regexp_extract_all(text, F.lit(SEGMENT_ADVANCED if advanced else SEGMENT), F.lit(0))
+    bare = lambda x: F.regexp_replace(x, '["\x01]', "")
+    skipped = r"^@(func|bb|\d|llvm\.|\.|$)" if advanced else r"^@(func|var|bb|\d|llvm\.|\.|$)"
+    is_var = lambda x: x.startswith("%") & x.rlike(rf"^{VARIABLE}$") & ~x.startswith("%.")
+    is_global = lambda x: x.startswith("@") & x.rlike(rf"^(?:{GLOBAL})$") & (x.startswith("@" + MARK) | ~bare(x).rlike(skipped))
+    label = lambda x: x.rlike(r":[ \t]*$")
+    untouched = lambda x: x.rlike(r"^[ \t]*(;|declare)") | label(x) if advanced else label(x)
+    string = lambda x, other: F.when(x.rlike(r'^"[^"@%\n]*"$'), F.lit("<STRING_CONST>")).otherwise(other) if advanced else other
 
     def rename(p: Column) -> Column:
         one = lambda x: (
             F.when(is_var(x), F.concat(F.lit("%var"), F.array_position(p["variables"], x) - 1))
             .when(is_global(x), F.concat(F.lit("@func"), F.array_position(p["functions"], bare(x)) - 1))
-            .when(x.rlike(r"^([@!%].)"), x)
-            .otherwise(mask_constants(x, float_first))
+            .when(x.rlike(r"^[@!%\n]") | untouched(x), x)
+            .otherwise(string(x, mask_constants(x, float_first, KEPT_INTS_ADVANCED if advanced else KEPT_INTS)))
         )
         return F.array_join(F.transform(p["parts"], one), "")
 
@@ -188,6 +210,15 @@ def rename_segments(text: Column, float_first: bool = False) -> Column:
     return let(parts, lambda p: let(names(p), rename))
 
 
-def normalize_ir(text: Column, float_first: bool = False) -> Column:
-    """The whole normaliser by text rules: header, metadata tail, comments, then names and constants."""
-    return F.trim(rename_segments(strip_comments(strip_metadata_tail(strip_header(F.trim(text)))), float_first))
+def normalize_ir(text: Column, float_first: bool = False, mode: str = "regex") -> Column:
+    """The whole normaliser by text rules: header, metadata tail, comments, then names and constants.
+
+    mode advanced keeps headers, comments, indentation and declarations, renames names that begin
+    with var too, keeps 73 and 105 and masks string literals.  A label line stays as it is, and the
+    name on a define (regex mode: or declare) line is renamed whatever its prefix is.
+    """
+    if mode not in ("regex", "advanced"):
+        raise ValueError("mode is regex or advanced")
+    body = strip_metadata_tail(text) if mode == "advanced" else strip_comments(strip_metadata_tail(strip_header(F.trim(text))))
+    marked = F.regexp_replace(body, DEFINED.format("define" if mode == "advanced" else "define|declare"), f"$1@{MARK}$2")
+    return F.trim(rename_segments(marked, float_first, mode))

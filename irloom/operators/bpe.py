@@ -2,44 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from irloom.functions.text import pretokens
 from irloom.operators.tables import pair_counts, top_pairs, word_counts
+from irloom.plans.session import ensure_checkpoint_dir
 
 # Special tokens, which take the first ids.
 SPECIALS = ("<s>", "<pad>", "</s>", "<unk>", "<mask>", "<func>", "</func>", "<bb>", "<HEX_CONST>")
+# Tokens that are matched whole before words are split, and those that a vocabulary should have.
+ATOMIC = ("<func>", "<bb>", "<var>", "<const>", "<MED_INT>", "<LARGE_INT>", "<HUGE_INT>", "<HEX_CONST>", "<FLOAT_CONST>", "<STRING_CONST>")
+EXPECTED = ("<pad>", "<unk>", "<bos>", "<eos>", "<mask>", *ATOMIC)
 
 
-def merge_pair(symbols: Column, left: str, right: str) -> Column:
-    """Joins each occurrence of a pair, from the left."""
-    zero = F.array().cast("array<string>")
-
-    def step(s: Column, x: Column) -> Column:
-        last = F.element_at(s, -1)
-        join = (F.size(s) > 0) & (x == right) & (F.try_element_at(s, F.lit(-1)) == left)
-        return F.when(join, F.array_append(F.slice(s, 1, F.size(s) - 1), F.concat(last, x))).otherwise(F.array_append(s, x))
-
-    return F.aggregate(symbols, zero, step)
-
-
-def train_merges(docs: DataFrame, n_merges: int, least: int = 2, text: str = "text") -> list[tuple[str, str]]:
-    """The merges in order.  Words are counted once; each round counts pairs over distinct words and applies the best.
-
-    One pair per round reaches the driver; the words' lineage is cut by checkpoint() every few rounds.
+def apply_merges(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """A word's symbols after all merges, the lowest rank first, each from the left."""
+    while len(symbols) > 1:
+        rank, best = min(((ranks.get(p, len(ranks)), p) for p in zip(symbols, symbols[1:], strict=False)))
+        if rank == len(ranks):
+            break
+        out, i = [], 0
+        while i < len(symbols):
+            if tuple(symbols[i : i + 2]) == best:
+                out.append(symbols[i] + symbols[i + 1])
+                i += 2
+            else:
+                out.append(symbols[i])
+                i += 1
+        symbols = out
+    return symbols
+
+
+def merged(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """A table of distinct words with its column symbols merged; the merges, fewer than a vocabulary, go to every task."""
+    names, ranks = words.columns, {m: i for i, m in enumerate(merges)}
+    at = names.index("symbols")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols = pa.array([apply_merges(s, ranks) for s in batch.column(at).to_pylist()], batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays([symbols if i == at else c for i, c in enumerate(batch.columns)], names=names)
+
+    return words.mapInArrow(run, words.schema)
+
+
+def independent(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Of pairs, in order, those that share no symbol with one taken before, so that merging one changes no other's count."""
+    used: set[str] = set()
+    out = []
+    for left, right in pairs:
+        if not used & {left, right}:
+            out.append((left, right))
+            used |= {left, right}
+    return out
+
+
+def train_merges(docs: DataFrame, n_merges: int, least: int = 2, text: str = "text", together: int = 1) -> list[tuple[str, str]]:
+    """The merges in order.
+
+    Words are counted once; each round counts pairs over distinct words, takes the most frequent
+    ones (ties: by their text) and stores the words with these merged.  A round takes up to
+    `together` of them that share no symbol: with 1 the merges are the exact ones; more need fewer
+    rounds and may take a pair before one that shares a symbol or becomes more frequent in the round.
+    `together` pairs a round reach the driver.
     """
-    words = word_counts(docs, text).select("word", "n", F.split("word", "").alias("symbols")).checkpoint()
+    ensure_checkpoint_dir(docs.sparkSession)
+    words = word_counts(docs, text).select("n", F.split("word", "").alias("symbols")).checkpoint()
     merges: list[tuple[str, str]] = []
-    for i in range(n_merges):
-        best = top_pairs(pair_counts(words), 1, least).collect()
+    while len(merges) < n_merges:
+        best = [(r["left"], r["right"]) for r in top_pairs(pair_counts(words), together, least).collect()]
         if not best:
             break
-        merges.append((best[0]["left"], best[0]["right"]))
-        words = words.withColumn("symbols", merge_pair(F.col("symbols"), *merges[-1]))
-        if i % 5 == 4:
-            words = words.checkpoint()
+        new = independent(best)[: n_merges - len(merges)]
+        words, merges = merged(words, new).checkpoint(), merges + new
     return merges
 
 
@@ -52,19 +92,57 @@ def vocabulary(docs: DataFrame, merges: list[tuple[str, str]], text: str = "text
     return firsts.select("token", (F.row_number().over(W.orderBy("k.kind", "k.at", "token")) - 1).alias("id"))  # as many rows as the vocabulary
 
 
-def encode(docs: DataFrame, merges: list[tuple[str, str]], vocab: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, input_ids with <s> and </s>: distinct words are encoded once and joined back by word and position."""
-    tokens = docs.select(key, F.posexplode(pretokens(F.col(text))).alias("at", "word"))
-    pieces = tokens.select("word").distinct().withColumn("symbols", F.split("word", ""))
-    for left, right in merges:
-        pieces = pieces.withColumn("symbols", merge_pair(F.col("symbols"), left, right))
+def single_template(ids: Column, bos: int = 0, eos: int = 2) -> Column:
+    """<s> ids </s>."""
+    return F.concat(F.array(F.lit(bos)), ids, F.array(F.lit(eos)))
+
+
+def pair_template(a: Column, b: Column, bos: int = 0, eos: int = 2) -> Column:
+    """input_ids of two texts, each between <s> and </s>, and segment_ids, 0 for the first and 1 for the second."""
+    return F.struct(F.concat(single_template(a, bos, eos), single_template(b, bos, eos)).alias("input_ids"), F.concat(F.array_repeat(F.lit(0), F.size(a) + 2), F.array_repeat(F.lit(1), F.size(b) + 2)).alias("segment_ids"))
+
+
+def encode(docs: DataFrame, merges: list[tuple[str, str]], vocab: DataFrame, key: str = "doc_id", text: str = "text", atomic: tuple[str, ...] = ()) -> DataFrame:
+    """key, input_ids with <s> and </s>: distinct words are encoded once and joined back by word and position.
+
+    Tokens named in atomic are matched whole before words are split.
+    """
+    tokens = docs.select(key, F.posexplode(pretokens(F.col(text), atomic)).alias("at", "word"))
+    distinct = tokens.select("word").distinct()
+    pieces = merged(distinct.select("word", F.when(F.col("word").isin(*atomic), F.array("word")).otherwise(F.split("word", "")).alias("symbols")), merges)
     ids = pieces.select("word", F.posexplode("symbols").alias("p", "token")).join(vocab, "token", "left").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("p", F.coalesce("id", F.lit(SPECIALS.index("<unk>"))).alias("id")))).alias("x"))
     per_doc = tokens.join(ids.select("word", F.col("x.id").alias("ids")), "word").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("x"))
     body = F.flatten(F.col("x.ids"))
-    return docs.select(key).join(per_doc, key, "left").select(key, F.concat(F.array(F.lit(0)), F.coalesce(body, F.array().cast("array<int>")), F.array(F.lit(2))).alias("input_ids"))
+    return docs.select(key).join(per_doc, key, "left").select(key, single_template(F.coalesce(body, F.array().cast("array<int>"))).alias("input_ids"))
 
 
 def decode(encoded: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, decoded: the tokens of the ids, special ones left out."""
     x = encoded.select(key, F.posexplode("input_ids").alias("at", "id")).join(vocab, "id").where(~F.col("token").isin(*SPECIALS))
     return encoded.select(key).join(x.groupBy(key).agg(F.array_join(F.expr("transform(sort_array(collect_list(struct(at, token))), x -> x.token)"), "").alias("d")), key, "left").select(key, F.coalesce("d", F.lit("")).alias("decoded"))
+
+
+def missing_special_tokens(vocab: DataFrame, expected: tuple[str, ...] = EXPECTED) -> DataFrame:
+    """token: the expected tokens that a vocabulary lacks, which would become <unk>."""
+    return vocab.sparkSession.createDataFrame([(t,) for t in expected], "token string").join(vocab, "token", "left_anti")
+
+
+def vocab_stats(vocab: DataFrame, sample: int = 20) -> DataFrame:
+    """vocab_size, n_special and the first tokens by id, in one row."""
+    first = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("id") < sample, F.struct("id", "token")))), lambda x: x["token"]), " ")
+    return vocab.agg(F.count(F.lit(1)).alias("vocab_size"), F.count_if(F.col("token").isin(*SPECIALS)).alias("n_special"), first.alias("sample_tokens"))
+
+
+def save_vocab(vocab: DataFrame, merges: list[tuple[str, str]], path: str) -> None:
+    """Tables vocab (token, id), merges (rank, left, right) and config below path."""
+    spark = vocab.sparkSession
+    vocab.write.parquet(f"{path}/vocab")
+    spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, left string, right string").coalesce(1).write.parquet(f"{path}/merges")
+    config = spark.createDataFrame([("bpe", len(merges), list(SPECIALS))], "model_type string, n_merges int, special_tokens array<string>")
+    config.coalesce(1).write.json(f"{path}/config")
+
+
+def load_vocab(spark: SparkSession, path: str) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """The vocabulary and the merges that save_vocab has stored."""
+    merges = [(r["left"], r["right"]) for r in spark.read.parquet(f"{path}/merges").orderBy("rank").collect()]  # fewer than the vocabulary
+    return spark.read.parquet(f"{path}/vocab"), merges

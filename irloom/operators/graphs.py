@@ -1,101 +1,228 @@
-"""Control-flow and data-dependence edges from IR text, as joins and windows over its lines."""
+"""Control-flow and data-dependence edges from IR text.
+
+A function's text is taken apart within its row: into blocks at its label lines, into instructions
+within blocks, and each instruction's tokens are counted where its text stands.  Only the edges
+between definitions and uses, and between stores and loads, need a shuffle, of rows without text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from irloom.functions.text import PRETOKEN
+from irloom.functions.text import PRETOKEN, let
+from irloom.operators.tables import split_functions, success_flag
 
-LABEL = r"^[\w.$]+:"
+#: Names of values, labels and globals behind their sigil.
+NAME = r'(?:[-a-zA-Z$._0-9]+|"[^"]*")'
+LABEL = rf"[ \t]*({NAME}):"
 #: Two neighbours of one token.
 JOINED = r"^([\p{L}\p{M}\p{N}_]{2}|[^\p{L}\p{M}\p{N}_\s]{2})$"
+#: Stands for a line break inside an instruction.
+BREAK = "\x01"
+TERMINATOR = rf"^(?:%{NAME}\s*=\s*)?(?:br|switch|indirectbr|invoke|callbr|catchswitch|catchret|cleanupret)\b"
+KEY = ["file_path", "function_name"]
+
+
+def unquoted(name: Column) -> Column:
+    return F.replace(name, F.lit('"'), F.lit(""))
+
+
+def body_of(text: Column) -> Column:
+    """The lines of a function between its braces, without blank and comment lines; instructions over several lines are joined by BREAK."""
+    body = F.regexp_replace(F.regexp_extract(text, r"(?s)^define [^\n]*\{[^\n]*\n(.*?)\n?\}\s*$", 1), r"(?m)^[ \t]*(?:;[^\n]*)?(?:\n|\z)", "")
+    body = F.regexp_replace(body, r"\n(?=[ \t]+(?:to label %|cleanup\b|catch |filter ))", BREAK)
+    in_brackets = F.regexp_replace(body, r"\n(?=[^\[\]]*\])", BREAK)
+    return F.when(body.rlike(r"\b(switch|indirectbr) "), in_brackets).otherwise(body)
+
+
+def blocks_of(text: Column) -> Column:
+    """An array of block (its label, entry where the first has none) and lines (trimmed, label line left out), in order."""
+
+    def block(part: Column) -> Column:
+        name = F.regexp_extract(part, "^" + LABEL, 1)
+        lines = F.transform(F.filter(F.split(part, "\n"), lambda x: F.trim(x) != ""), lambda x: F.trim(x))
+        return F.struct(F.when(name == "", "entry").otherwise(unquoted(name)).alias("block"), name.alias("label"), F.when(name == "", lines).otherwise(F.slice(lines, 2, 1 << 30)).alias("lines"))
+
+    return F.filter(F.transform(F.split(body_of(text), rf"\n(?={LABEL})"), block), lambda b: (b["label"] != "") | (F.size(b["lines"]) > 0))
+
+
+def instructions_of(text: Column) -> Column:
+    """An array of block, line (on one line) and needle (as in the text); an instruction's number is its place."""
+    one = lambda b: F.transform(b["lines"], lambda x: F.struct(b["block"].alias("block"), F.regexp_replace(x, BREAK + r"\s*", " ").alias("line"), F.replace(x, F.lit(BREAK), F.lit("\n")).alias("needle")))
+    return F.flatten(F.transform(blocks_of(text), one))
 
 
-def ir_lines(functions: DataFrame) -> DataFrame:
-    """file_path, line_no, line (trimmed), label, inst_id: the body lines with numbers of instructions and their block."""
-    body = F.split(F.regexp_extract("text", r"(?ms)^define [^\n]*\{\n(.*?)^\}", 1), "\n")
-    x = functions.select("file_path", F.posexplode(body).alias("line_no", "raw")).select("file_path", "line_no", F.trim("raw").alias("line")).where("line <> '' and not startswith(line, ';')")
-    by = W.partitionBy("file_path").orderBy("line_no")
-    is_label = F.col("line").rlike(LABEL)
-    x = x.withColumns({"is_label": is_label, "block_no": F.sum(is_label.cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0)), "inst_id": F.when(~is_label, F.sum((~is_label).cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0)) - 1)})
-    named = F.last(F.when(is_label, F.regexp_extract("line", r"^([\w.$]+):", 1)), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0))
-    return x.withColumn("block", F.coalesce(named, F.lit("entry")))
+def ir_functions_of(modules: DataFrame) -> DataFrame:
+    """file_path, function_name, text: one row per function of each file."""
+    return split_functions(modules).select(*KEY, "text")
 
 
-def ir_instructions(functions: DataFrame) -> DataFrame:
-    return ir_lines(functions).where("not is_label").select("file_path", "inst_id", "block", "line")
+def ir_instructions(modules: DataFrame) -> DataFrame:
+    """file_path, function_name, inst_id, block, line."""
+    return ir_functions_of(modules).select(*KEY, F.posexplode(instructions_of(F.col("text"))).alias("inst_id", "i")).select(*KEY, "inst_id", "i.block", "i.line")
 
 
-def cfg_nodes(functions: DataFrame) -> DataFrame:
-    """One row per basic block: file_path, block, n_instructions."""
-    return ir_instructions(functions).groupBy("file_path", "block").agg(F.count(F.lit(1)).alias("n_instructions"))
+def cfg_nodes(modules: DataFrame) -> DataFrame:
+    """One row per basic block: file_path, function_name, block, n_instructions."""
+    return ir_functions_of(modules).select(*KEY, F.explode(blocks_of(F.col("text"))).alias("b")).select(*KEY, "b.block", F.size("b.lines").cast("long").alias("n_instructions"))
 
 
-def cfg_edges(functions: DataFrame) -> DataFrame:
-    """file_path, src, dst, succ_no, prob: one edge per terminator operand; uniform shares among several successors."""
-    targets = F.transform(F.regexp_extract_all("line", F.lit(r'label %("?[^",\s\]]+"?)'), F.lit(1)), lambda x: F.regexp_replace(x, '"', ""))
-    x = ir_instructions(functions).where(F.col("line").rlike(r"^(br|switch|%\S+ = invoke|invoke) ")).select("file_path", F.col("block").alias("src"), "inst_id", targets.alias("t"))
-    x = x.select("file_path", "src", F.size("t").alias("n"), F.posexplode("t").alias("succ_no", "dst"))
-    return x.select("file_path", "src", "dst", "succ_no", (F.lit(1.0) / F.col("n")).alias("prob"))
+def successors(line: Column) -> Column:
+    """The blocks that a terminator names, in order; none for other instructions."""
+    found = F.transform(F.regexp_extract_all(line, F.lit(rf"label %({NAME})"), F.lit(1)), unquoted)
+    return F.when(line.rlike(TERMINATOR), found).otherwise(F.array().cast("array<string>"))
 
 
-def definitions(functions: DataFrame) -> DataFrame:
-    return ir_instructions(functions).select("file_path", "inst_id", F.regexp_extract("line", r"^%([\w.]+)\s*=", 1).alias("var")).where("var <> ''")
+def cfg_edges(modules: DataFrame) -> DataFrame:
+    """file_path, function_name, src, dst, succ_no, prob: one edge per terminator operand; uniform shares among several successors."""
+    x = ir_instructions(modules).select(*KEY, F.col("block").alias("src"), successors(F.col("line")).alias("t"))
+    x = x.select(*KEY, "src", F.size("t").alias("n"), F.posexplode("t").alias("succ_no", "dst"))
+    return x.select(*KEY, "src", "dst", "succ_no", (F.lit(1.0) / F.col("n")).alias("prob"))
 
 
-def uses(functions: DataFrame) -> DataFrame:
-    operands = F.regexp_extract_all(F.regexp_replace("line", r"^%[\w.]+\s*=", ""), F.lit(r"%([\w.]+)"), F.lit(1))
-    return ir_instructions(functions).select("file_path", F.col("inst_id").alias("dst_id"), F.explode(F.array_distinct(operands)).alias("var"))
+def weigh_edges(edges: DataFrame, weights: DataFrame) -> DataFrame:
+    """cfg_edges with prob from given weights (file_path, function_name, src, succ_no, weight) where all edges of a block have one and their sum is positive.
+
+    label is the share in percent with one decimal, for blocks of several successors.
+    """
+    x = edges.join(weights.select(*KEY, "src", "succ_no", "weight"), [*KEY, "src", "succ_no"], "left")
+    of_block = W.partitionBy(*KEY, "src")  # a block's successors
+    total, given, n = F.sum("weight").over(of_block), F.count("weight").over(of_block), F.count(F.lit(1)).over(of_block)
+    x = x.withColumns({"n": n, "prob": F.when((given == n) & (total > 0), F.col("weight") / total).otherwise(F.col("prob"))})
+    return x.select(*KEY, "src", "dst", "succ_no", "prob", F.when(F.col("n") > 1, F.format_string("%.1f%%", F.col("prob") * 100)).alias("label"))
+
+
+def defined_name(line: Column) -> Column:
+    return unquoted(F.regexp_extract(line, rf"^%({NAME})\s*=", 1))
+
+
+def used_names(line: Column) -> Column:
+    """Distinct local names that an instruction uses, without its own and without those in its comment."""
+    code = F.regexp_extract(F.regexp_replace(line, rf"^%{NAME}\s*=", ""), r'^((?:[^;"]|"[^"]*")*)', 1)
+    return F.array_distinct(F.transform(F.regexp_extract_all(code, F.lit(rf"%({NAME})"), F.lit(1)), unquoted))
 
 
-def ddg_edges(functions: DataFrame) -> DataFrame:
-    """file_path, src_id, dst_id: from the instruction that defines a value to those that use it."""
-    return definitions(functions).join(uses(functions), ["file_path", "var"]).select("file_path", F.col("inst_id").alias("src_id"), "dst_id").distinct()
+def def_use(instructions: DataFrame, carried: list[str]) -> DataFrame:
+    """Pairs of an instruction that defines a value (src_ columns) and one that uses it (dst_ columns): one join by function and name."""
+    sides = lambda p: [F.col(c).alias(f"{p}_{c}") for c in carried]
+    d = instructions.select(*KEY, defined_name(F.col("line")).alias("var"), *sides("src")).where("var <> ''")
+    u = instructions.select(*KEY, F.explode(used_names(F.col("line"))).alias("var"), *sides("dst"))
+    return d.join(u, [*KEY, "var"]).drop("var").distinct()
 
 
-def raw_dependence(functions: DataFrame) -> DataFrame:
-    """file_path, src_id, dst_id: each load after the latest store before it to the same pointer operand."""
-    x = ir_instructions(functions)
-    stores = x.where("startswith(line, 'store ')").select("file_path", F.regexp_extract("line", r"ptr (%[\w.]+|@[\w.]+)", 1).alias("ptr"), F.col("inst_id").alias("src_id"))
-    loads = x.where(F.col("line").rlike(r"= load ")).select("file_path", F.regexp_extract("line", r"ptr (%[\w.]+|@[\w.]+)", 1).alias("ptr"), F.col("inst_id").alias("dst_id"))
-    return loads.join(stores, ["file_path", "ptr"]).where("src_id < dst_id").groupBy("file_path", "dst_id").agg(F.max("src_id").alias("src_id")).select("file_path", "src_id", "dst_id")
+def ddg_edges(modules: DataFrame) -> DataFrame:
+    """file_path, function_name, src_id, dst_id: from the instruction that defines a value to those that use it."""
+    return def_use(ir_instructions(modules).select(*KEY, "line", F.col("inst_id").alias("id")), ["id"])
 
 
-def line_token_ranges(functions: DataFrame, kind: str = "instruction") -> DataFrame:
-    """file_path, key, first_token, last_token (inclusive): where each instruction's or block label's text lies.
+def raw_dependence(modules: DataFrame) -> DataFrame:
+    """file_path, function_name, ptr, src_id, dst_id: each load after the latest store before it to the same pointer operand."""
+    x = ir_instructions(modules).where(F.col("line").rlike(rf"^store |^%{NAME}\s*=\s*load "))
+    x = x.select(*KEY, "inst_id", F.startswith("line", F.lit("store ")).alias("is_store"), unquoted(F.regexp_extract("line", rf"ptr ([%@]{NAME})", 1)).alias("ptr")).where("ptr <> ''")
+    before = W.partitionBy(*KEY, "ptr").orderBy("inst_id").rowsBetween(W.unboundedPreceding, -1)
+    x = x.withColumn("src_id", F.last(F.when(F.col("is_store"), F.col("inst_id")), ignorenulls=True).over(before))
+    return x.where("not is_store and src_id is not null").select(*KEY, "ptr", "src_id", F.col("inst_id").alias("dst_id"))
 
-    A text is looked for by its first occurrence in the function, so equal lines share one range.
-    Tokens are pre-tokens, which never cross a line break: those before the text are the tokens of
-    the lines above, counted once per function, and those of its own line in front of it.
+
+# --- token ranges -------------------------------------------------------------------------------------
+
+
+def text_ranges(text: Column, needles: Column, contained: bool = False, whole_lines: bool = False) -> Column:
+    """For each of needles the range first, last (inclusive) of tokens where it stands in the text, null where there is none.
+
+    A needle is looked for by its first occurrence, so equal ones share a range; with whole_lines
+    only at the beginning of a trimmed line.  Tokens that overlap it count, or with contained only
+    those that lie in it.  Tokens are pre-tokens, which never cross a line break: those before a
+    needle are the tokens of the lines above and those of its own line in front of it.
     """
     count = lambda x: F.regexp_count(x, F.lit(PRETOKEN))
-    whole = functions.select("file_path", "text", F.transform(F.split("text", "\n"), count).alias("counts"))
-    x = ir_lines(functions).where("not is_label" if kind == "instruction" else "is_label")
-    key, needle = (F.col("inst_id"), F.col("line")) if kind == "instruction" else (F.col("block"), F.concat("block", F.lit(":")))
-    x = x.select("file_path", key.alias("key"), needle.alias("needle")).join(whole, "file_path").withColumn("head", F.expr("left(text, locate(needle, text) - 1)")).where("locate(needle, text) > 0")
-    x = x.withColumns({"above": F.length("head") - F.length(F.replace("head", F.lit("\n"), F.lit(""))), "front": F.substring_index("head", "\n", -1)})
-    x = x.withColumn("before", F.aggregate(F.slice("counts", F.lit(1), F.col("above")), F.lit(0), lambda s, n: s + n))
-    joined = F.concat(F.right("front", F.lit(1)), F.left("needle", F.lit(1))).rlike(JOINED)  # a token reaches into the text
-    x = x.select("file_path", "key", (F.col("before") + count(F.col("front")) - joined.cast("int")).alias("first_token"), (F.col("before") + count(F.concat("front", "needle")) - 1).alias("last_token"))
-    return x.where("first_token <= last_token")
-
-
-def align_edges(edges: DataFrame, ranges: DataFrame, src: str, dst: str) -> DataFrame:
-    """Edges between keys as edges between token ranges: src_start, src_end, dst_start, dst_end."""
-    side = lambda name, col: ranges.select("file_path", F.col("key").alias(col), F.col("first_token").alias(f"{name}_start"), F.col("last_token").alias(f"{name}_end"))
-    more = [c for c in edges.columns if c not in ("file_path", src, dst)]
-    return edges.join(side("src", src), ["file_path", src]).join(side("dst", dst), ["file_path", dst]).select("file_path", "src_start", "src_end", "dst_start", "dst_end", *more)
-
-
-def dot_nodes(lines: DataFrame) -> DataFrame:
-    """id and label of the node lines of graph text (column value)."""
+
+    def ranges(above: Column) -> Column:
+        def at(needle: Column, pos: Column) -> Column:
+            opens = lambda front: F.lit(0) if contained else F.concat(F.right(front, F.lit(1)), F.left(needle, F.lit(1))).rlike(JOINED).cast("int")
+            closes = F.concat(F.right(needle, F.lit(1)), F.substring(text, pos + F.length(needle), F.lit(1))).rlike(JOINED).cast("int") if contained else F.lit(0)
+            ends = lambda n, front: F.struct((n + count(front) - opens(front)).alias("first"), (n + count(F.concat(front, needle)) - 1 - closes).alias("last"))
+            of_head = lambda h: F.struct(above[F.length(h) - F.length(F.replace(h, F.lit("\n"), F.lit("")))].alias("n"), F.substring_index(h, "\n", -1).alias("front"))
+            found = let(let(F.left(text, pos - 1), of_head), lambda h: let(ends(h["n"], h["front"]), lambda r: F.when(r["first"] <= r["last"], r)))
+            return F.when(pos > 0, found)  # each let is computed once
+
+        where = lambda x: F.regexp_instr(text, F.concat(F.lit(r"(?m)^[ \t]*\Q"), x, F.lit(r"\E"))) if whole_lines else F.position(x, text)
+        indent = lambda p: F.length(F.regexp_extract(F.substring(text, p, F.lit(1 << 30)), r"^[ \t]*", 0)) if whole_lines else F.lit(0)
+        return F.transform(needles, lambda x: let(where(x), lambda p: at(x, F.when(p > 0, p + indent(p)).otherwise(F.lit(0)))))
+
+    sums = F.aggregate(F.split(text, "\n"), F.array(F.lit(0)), lambda s, x: F.array_append(s, F.element_at(s, -1) + count(x)))
+    return let(sums, ranges)
+
+
+def ranged_instructions(modules: DataFrame, whole_lines: bool = False) -> DataFrame:
+    """file_path, function_name, inst_id, block, line, start, end: instructions and their tokens' range in the function's text."""
+    x = ir_functions_of(modules).select(*KEY, "text", instructions_of(F.col("text")).alias("i"))
+    x = x.select(*KEY, F.posexplode(F.arrays_zip("i", text_ranges(F.col("text"), F.col("i.needle"), whole_lines=whole_lines).alias("r"))).alias("inst_id", "x"))
+    return x.select(*KEY, "inst_id", "x.i.block", "x.i.line", F.col("x.r.first").alias("start"), F.col("x.r.last").alias("end"))
+
+
+def ddg_edge_align(modules: DataFrame, whole_lines: bool = False) -> DataFrame:
+    """file_path, function_name, src_id, dst_id, src_start, src_end, dst_start, dst_end; edges without a range on a side go."""
+    x = ranged_instructions(modules, whole_lines).where("start is not null").select(*KEY, "line", F.col("inst_id").alias("id"), "start", "end")
+    return def_use(x, ["id", "start", "end"])
+
+
+def cfg_aligned(modules: DataFrame, whole_lines: bool = False) -> DataFrame:
+    """cfg_edges with src_start, src_end, dst_start, dst_end: the tokens within each block's label and colon, null where the label is not in the text."""
+
+    def edges(blocks: Column, ranges: Column) -> Column:
+        range_of = lambda name: F.get(F.filter(ranges, lambda r: r["block"] == name), F.lit(0))["r"]
+        last = lambda b: F.regexp_replace(F.element_at(b["lines"], -1), BREAK + r"\s*", " ")
+        to = lambda b, t: F.transform(t, lambda d, k: F.struct(b["block"].alias("src"), d.alias("dst"), k.alias("succ_no"), (F.lit(1.0) / F.size(t)).alias("prob"), range_of(b["block"]).alias("s"), range_of(d).alias("d")))
+        return F.flatten(F.transform(F.filter(blocks, lambda b: F.size(b["lines"]) > 0), lambda b: let(successors(last(b)), lambda t: to(b, t))))
+
+    labels = F.transform(F.col("b"), lambda b: F.concat(F.when(b["label"] == "", b["block"]).otherwise(b["label"]), F.lit(":")))
+    x = ir_functions_of(modules).select(*KEY, "text", blocks_of(F.col("text")).alias("b"))
+    x = x.select(*KEY, "b", F.zip_with(F.col("b.block"), text_ranges(F.col("text"), labels, True, whole_lines), lambda n, r: F.struct(n.alias("block"), r.alias("r"))).alias("ranges"))
+    x = x.select(*KEY, F.explode(edges(F.col("b"), F.col("ranges"))).alias("e"))
+    side = lambda n, c: [F.col(f"e.{c}.first").alias(f"{n}_start"), F.col(f"e.{c}.last").alias(f"{n}_end")]
+    return x.select(*KEY, "e.src", "e.dst", "e.succ_no", "e.prob", *side("src", "s"), *side("dst", "d"))
+
+
+def cfg_edge_align(modules: DataFrame, whole_lines: bool = False) -> DataFrame:
+    """The aligned control-flow edges, with probabilities; those of a label that the text does not show go (see cfg_edge_losses)."""
+    return cfg_aligned(modules, whole_lines).where("src_start is not null and dst_start is not null")
+
+
+def cfg_edge_losses(modules: DataFrame, whole_lines: bool = False) -> DataFrame:
+    """file_path, n_edges, n_dropped: how many edges alignment drops."""
+    lost = F.col("src_start").isNull() | F.col("dst_start").isNull()
+    return cfg_aligned(modules, whole_lines).groupBy("file_path").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(lost).alias("n_dropped"))
+
+
+def build_dataset_rows(modules: DataFrame, tokens: DataFrame, whole_lines: bool = False) -> DataFrame:
+    """file_path, function_name, ddg_graph, cfg_graph, input_ids, success, error_message: one row per function, any part null where it is missing.
+
+    tokens has file_path, function_name, input_ids.
+    """
+    ints = lambda cols, to: F.array(*[F.col(c).cast(to) for c in cols])
+    span = ["src_start", "src_end", "dst_start", "dst_end"]
+    of = lambda edges, cols, to, name: edges.groupBy(*KEY).agg(F.sort_array(F.collect_list(ints(cols, to))).alias(name))  # a function's edges
+    ddg = of(ddg_edge_align(modules, whole_lines), span, "int", "ddg_graph")
+    cfg = of(cfg_edge_align(modules, whole_lines), [*span, "prob"], "float", "cfg_graph")
+    x = ir_functions_of(modules).select(*KEY).join(ddg, KEY, "left").join(cfg, KEY, "left").join(tokens.select(*KEY, "input_ids"), KEY, "left")
+    parts = ["ddg_graph", "cfg_graph", "input_ids"]
+    missing = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in parts])
+    return x.select(*KEY, *parts, success_flag().alias("success"), F.when(missing != "", F.concat(F.lit("missing: "), missing)).alias("error_message"))
+
+
+# --- graph text ---------------------------------------------------------------------------------------
+
+
+def dot_nodes(lines: DataFrame, *keys: str) -> DataFrame:
+    """id and label of the node lines of graph text (column value), and the columns named in keys."""
     x = lines.where(~F.contains("value", F.lit("->")))
-    return x.select(F.regexp_extract("value", r'^\s*"?(\w+)"?\s*\[', 1).alias("id"), F.regexp_extract("value", r'label="(.*)"\]', 1).alias("label")).where("id <> ''")
+    return x.select(*keys, F.regexp_extract("value", r'^\s*"?(\w+)"?\s*\[', 1).alias("id"), F.regexp_extract("value", r'label="(.*)"\]', 1).alias("label")).where("id <> ''")
 
 
-def dot_edges(lines: DataFrame) -> DataFrame:
-    """src, dst and label (null: none) of the edge lines of graph text."""
-    x = lines.select(F.regexp_extract("value", r'^\s*"?(\w+)"?\s*->', 1).alias("src"), F.regexp_extract("value", r'->\s*"?(\w+)"?', 1).alias("dst"), F.nullif(F.regexp_extract("value", r'label="(.*)"\]', 1), F.lit("")).alias("label"))
+def dot_edges(lines: DataFrame, *keys: str) -> DataFrame:
+    """src, dst and label (null: none) of the edge lines of graph text, and the columns named in keys."""
+    x = lines.select(*keys, F.regexp_extract("value", r'^\s*"?(\w+)"?\s*->', 1).alias("src"), F.regexp_extract("value", r'->\s*"?(\w+)"?', 1).alias("dst"), F.nullif(F.regexp_extract("value", r'label="(.*)"\]', 1), F.lit("")).alias("label"))
     return x.where("src <> ''")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from irloom.functions.text import occurrences, pretokens
+from irloom.functions.text import SPECIAL_TOKENS, occurrences, pretokens
 
 
 def drop_derived_files(df: DataFrame, path: str = "file_path") -> DataFrame:
@@ -28,6 +28,46 @@ def valid_paths(df: DataFrame, paths: list[str]) -> DataFrame:
     return df
 
 
+def filter_missing_graphs(df: DataFrame) -> DataFrame:
+    """Rows that have both graphs; an empty graph passes, null does not."""
+    return df.where(F.col("ddg_graph").isNotNull() & F.col("cfg_graph").isNotNull())
+
+
+def limit_files(df: DataFrame, most: int, path: str = "file_path") -> DataFrame:
+    """The first files in the order of their paths."""
+    return df.orderBy(path).limit(most)
+
+
+def graph_is_missing(column: str) -> Column:
+    """Null or empty."""
+    return F.coalesce(F.size(column), F.lit(0)) <= 0
+
+
+def show_missing(df: DataFrame, kind: str, order: str, most: int = 5, text: str | None = None) -> DataFrame:
+    """Up to `most` rows without the ddg graph, the cfg graph or both, in order, with text cut to 200 characters."""
+    missing = {"ddg": graph_is_missing("ddg_graph"), "cfg": graph_is_missing("cfg_graph"), "both": graph_is_missing("ddg_graph") & graph_is_missing("cfg_graph")}[kind]
+    x = df.where(missing).orderBy(order).limit(most)
+    return x.withColumn(text, F.substring(text, 1, 200)) if text else x
+
+
+def show_sample(df: DataFrame, index: int, n: int, order: str) -> DataFrame:
+    """Rows index to index + n - 1 in order, found by their row index where order is one (dense_row_index)."""
+    return df.where((F.col(order) >= index) & (F.col(order) < index + n))
+
+
+def to_pandas_head(df: DataFrame, most: int = 1000):
+    """The first rows as a pandas frame; no more than `most` reach the driver."""
+    return df.limit(most).toPandas()
+
+
+def feature_info(df: DataFrame, split: str | None = None) -> DataFrame:
+    """split, n_rows, column_name, type: the columns of each split and its number of rows."""
+    name = F.col(split) if split else F.lit("all")
+    counts = df.groupBy(name.alias("split")).agg(F.count(F.lit(1)).alias("n_rows"))
+    columns = F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("type")) for f in df.schema.fields])
+    return counts.select("split", "n_rows", F.explode(columns).alias("c")).select("split", "n_rows", "c.column_name", "c.type")
+
+
 def split_functions(modules: DataFrame) -> DataFrame:
     """file_path, function_name, hashed_name, text: one row per defined function of a module's text."""
     x = modules.select("file_path", F.explode(F.regexp_extract_all("text", F.lit(r"(?ms)^define .*?^\}"), F.lit(0))).alias("text"))
@@ -47,35 +87,83 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: list[Column]) -> Dat
     return old.join(last.select(key), key, "left_anti").select(*old.columns).unionByName(last)
 
 
+#: The path columns of the manifest.
+MANIFEST_PATHS = ("input_path", "purify_path", "instrumented_path", "cfg_dot", "ddg_dot")
+
+
+def scan_manifest(manifest: DataFrame) -> DataFrame:
+    """The input paths that a manifest knows; only that column is read."""
+    return manifest.select("input_path")
+
+
+def lookup_manifest(manifest: DataFrame, keys: DataFrame) -> DataFrame:
+    """The five paths of the inputs named in keys (column input_path)."""
+    return manifest.join(keys.select("input_path"), "input_path", "left_semi").select(*MANIFEST_PATHS)
+
+
 def unprocessed(candidates: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return candidates.join(done.select(key), key, "left_anti")
 
 
-def join_function_names(files: DataFrame, function_map: DataFrame) -> DataFrame:
-    """Original names by folder and hashed file name; files that no map names go."""
-    return files.join(function_map, ["dir_name", "ll_name"])
+def join_function_names(files: DataFrame, function_map: DataFrame, how: str = "inner") -> DataFrame:
+    """Original names by folder and hashed file name; files that no map names go, or with how left have a null name."""
+    return files.join(function_map, ["dir_name", "ll_name"], how)
+
+
+def is_blank(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s", " ")) == ""
 
 
 def corpus_stats(df: DataFrame) -> DataFrame:
-    """files, functions, lines, blank files."""
-    blank = F.trim(F.regexp_replace("text", r"\s", " ")) == ""
+    """total_files, processed_files, failed_files (null text: it could not be read), total_functions, total_lines; blank files are neither."""
+    done = ~is_blank(F.col("text"))
     return df.agg(
-        F.count(F.lit(1)).alias("total_files"), F.count(F.when(~blank, 1)).alias("processed_files"), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"(?m)^define "))), F.lit(0)).alias("total_functions"),
-        F.coalesce(F.sum(F.when(~blank, F.size(F.split("text", "\n")))), F.lit(0)).alias("total_lines"),
+        F.count(F.lit(1)).alias("total_files"), F.count(F.when(done, 1)).alias("processed_files"), F.count(F.when(F.col("text").isNull(), 1)).alias("failed_files"),
+        F.coalesce(F.sum(F.regexp_count("text", F.lit(r"(?m)^define "))), F.lit(0)).alias("total_functions"),
+        F.coalesce(F.sum(F.when(done, F.size(F.split("text", "\n")))), F.lit(0)).alias("total_lines"),
+    )
+
+
+def failed_list(df: DataFrame, most: int = 10, path: str = "file_path") -> DataFrame:
+    """The first paths, in order, of files that failed (null text)."""
+    return df.where("text is null").select(path).orderBy(path).limit(most)
+
+
+def processing_summary(results: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """processed, successful, failed, total_seconds, average_seconds of results (success, seconds), by batch if asked."""
+    g = results.groupBy(*by) if by else results
+    return g.agg(
+        F.count(F.lit(1)).alias("processed"), F.count_if(F.col("success")).alias("successful"), F.count_if(~F.coalesce("success", F.lit(False))).alias("failed"),
+        F.round(F.sum("seconds"), 6).alias("total_seconds"), F.round(F.avg("seconds"), 6).alias("average_seconds"),
     )
 
 
-def special_token_counts(df: DataFrame, tokens: tuple[str, ...], text: str = "text") -> DataFrame:
+def length_stats(df: DataFrame, original: str, normalized: str) -> DataFrame:
+    """rows, mean length before and after normalising, and the ratio of the sums."""
+    a, b = F.length(original), F.length(normalized)
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(a), 6).alias("original_mean"), F.round(F.avg(b), 6).alias("normalized_mean"), F.round(F.sum(b) / F.nullif(F.sum(a), F.lit(0)), 6).alias("ratio"))
+
+
+def distinct_count(df: DataFrame, column: str) -> DataFrame:
+    return df.agg(F.count_distinct(column).alias("n_distinct"))
+
+
+def special_token_counts(df: DataFrame, tokens: tuple[str, ...] = SPECIAL_TOKENS, text: str = "text") -> DataFrame:
     """token, occurrences, found for each token."""
     sums = df.agg(*[F.coalesce(F.sum(occurrences(F.col(text), t)), F.lit(0)).alias(f"t{i}") for i, t in enumerate(tokens)])
     rows = F.array(*[F.struct(F.lit(t).alias("token"), F.col(f"t{i}").alias("occurrences")) for i, t in enumerate(tokens)])
     return sums.select(F.explode(rows).alias("r")).select("r.token", "r.occurrences", (F.col("r.occurrences") > 0).alias("found"))
 
 
+def special_token_validation(counts: DataFrame) -> DataFrame:
+    """validation_passed (all tokens found) and missing_tokens, in order, of special_token_counts: one row."""
+    missing = F.sort_array(F.collect_list(F.when(~F.col("found"), F.col("token"))))  # a row for each special token
+    return counts.agg(missing.alias("missing_tokens")).select((F.size("missing_tokens") == 0).alias("validation_passed"), "missing_tokens")
+
+
 def missing_graph_stats(df: DataFrame) -> DataFrame:
     """Counts of rows without one or both graphs (null or empty), and their percentages."""
-    miss = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
-    d, c = miss("ddg_graph"), miss("cfg_graph")
+    d, c = graph_is_missing("ddg_graph"), graph_is_missing("cfg_graph")
     n = lambda cond: F.count(F.when(cond, 1))
     x = df.agg(F.count(F.lit(1)).alias("total"), n(d & ~c).alias("missing_ddg_only"), n(c & ~d).alias("missing_cfg_only"), n(c & d).alias("missing_both"), n(~c & ~d).alias("has_both"))
     return x.withColumn("missing_percent", F.round((F.col("total") - F.col("has_both")) * 100.0 / F.nullif("total", F.lit(0)), 4))
@@ -118,10 +206,17 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def search_examples(df: DataFrame, column: str, value, order: str, most: int = 10) -> DataFrame:
+    """The first rows, in order, whose column has a value; with dense_row_index as order they carry their row index."""
     return df.where(F.col(column) == value).orderBy(order).limit(most)
 
 
+def success_flag() -> Column:
+    """Whether a row has a graph or ids."""
+    return F.col("ddg_graph").isNotNull() | F.col("cfg_graph").isNotNull() | F.col("input_ids").isNotNull()
+
+
 def results_summary(df: DataFrame) -> DataFrame:
-    """One row per file: success, has_ddg, has_cfg, has_tokens, token_count."""
-    has = {f"has_{k}": F.col(c).isNotNull() for k, c in (("ddg", "ddg_graph"), ("cfg", "cfg_graph"), ("tokens", "input_ids"))}
-    return df.select("file_path", (has["has_ddg"] | has["has_cfg"] | has["has_tokens"]).alias("success"), *[v.alias(k) for k, v in has.items()], F.coalesce(F.size("input_ids"), F.lit(0)).alias("token_count"))
+    """One row per file: success, error_message (null where the table has none), has_ddg, has_cfg, has_tokens, token_count."""
+    has = [F.col(c).isNotNull().alias(f"has_{k}") for k, c in (("ddg", "ddg_graph"), ("cfg", "cfg_graph"), ("tokens", "input_ids"))]
+    error = F.col("error_message") if "error_message" in df.columns else F.lit(None).cast("string")
+    return df.select("file_path", success_flag().alias("success"), error.alias("error_message"), *has, F.coalesce(F.size("input_ids"), F.lit(0)).alias("token_count"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from irloom.plans.session import ensure_checkpoint_dir
+
 
 def hash_number(*parts: Column | str | int) -> Column:
     """A number below 2^32 from the parts' text; the same in every engine that has md5."""
@@ -13,25 +15,59 @@ def hash_number(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def dense_row_index(df: DataFrame, key: str, name: str = "original_idx") -> DataFrame:
-    """Numbers rows 0 to n - 1 in the order of a unique key, in two passes.
+def dense_row_index(df: DataFrame, key: str | list[str], name: str = "original_idx") -> DataFrame:
+    """Numbers rows 0 to n - 1 in the order of a unique key (one or several columns).
 
-    Rows are range-partitioned and numbered within their partition; only one count per partition
-    meets on the way to the offsets.
+    Rows are dealt into ranges of the key, sorted within them and stored once with their place;
+    counts of the ranges, one row each, then give each range its offset.  Nothing depends on a
+    range being cut in the same way twice, and no range is larger than a partition.
     """
-    part = df.repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id())
-    sizes = part.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__part", (F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
-    rank = F.row_number().over(W.partitionBy("__part").orderBy(key)) - 1
-    return part.withColumn("__rank", rank).join(F.broadcast(before), "__part").withColumn(name, (F.col("__rank") + F.col("__before")).cast("long")).drop("__part", "__rank", "__before")
+    ensure_checkpoint_dir(df.sparkSession)
+    keys = [key] if isinstance(key, str) else key
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("__at", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))  # a row for each partition
+    numbered = placed.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return numbered.withColumn(name, F.col("__at").bitwiseAND((1 << 33) - 1) + F.col("__before")).drop("__part", "__at", "__before")
 
 
 def positive_map(df: DataFrame, keys: list[str], idx: str) -> DataFrame:
-    """anchor_idx, positives: the other members of each group of more than one, without joining the group to itself."""
+    """anchor_idx, positives: the other members of each group of more than one, without joining the group to itself.
+
+    The lists of a group of k rows hold k * (k - 1) numbers in all, by definition; to draw from
+    large groups without lists use group_ranges.
+    """
     groups = df.dropna(subset=keys).groupBy(*keys).agg(F.sort_array(F.collect_list(idx)).alias("members")).where(F.size("members") > 1)
     return groups.select(F.explode("members").alias("anchor_idx"), "members").select("anchor_idx", F.array_remove("members", F.col("anchor_idx")).alias("positives"))
 
 
+def group_ranges(df: DataFrame, keys: list[str], idx: str) -> DataFrame:
+    """idx, place, first, n: each group's rows take the places first to first + n - 1, in the order of idx; rows with a null key are left out.
+
+    The group form of positive_map: three numbers a row, however large the group is.
+    """
+    placed = dense_row_index(df.dropna(subset=keys).select(*keys, idx), [*keys, idx], "place")
+    sizes = placed.groupBy(*keys).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    return placed.join(sizes, keys).select(idx, "place", "first", "n")
+
+
+def drawn_triplets(ranges: DataFrame, idx: str, n_rows: int, seed: int = 42, tries: int = 8) -> DataFrame:
+    """anchor_idx, positive_idx, negative_idx from group_ranges: a hashed other member of the group, and the first of some hashed places outside it.
+
+    Two joins by place, no lists.  Groups of one row have no positives and are left out;
+    negative_idx is null where all tries hit the group.  n_rows: how many places there are.
+    """
+    own = F.col("place") - F.col("first")
+    anchor = F.col(idx)
+    positive = F.col("first") + (own + 1 + hash_number(seed, "p", anchor) % (F.col("n") - 1)) % F.col("n")
+    drawn = F.array(*[hash_number(seed, "n", anchor, t) % n_rows for t in range(tries)])
+    free = F.filter(drawn, lambda x: (x < F.col("first")) | (x >= F.col("first") + F.col("n")))
+    x = ranges.where("n > 1").select(anchor.alias("anchor_idx"), positive.alias("p"), F.get(free, F.lit(0)).alias("q"))
+    at = lambda place, name: ranges.select(F.col("place").alias(place), F.col(idx).alias(name))
+    return x.join(at("p", "positive_idx"), "p").join(at("q", "negative_idx"), "q", "left").select("anchor_idx", "positive_idx", "negative_idx")
+
+
 def positive_pairs(df: DataFrame, keys: list[str], idx: str) -> DataFrame:
     return positive_map(df, keys, idx).select("anchor_idx", F.explode("positives").alias("positive_idx"))
 
@@ -43,22 +79,22 @@ def group_components(df: DataFrame, keys: list[str], idx: str) -> DataFrame:
     return df.select(F.col(idx), F.when(named, F.min(idx).over(W.partitionBy(*keys))).otherwise(F.col(idx)).alias("component"), own.alias("group_key"))
 
 
-def connected_components(edges: DataFrame, vertices: DataFrame, most: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """id, component for edges (src, dst) of any shape: least label of the neighbours, then that label's own.
 
-    Labels are cut from their lineage by checkpoint() each round; stops when nothing changes.
+    Labels are cut from their lineage by checkpoint() each round; goes on until nothing changes.
     """
+    ensure_checkpoint_dir(edges.sparkSession)
     both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct().checkpoint()
     labels = vertices.select("id", F.col("id").alias("component"))
-    for _ in range(most):
+    while True:
         near = both.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("old"))
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("root"))
         step = step.join(jump, "component").select("id", F.least("component", "root").alias("component"), "old").checkpoint()
         labels = step.select("id", "component")
         if step.where("component <> old").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def group_split(components: DataFrame, idx: str, share: float = 0.9, seed: int = 42) -> DataFrame:
@@ -85,6 +121,28 @@ def leaking_pairs(pairs: DataFrame, splits: DataFrame, idx: str) -> DataFrame:
     return x.agg(F.count(F.when(F.col("sa") != F.col("sp"), 1)).alias("crossing"), F.count(F.lit(1)).alias("pairs"))
 
 
+def task_table(translated: DataFrame) -> DataFrame:
+    """split, anchor_idx: the anchors of each split that have a positive there (rows of translate_positives)."""
+    return translated.where(F.size("positives") > 0).select("split", "anchor_idx")
+
+
+def triplet_union(drawn: DataFrame) -> DataFrame:
+    """anchor_idx, role, idx: three rows for each triplet; those without a negative are left out whole."""
+    rows = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"{r}_idx").alias("idx")) for r in ("anchor", "positive", "negative")])
+    return drawn.where("negative_idx is not null").select("anchor_idx", F.explode(rows).alias("r")).select("anchor_idx", "r.role", "r.idx")
+
+
+def fetch_pool_rows(drawn: DataFrame, pool: DataFrame, idx: str) -> DataFrame:
+    """anchor_idx, role, idx and the pool's other columns: one join gathers the rows of all triplets."""
+    rows = pool.select(F.col(idx).alias("idx"), *[c for c in pool.columns if c not in (idx, "idx", "anchor_idx", "role")])
+    return triplet_union(drawn).join(rows, "idx").select("anchor_idx", "role", "idx", *rows.columns[1:])
+
+
+def batch_number(idx: Column | str, size: int) -> Column:
+    """The number of the consecutive chunk, batch or file of `size` rows that a row index falls into."""
+    return F.floor((F.col(idx) if isinstance(idx, str) else idx) / size).cast("long")
+
+
 def triplets(positives: DataFrame, n_rows: int, seed: int = 42, tries: int = 8) -> DataFrame:
     """anchor_idx, positive_idx, negative_idx: one hashed positive, and the first of some hashed rows that is neither.
 
@@ -121,6 +179,13 @@ def pad_batch(df: DataFrame, batch: str, ids: str, pad: int = 1, multiple: int =
     return x.withColumns({"padded_ids": F.concat(ids, F.array_repeat(F.lit(pad), gap)), "attention_mask": F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), gap))})
 
 
+def pad_graph(df: DataFrame, batch: str, graph: str, width: int = 4) -> DataFrame:
+    """Adds padded_graph: a batch's edge lists (arrays of `width` numbers; null: none) filled with rows of -1 up to the longest."""
+    edges = F.coalesce(F.col(graph), F.array().cast(df.schema[graph].dataType))
+    gap = F.max(F.size(edges)).over(W.partitionBy(batch)) - F.size(edges)
+    return df.withColumn("padded_graph", F.concat(edges, F.array_repeat(F.array_repeat(F.lit(-1), width).cast(df.schema[graph].dataType.elementType), gap)))
+
+
 def rasterize_edges(edges: DataFrame, weight: Column, inclusive: bool = True) -> DataFrame:
     """Sparse cells file_path, i, j, weight of the edges' token ranges; of edges on one cell the last in edge_no counts."""
     end = lambda c: F.col(c) if inclusive else F.col(c) - 1

@@ -2,42 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from irloom.functions import text as X
-from irloom.operators import bpe, graphs, tables, training
+from irloom.operators import bpe, tables, training
+from irloom.plans.registry import docs, query
 from irloom.sources.fixture import DUCK, ir_functions
 
-QUERIES: dict = {}
 KEYS = ["origin_binary_name", "function_name"]
-
-
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = (fn, sql)
-        return fn
-
-    return add
-
-
-def docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
-
-
 BODY = r"regexp_extract(text, '(?s)define [^\n]*\n(.*?)\n\}', 1)"
 #: Lines that count in the fixture's one function body, which has no inner braces.
 COUNTED = rf"(case when contains(text, 'define ') then len(list_filter(string_split({BODY}, chr(10)), lambda x: trim(x) <> '' and not starts_with(trim(x), ';'))) + 1 end)"
 KEPT = f"(not contains(text, 'define ') or {COUNTED} > 3)"
 PRETOKENS = r"regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+')"
-#: Instructions of the fixture, numbered, with their block.
-INST = rf"""{DUCK}, body as (select file_path, string_split({BODY}, chr(10)) as ls from ir where contains(text, 'define ')),
-ln as (select file_path, n, trim(ls[n]) as line from (select *, unnest(range(1, len(ls) + 1)) as n from body)),
-lb as (select *, regexp_matches(line, '^[\w.$]+:') as is_label, last_value(case when regexp_matches(line, '^[\w.$]+:') then regexp_extract(line, '^([\w.$]+):', 1) end ignore nulls) over (partition by file_path order by n) as blk from ln),
-inst as (select file_path, row_number() over (partition by file_path order by n) - 1 as inst_id, coalesce(blk, 'entry') as block, line from lb where not is_label)"""
-DDG = r"""defs as (select file_path, inst_id, regexp_extract(line, '^%([\w.]+)\s*=', 1) as var from inst),
-uses as (select distinct file_path, inst_id as dst_id, unnest(regexp_extract_all(regexp_replace(line, '^%[\w.]+\s*=', ''), '%([\w.]+)', 1)) as var from inst),
-ddg as (select distinct file_path, d.inst_id as src_id, dst_id from defs d join uses u using (file_path, var) where var <> '')"""
 NUMBER = "cast(concat('0x', substr(md5({}), 1, 8)) as bigint)"
 
 
@@ -51,7 +28,8 @@ def opt_level_raw_tokens(spark, d):
 def entry_opt_level_tokens(spark, d):
     """Functions per optimisation level that survive the filter, and the 95th percentile of their normalised tokens."""
     x = ir_functions(spark, d).where(X.keeps_function(F.col("text")))
-    x = x.select(X.opt_level(F.col("file_path")).alias("opt"), F.size(X.pretokens(X.normalize_ir(F.col("text")))).alias("n_tokens"))
+    count = F.array(F.size(X.pretokens(X.normalize_ir(F.col("text")))))  # exploded, so that it is computed once and no filter is moved into it
+    x = x.select(X.opt_level(F.col("file_path")).alias("opt"), F.explode(count).alias("n_tokens"))
     return tables.token_statistics(x, "n_tokens", by=["opt"])
 
 
@@ -109,11 +87,6 @@ def upsert_manifest(spark, d):
     return tables.upsert(m, new, "input_path", [F.col("purify_path")])
 
 
-@query(f"{MANIFEST} select input_path from m where func_id % 4 = 0")
-def lookup_manifest(spark, d):
-    m = manifest(spark, d)
-    return m.join(m.where("func_id % 4 = 0").select("input_path"), "input_path", "left_semi").select("input_path")
-
 
 @query(f"{MANIFEST}, u as (select input_path as file_path from m union all select purify_path from m union all select concat(input_path, '.dot') from m union all select concat(input_path, '.idb') from m) select file_path from u where not regexp_matches(file_path, '(\\.dot|_instrumented\\.ll|_purified\\.ll|\\.i64|\\.idb)$')")
 def drop_derived_files(spark, d):
@@ -145,55 +118,6 @@ def normalize_ir(spark, d):
     return ir_functions(spark, d).select("file_path", F.trim(F.regexp_replace(X.normalize_ir(F.col("text")), r"^\s+|\s+$", "")).alias("normalized"))
 
 
-@query(f"{INST} select file_path, inst_id, block, line from inst")
-def ir_instructions(spark, d):
-    return graphs.ir_instructions(ir_functions(spark, d))
-
-
-@query(f"{INST} select file_path, block, count(*) as n_instructions from inst group by file_path, block")
-def cfg_nodes(spark, d):
-    return graphs.cfg_nodes(ir_functions(spark, d))
-
-
-CFG = r"""cfg as (select file_path, block as src, t[s + 1] as dst, s as succ_no, 1.0::double / len(t) as prob from (
-select *, unnest(range(0, len(t))) as s from (select file_path, block, regexp_extract_all(line, 'label %([^",\s\]]+)', 1) as t from inst where starts_with(line, 'br '))))"""
-
-
-@query(f"{INST}, {CFG} select file_path, src, dst, cast(succ_no as int) as succ_no, prob from cfg")
-def cfg_edges(spark, d):
-    return graphs.cfg_edges(ir_functions(spark, d))
-
-
-@query(f"{INST}, {DDG} select * from ddg")
-def ddg_edges(spark, d):
-    return graphs.ddg_edges(ir_functions(spark, d))
-
-
-@query(f"{INST} select l.file_path, max(s.inst_id) as src_id, l.inst_id as dst_id from inst l join inst s on l.file_path = s.file_path and s.inst_id < l.inst_id where contains(l.line, '= load ') and starts_with(s.line, 'store ') group by l.file_path, l.inst_id")
-def raw_dependence(spark, d):
-    return graphs.raw_dependence(ir_functions(spark, d))
-
-
-RANGES = rf"""tk as (select file_path, text, {PRETOKENS} as t, regexp_split_to_array(text, '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_\s]+') as gaps from ir),
-ts as (select file_path, i - 1 as tok, list_sum(list_transform(gaps[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(t[1 : i - 1], lambda x: length(x))), 0) as a, length(t[i]) as n from (select *, unnest(range(1, len(t) + 1)) as i from tk)),
-loc as (select inst.file_path, inst_id, strpos(text, line) - 1 as a, length(line) as n from inst join ir on inst.file_path = ir.file_path),
-rg as (select loc.file_path, inst_id, min(tok) as f, max(tok) as l from loc join ts on loc.file_path = ts.file_path and ts.a + ts.n > loc.a and ts.a < loc.a + loc.n group by loc.file_path, inst_id)"""
-
-
-@query(f"{INST}, {RANGES}, {DDG} select ddg.file_path, cast(s.f as int) as src_start, cast(s.l as int) as src_end, cast(t.f as int) as dst_start, cast(t.l as int) as dst_end from ddg join rg s on s.file_path = ddg.file_path and s.inst_id = src_id join rg t on t.file_path = ddg.file_path and t.inst_id = dst_id")
-def ddg_edge_align(spark, d):
-    x = ir_functions(spark, d)
-    return graphs.align_edges(graphs.ddg_edges(x), graphs.line_token_ranges(x), "src_id", "dst_id")
-
-
-@query(f"{DUCK} select count(*) as total_files, count(*) as processed_files, sum(case when contains(text, 'define ') then 1 else 0 end) as total_functions, sum(len(string_split(text, chr(10)))) as total_lines from ir")
-def corpus_stats(spark, d):
-    return tables.corpus_stats(ir_functions(spark, d))
-
-
-@query(f"{DUCK}, s as (select unnest(['i32', 'label', 'store', '<func>']) as token) select token, cast(sum((length(text) - length(replace(text, token, ''))) / length(token)) as bigint) as occurrences, sum((length(text) - length(replace(text, token, ''))) / length(token)) > 0 as found from ir, s group by token")
-def special_token_counts(spark, d):
-    return tables.special_token_counts(ir_functions(spark, d), ("i32", "label", "store", "<func>"))
 
 
 @query(f"with t as (select len({PRETOKENS}) as n from documents) select count(*) as n, round(avg(n), 6) as mean, max(n) as most, min(n) as least, quantile_disc(n, 0.9) as p90, quantile_disc(n, 0.95) as p95, quantile_disc(n, 0.98) as p98, quantile_disc(n, 0.99) as p99 from t where n > 0")
@@ -227,7 +151,7 @@ def top_pairs(spark, d):
 @query()
 def bpe_encode(spark, d):
     x = docs(spark, d)
-    merges = bpe.train_merges(x, 8)
+    merges = bpe.train_merges(x, 1000, together=256)
     return bpe.encode(x, merges, bpe.vocabulary(x, merges)).select("doc_id", F.size("input_ids").alias("n_tokens"), F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
 
 
@@ -266,7 +190,7 @@ def split_counts(spark, d):
     return group_split(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{SPLIT} select 0 as crossing, count(*) as pairs from pr")
+@query(f"{SPLIT} select count(*) filter (a.split <> p.split) as crossing, count(*) as pairs from pr join sp a on a.i = anchor_idx join sp p on p.i = positive_idx")
 def split_leak_check(spark, d):
     x = indexed(spark, d)
     return training.leaking_pairs(training.positive_pairs(x, KEYS, "i"), training.group_split(training.group_components(x, KEYS, "i"), "i"), "i")
@@ -288,9 +212,6 @@ def translate_positive_map(spark, d):
 def connected_components(spark, d):
     x = docs(spark, d).select("doc_id", F.md5("text").alias("t"), F.concat_ws("|", "source", "lang", "n_chars").alias("s"))
     star = lambda key: x.join(x.groupBy(key).agg(F.min("doc_id").alias("dst")), key).select(F.col("doc_id").alias("src"), "dst")
-    from irloom.plans.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
     return training.connected_components(star("t").union(star("s")), x.select(F.col("doc_id").alias("id"))).withColumnRenamed("id", "doc_id")
 
 
@@ -325,10 +246,17 @@ def pad_batch(spark, d):
     return x.select("doc_id", "padded_length", F.expr("cast(aggregate(attention_mask, 0, (a, b) -> a + b) as long)").alias("n_real"), F.md5(F.array_join(F.col("padded_ids").cast("array<string>"), ",")).alias("padded_md5"))
 
 
-@query(f"{IDS}, m as (select doc_id, list_transform(range(0, len(ids)), lambda i: case when {NUMBER.format("concat('42|', doc_id, '|', i)")} % 100 < 15 and ids[i + 1] >= 9 then ids[i + 1] else -100 end) as labels from t) select doc_id, len(list_filter(labels, lambda x: x <> -100)) as n_masked, md5(array_to_string(labels, ',')) as labels_md5 from m")
+@query(
+    f"""{IDS}, m as (select doc_id, ids, list_transform(range(0, len(ids)), lambda i: {NUMBER.format("concat('42|', doc_id, '|', i)")} % 100 < 15 and ids[i + 1] >= 9) as chosen,
+  list_transform(range(0, len(ids)), lambda i: {NUMBER.format("concat('42|how|', doc_id, '|', i)")} % 10) as how, list_transform(range(0, len(ids)), lambda i: {NUMBER.format("concat('42|id|', doc_id, '|', i)")} % 500) as other from t)
+select doc_id, len(list_filter(chosen, lambda x: x)) as n_masked,
+  md5(array_to_string(list_transform(range(1, len(ids) + 1), lambda i: case when chosen[i] then ids[i] else -100 end), ',')) as labels_md5,
+  md5(array_to_string(list_transform(range(1, len(ids) + 1), lambda i: case when chosen[i] and how[i] < 8 then 4 when chosen[i] and how[i] = 8 then other[i] else ids[i] end), ',')) as ids_md5 from m"""
+)
 def mlm_mask(spark, d):
     x = token_ids(spark, d).select("doc_id", training.mlm_mask(F.col("ids"), F.col("doc_id"), 500).alias("m"))
-    return x.select("doc_id", F.size(F.filter("m.labels", lambda v: v != -100)).cast("long").alias("n_masked"), F.md5(F.array_join(F.col("m.labels").cast("array<string>"), ",")).alias("labels_md5"))
+    md5 = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ","))
+    return x.select("doc_id", F.size(F.filter("m.labels", lambda v: v != -100)).cast("long").alias("n_masked"), md5("m.labels").alias("labels_md5"), md5("m.input_ids").alias("ids_md5"))
 
 
 @query("select a.label, count(*) as n, round(avg(list_sum(list_transform(range(1, 65), lambda k: a.embedding[k]::double * a.embedding[k]::double))), 6) as mean_square from embeddings a group by a.label")

@@ -1,9 +1,16 @@
 """Session settings that iterative operators need."""
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder that the cluster names; a folder of our own only where none is set, as in tests."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/irloom")
+    """Uses the shared folder that the cluster names; a folder of our own only for a local session that names none, as in tests."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
