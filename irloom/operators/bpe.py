@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +21,10 @@ ATOMIC = ("<func>", "<bb>", "<var>", "<const>", "<MED_INT>", "<LARGE_INT>", "<HU
 EXPECTED = ("<pad>", "<unk>", "<bos>", "<eos>", "<mask>", *ATOMIC)
 
 
+#: So many rounds of merges are made anew from the last stored words.
+STORED = 8
+
+
 def apply_merges(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     """A word's symbols after all merges, the lowest rank first, each from the left."""
     while len(symbols) > 1:
@@ -65,22 +70,24 @@ def independent(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
 def train_merges(docs: DataFrame, n_merges: int, least: int = 2, text: str = "text", together: int = 1) -> list[tuple[str, str]]:
     """The merges in order.
 
-    Words are counted once; each round counts pairs over distinct words, takes the most frequent
-    ones (ties: by their text) and stores the words with these merged.  A round takes up to
+    Words are counted once; each round counts pairs over distinct words and takes the most frequent
+    ones (ties: by their text); every STORED rounds the words are stored as merged so far.  A round takes up to
     `together` of them that share no symbol: with 1 the merges are the exact ones; more need fewer
     rounds and may take a pair before one that shares a symbol or becomes more frequent in the round.
     `together` pairs a round reach the driver.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     words = word_counts(docs, text).select("n", F.split("word", "").alias("symbols")).checkpoint()
-    merges: list[tuple[str, str]] = []
-    while len(merges) < n_merges:
-        best = [(r["left"], r["right"]) for r in top_pairs(pair_counts(words), together, least).collect()]
-        if not best:
-            break
-        new = independent(best)[: n_merges - len(merges)]
-        words, merges = merged(words, new).checkpoint(), merges + new
-    return merges
+    done: list[tuple[str, str]] = []
+    new: list[tuple[str, str]] = []
+    for number in itertools.count(1):
+        now = merged(words, new) if new else words
+        best = [(r["left"], r["right"]) for r in top_pairs(pair_counts(now), together, least).collect()]
+        new = new + independent(best)[: n_merges - len(done) - len(new)]
+        if not best or len(done) + len(new) == n_merges:
+            return done + new
+        if number % STORED == 0:
+            words, done, new = merged(words, new).checkpoint(), done + new, []
 
 
 def vocabulary(docs: DataFrame, merges: list[tuple[str, str]], text: str = "text") -> DataFrame:
