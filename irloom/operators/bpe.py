@@ -27,10 +27,14 @@ STORED = 8
 
 def apply_merges(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     """A word's symbols after all merges, the lowest rank first, each from the left."""
-    while len(symbols) > 1:
-        rank, best = min(((ranks.get(p, len(ranks)), p) for p in zip(symbols, symbols[1:], strict=False)))
-        if rank == len(ranks):
-            break
+    while True:
+        rank, best = len(ranks), None
+        for p in zip(symbols, symbols[1:], strict=False):
+            r = ranks.get(p)
+            if r is not None and r < rank:
+                rank, best = r, p
+        if best is None:
+            return symbols
         out, i = [], 0
         while i < len(symbols):
             if tuple(symbols[i : i + 2]) == best:
@@ -40,7 +44,6 @@ def apply_merges(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[
                 out.append(symbols[i])
                 i += 1
         symbols = out
-    return symbols
 
 
 def merged(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
@@ -77,7 +80,8 @@ def train_merges(docs: DataFrame, n_merges: int, least: int = 2, text: str = "te
     `together` pairs a round reach the driver.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    words = word_counts(docs, text).select("n", F.split("word", "").alias("symbols")).checkpoint()
+    parts = docs.sparkSession.sparkContext.defaultParallelism
+    words = word_counts(docs, text).repartition(parts, "word").select("n", F.split("word", "").alias("symbols")).checkpoint()
     done: list[tuple[str, str]] = []
     new: list[tuple[str, str]] = []
     for number in itertools.count(1):
