@@ -1,8 +1,8 @@
 """Control-flow and data-dependence edges from IR text.
 
 A function's text is taken apart within its row: into blocks at its label lines, into instructions
-within blocks, and each instruction's tokens are counted where its text stands.  Only the edges
-between definitions and uses, and between stores and loads, need a shuffle, of rows without text.
+within blocks, each instruction's tokens are counted where its text stands, and uses look up their
+definitions.  Only the edges between stores and loads need a shuffle, of rows without text.
 """
 
 from __future__ import annotations
@@ -104,17 +104,27 @@ def used_names(line: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(code, F.lit(rf"%({NAME})"), F.lit(1)), unquoted))
 
 
-def def_use(instructions: DataFrame, carried: list[str]) -> DataFrame:
-    """Pairs of an instruction that defines a value (src_ columns) and one that uses it (dst_ columns): one join by function and name."""
-    sides = lambda p: [F.col(c).alias(f"{p}_{c}") for c in carried]
-    d = instructions.select(*KEY, defined_name(F.col("line")).alias("var"), *sides("src")).where("var <> ''")
-    u = instructions.select(*KEY, F.explode(used_names(F.col("line"))).alias("var"), *sides("dst"))
-    return d.join(u, [*KEY, "var"]).drop("var").distinct()
+def def_use(items: Column) -> Column:
+    """Of a function's instructions, an array of line and range, an array of src_id, src, dst_id, dst: definition and use, numbers and ranges.
+
+    Names are looked up within the function's row, where each is defined once; nothing is shuffled.
+    """
+    defined = F.filter(F.transform(items, lambda x, i: F.struct(defined_name(x["line"]).alias("var"), i.alias("id"), x["range"].alias("range"))), lambda x: x["var"] != "")
+
+    def edges(d: Column, names: Column) -> Column:
+        found = lambda x: F.filter(F.transform(used_names(x["line"]), lambda u: F.array_position(names, u)), lambda p: p > 0)
+        pair = lambda s, x, i: F.struct(s["id"].alias("src_id"), s["range"].alias("src"), i.alias("dst_id"), x["range"].alias("dst"))
+        of_one = lambda x, i: F.transform(found(x), lambda p: pair(d[(p - 1).cast("int")], x, i))
+        return F.flatten(F.transform(items, of_one))
+
+    return let(defined, lambda d: let(F.transform(d, lambda x: x["var"]), lambda names: edges(d, names)))
 
 
 def ddg_edges(modules: DataFrame) -> DataFrame:
     """file_path, function_name, src_id, dst_id: from the instruction that defines a value to those that use it."""
-    return def_use(ir_instructions(modules).select(*KEY, "line", F.col("inst_id").alias("id")), ["id"])
+    items = F.transform(instructions_of(F.col("text")), lambda x: F.struct(x["line"].alias("line"), F.lit(0).alias("range")))
+    x = ir_functions_of(modules).select(*KEY, items.alias("items"))
+    return x.select(*KEY, F.explode(def_use(F.col("items"))).alias("e")).select(*KEY, "e.src_id", "e.dst_id")
 
 
 def raw_dependence(modules: DataFrame) -> DataFrame:
@@ -156,17 +166,13 @@ def text_ranges(text: Column, needles: Column, contained: bool = False, whole_li
     return let(sums, ranges)
 
 
-def ranged_instructions(modules: DataFrame, whole_lines: bool = False) -> DataFrame:
-    """file_path, function_name, inst_id, block, line, start, end: instructions and their tokens' range in the function's text."""
-    x = ir_functions_of(modules).select(*KEY, "text", instructions_of(F.col("text")).alias("i"))
-    x = x.select(*KEY, F.posexplode(F.arrays_zip("i", text_ranges(F.col("text"), F.col("i.needle"), whole_lines=whole_lines).alias("r"))).alias("inst_id", "x"))
-    return x.select(*KEY, "inst_id", "x.i.block", "x.i.line", F.col("x.r.first").alias("start"), F.col("x.r.last").alias("end"))
-
-
 def ddg_edge_align(modules: DataFrame, whole_lines: bool = False) -> DataFrame:
     """file_path, function_name, src_id, dst_id, src_start, src_end, dst_start, dst_end; edges without a range on a side go."""
-    x = ranged_instructions(modules, whole_lines).where("start is not null").select(*KEY, "line", F.col("inst_id").alias("id"), "start", "end")
-    return def_use(x, ["id", "start", "end"])
+    x = ir_functions_of(modules).select(*KEY, "text", instructions_of(F.col("text")).alias("i"))
+    ranges = text_ranges(F.col("text"), F.col("i.needle"), whole_lines=whole_lines)
+    x = x.select(*KEY, F.zip_with(F.col("i.line"), ranges, lambda a, b: F.struct(a.alias("line"), b.alias("range"))).alias("items"))
+    x = x.select(*KEY, F.explode(def_use(F.col("items"))).alias("e")).where("e.src is not null and e.dst is not null")
+    return x.select(*KEY, "e.src_id", "e.dst_id", F.col("e.src.first").alias("src_start"), F.col("e.src.last").alias("src_end"), F.col("e.dst.first").alias("dst_start"), F.col("e.dst.last").alias("dst_end"))
 
 
 def cfg_aligned(modules: DataFrame, whole_lines: bool = False) -> DataFrame:
