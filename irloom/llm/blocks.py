@@ -36,6 +36,7 @@ HOT_WINDOWS = 1 << 18
 REPORTED_WINDOWS, SIDES = 128, 16
 #: Buckets below this one carry digests of blocks and are answered by what they got.
 DIGESTS = -SIDES
+#: Stands for a null id, which comes after all others; no doc_id may have this value.
 NO_ID = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
@@ -110,6 +111,14 @@ def body(ids: list, texts: list[bytes]) -> tuple[bytes, bytes, bytes]:
     return np.array([NO_ID if i is None else i for i in ids], "<i8").tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), b"".join(texts)
 
 
+def by_bucket(to: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each bucket that occurs and, ascending, the positions that go to it: one sort, however many buckets there are."""
+    order = np.argsort(to, kind="stable")
+    ordered = to[order]
+    at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(to) else np.zeros(0, np.int64)
+    return list(zip(ordered[at].tolist(), np.split(order, at[1:]), strict=True)) if len(to) else []
+
+
 SENT = (["bucket", "block", "payload"], [pa.int64(), pa.int64(), pa.binary()])
 SENT_SCHEMA = "bucket long, block long, payload binary"
 
@@ -373,8 +382,8 @@ def pack_runs(keep: np.ndarray, least: np.ndarray, buckets: int, doc: np.ndarray
     """A payload for each bucket: minimisers, document, position, windows and length of each string, and the strings."""
     to = ((least[keep] >> U(32)) % U(buckets)).astype(np.int64)
     out = []
-    for b in np.unique(to).tolist():
-        k = keep[to == b]
+    for b, at in by_bucket(to):
+        k = keep[at]
         parts = [strings(i) for i in k.tolist()]
         cols = [(least[k] & U(0xFFFFFFFF)).astype("<u4"), doc[k].astype("<i8"), pos[k].astype("<i8"), extra[k].astype("<i4"), np.array([len(p) for p in parts], "<i4")]
         out.append((b, squeeze(*[c.tobytes() for c in cols], b"".join(parts))))
@@ -431,8 +440,9 @@ def read_flags(keep: np.ndarray, least: np.ndarray, count: np.ndarray, buckets:
     """For each kept run, from the buckets' answers, which of its windows start earlier elsewhere."""
     to = ((least[keep] >> U(32)) % U(buckets)).astype(np.int64)
     out: list[np.ndarray] = [np.zeros(c, bool) for c in count[keep].tolist()]
-    for b, data in bits.items():
-        k = np.flatnonzero(to == b)
+    for b, k in by_bucket(to):
+        if (data := bits.get(b)) is None:
+            continue
         n = count[keep[k]]
         flags = np.unpackbits(np.frombuffer(data, np.uint8), count=int(n.sum())).astype(bool)
         at = 0

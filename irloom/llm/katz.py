@@ -82,7 +82,7 @@ def send_words(ids: list, texts: list[bytes], buckets: int) -> list[tuple[int, b
     t = block_tokens(ids, texts)
     count = np.bincount(t["idx"][t["train"]], minlength=len(t["hash"]))
     to = word_bucket(t["hash"], buckets)
-    return [(b, B.squeeze(t["hash"][to == b].astype("<u8").tobytes(), count[to == b].astype("<i8").tobytes())) for b in np.unique(to).tolist()]
+    return [(b, B.squeeze(t["hash"][k].astype("<u8").tobytes(), count[k].astype("<i8").tobytes())) for b, k in B.by_bucket(to)]
 
 
 def count_words(payloads: list[bytes]) -> list[bytes | None]:
@@ -131,8 +131,8 @@ class Words:
 
 def word_counts(t: dict, buckets: int, got: dict) -> np.ndarray:
     to, c = word_bucket(t["hash"], buckets), np.zeros(len(t["hash"]), np.int64)
-    for b, data in got.items():
-        c[to == b] = np.frombuffer(B.unsqueeze(data)[0], "<i8")
+    for b, k in B.by_bucket(to):
+        c[k] = np.frombuffer(B.unsqueeze(got[b])[0], "<i8")
     return c
 
 
@@ -156,8 +156,7 @@ def pair_bucket(p: dict, k: np.ndarray, buckets: int, hot: int) -> np.ndarray:
 
 def sent_pairs(p: dict, buckets: int, hot: int) -> dict[int, np.ndarray]:
     k = np.flatnonzero(p["c1"][p["first"]] > 0)
-    to = pair_bucket(p, k, buckets, hot)
-    return {b: k[to == b] for b in np.unique(to).tolist()}
+    return {b: k[at] for b, at in B.by_bucket(pair_bucket(p, k, buckets, hot))}
 
 
 def heads(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

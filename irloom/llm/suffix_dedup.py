@@ -60,7 +60,7 @@ def send_samples(b: dict, width: int, buckets: int, hot: int) -> list[tuple[int,
     _, names = samples(b, width)
     to = bucket_of(names, buckets)
     _, count, least, content = B.runs(b["code"], b["n"], width, width - COVER_PERIOD + 1)
-    return B.report(count, least, content, hot) + [(k, names[to == k].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES].tobytes()) for k in np.unique(to).tolist()]
+    return B.report(count, least, content, hot) + [(k, names[i].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES].tobytes()) for k, i in B.by_bucket(to)]
 
 
 def shared_samples(payloads: list[bytes]) -> list[bytes | None]:
@@ -83,9 +83,9 @@ def candidates(b: dict, width: int, buckets: int, bits: dict[int, bytes]) -> np.
     """Which windows have a shared sample in reach."""
     at, names = samples(b, width)
     to, shared = bucket_of(names, buckets), np.zeros(len(names), bool)
-    for k, data in bits.items():
-        i = np.flatnonzero(to == k)
-        shared[i] = np.unpackbits(np.frombuffer(data, np.uint8), count=len(i)).astype(bool)
+    for k, i in B.by_bucket(to):
+        if (data := bits.get(k)) is not None:
+            shared[i] = np.unpackbits(np.frombuffer(data, np.uint8), count=len(i)).astype(bool)
     reach = np.zeros(len(b["data"]) + 2, np.int32)
     hit = at[shared]
     np.add.at(reach, np.maximum(hit - COVER_PERIOD + 1, 0), 1)
