@@ -338,6 +338,18 @@ def distinct_runs(content: np.ndarray, order: list[np.ndarray], same: Callable[[
     return keep, np.searchsorted(keep, stands)
 
 
+def hashes_of(buf: bytes, first: np.ndarray, last: np.ndarray, step: int = 1 << 21) -> np.ndarray:
+    """range_hash of bytes first:last of buf, of which first does not descend, step bytes at a time to bound memory."""
+    h = np.empty(len(first), U)
+    edges = [*np.searchsorted(first, np.arange(0, len(buf), step)).tolist(), len(first)]
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        if i < j:
+            a = int(first[i])
+            sums = prefix(CODES[np.frombuffer(buf, np.uint8, int(last[i:j].max()) - a, a)])
+            h[i:j] = range_hash(sums, first[i:j] - a, last[i:j] - a)
+    return h
+
+
 def earlier_windows(buf: bytes, first: np.ndarray, last: np.ndarray, item: np.ndarray, doc: np.ndarray, strict: bool) -> np.ndarray:
     """Which windows also start earlier in this bucket.
 
@@ -345,8 +357,7 @@ def earlier_windows(buf: bytes, first: np.ndarray, last: np.ndarray, item: np.nd
     ones the first in order is the owner.  strict: a window counts only if its owner lies in
     another document.  Matches are confirmed on the bytes, a run of neighbours at a time.
     """
-    code = CODES[np.frombuffer(buf, np.uint8)]
-    h = range_hash(prefix(code), first, last)
+    h = hashes_of(buf, first, last)
     by = np.argsort(h, kind="stable")
     s = h[by]
     new = np.ones(len(s), bool)

@@ -138,6 +138,17 @@ def test_equal_hashes_are_told_apart(spark, tmp_path, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeated(stored(spark, tmp_path, rows)).collect()} == brute_words(rows)
 
 
+def test_hashes_in_steps():
+    """Hashes do not depend on where the buffer is cut."""
+    rng = random.Random(2)
+    buf = bytes(rng.randrange(97, 101) for _ in range(3000))
+    first = np.sort(np.array([rng.randrange(2900) for _ in range(700)]))
+    last = first + np.array([rng.randrange(1, 100) for _ in range(700)])
+    whole = blocks.hashes_of(buf, first, last)
+    assert all((blocks.hashes_of(buf, first, last, step) == whole).all() for step in (1, 64, 1000))
+    assert len({buf[a:z] for a, z in zip(first, last)}) == len(set(whole.tolist()))
+
+
 def test_empty_and_null_ids(spark, tmp_path):
     for rows, n in (([], 0), ([(None, "a b", "c", 1), (None, None, None, None)], 2)):
         spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / f"e{n}"))
