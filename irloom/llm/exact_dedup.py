@@ -24,8 +24,8 @@ def exact_groups(docs: DataFrame, keep: str = "min") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty.  Null ids never win against an id; a group of null ids only keeps
-    them (keep_id null).  Rows that repeat an id and its text share one decision.  Empty tables
-    give no rows; other columns are not read.
+    them (keep_id null).  Rows that repeat an id and its text share one decision.  Texts of any length
+    are compared whole.  Empty tables give no rows; other columns are not read.
     """
     keys = id_and_text(docs).select("doc_id", F.md5("text").alias("content_hash"), F.sha2("text", 256).alias("text_sha256"))
     return keys.join(text_classes(docs, keep), ["content_hash", "text_sha256"]).select(
@@ -34,11 +34,17 @@ def exact_groups(docs: DataFrame, keep: str = "min") -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, keep: str = "min") -> DataFrame:
-    """The documents (all their columns) whose row stays, by the rules of exact_groups."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    classes = text_classes(docs, keep).select(F.col("content_hash").alias("__hash"), F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"))
-    keyed = docs.withColumns({"__hash": F.md5(text), "__sha": F.sha2(text, 256)})
-    return keyed.join(classes, ["__hash", "__sha"]).where(F.col("doc_id").eqNullSafe(F.col("__keep"))).select(*docs.columns)
+    """The documents (all their columns) whose row stays, by the rules of exact_groups; of rows that repeat an id and its text one.
+
+    A row meets its class by its id and the text's hashes together, so a text that a third of all
+    rows hold is no hot key, and rows are compared with their repeats where that join has put them.
+    Of a class without any id one row stays.
+    """
+    text, key = F.coalesce(F.col("text"), F.lit("")), ["__id", "__hash", "__sha"]
+    named = lambda i: F.coalesce(F.col(i).cast("long").cast("string"), F.lit(""))
+    classes = text_classes(docs, keep).select(named("keep_id").alias("__id"), F.col("content_hash").alias("__hash"), F.col("text_sha256").alias("__sha"))
+    keyed = docs.withColumns({"__id": named("doc_id"), "__hash": F.md5(text), "__sha": F.sha2(text, 256)})
+    return keyed.join(classes, key, "left_semi").dropDuplicates(key).select(*docs.columns)
 
 
 def op4_exact_dedup(spark, sf_dir):

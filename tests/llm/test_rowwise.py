@@ -29,6 +29,9 @@ def test_exact_groups(spark):
     assert exact_groups(table(spark, [])).count() == 0
     odd = spark.createDataFrame([(None, "q", "", "", ""), (None, "q", "", "", ""), (5, "q", "", "", ""), (5, "q", "", "", "")], DOCS)
     assert sorted((r.doc_id or -1, r.kept) for r in exact_groups(odd).collect()) == [(-1, False), (-1, False), (5, True), (5, True)]
+    assert [r.doc_id for r in exact_dedup(odd).collect()] == [5] and exact_dedup(table(spark, [])).count() == 0
+    none = spark.createDataFrame([(None, "q", "", "", ""), (None, "q", "", "", ""), (5, "r", "", "", ""), (5, "s", "", "", "")], DOCS)
+    assert sorted((r.doc_id or -1, r.text) for r in exact_dedup(none).collect()) == [(-1, "q"), (5, "r"), (5, "s")]
 
 
 @pytest.mark.parametrize("rows", [100_000, 0])
