@@ -22,36 +22,39 @@ def factors(counts):
 
 
 class Plain:
-    def __init__(self, texts):
-        self.c, self.pairs = Counter(), defaultdict(Counter)
+    """grams[k] counts words after histories of k tokens, the start among them once."""
+
+    def __init__(self, texts, order=2):
+        self.grams = [defaultdict(Counter) for _ in range(order)]
         for t in texts:
-            for h, w in zip(["<s>", *tokens(t)], tokens(t)):
-                self.c[w] += 1
-                self.pairs[h][w] += 1
+            seen = ["<s>"]
+            for w in tokens(t):
+                for k, g in enumerate(self.grams):
+                    g[self.history(seen, k)][w] += 1
+                seen.append(w)
+        self.c = self.grams[0][()]
         self.n = sum(self.c.values())
-        self.d1 = factors(self.c.values())
-        self.d2 = factors([c for p in self.pairs.values() for c in p.values()])
+        self.d = [factors([c for p in g.values() for c in p.values()]) for g in self.grams]
+
+    def history(self, seen, k):
+        """The last k tokens, or the start alone for the first word of a text; near the start fewer stand before it."""
+        return tuple(seen[max(0, len(seen) - k) :]) if k else ()
 
     def kept(self, d, c):
         return (d[c] if c <= katz.MOST else 1) * c
 
-    def word(self, w):
-        if self.n == 0:
-            return 1.0
-        mass = sum(self.kept(self.d1, c) for c in self.c.values()) / self.n
-        scale = 1 if 1 - mass > 1e-12 else self.n / (self.n + 1)
-        return scale * self.kept(self.d1, self.c[w]) / self.n if self.c[w] else 1 - scale * mass
-
-    def after(self, h, w):
-        seen = self.pairs.get(h)
-        if not seen:
-            return self.word(w)
-        total = sum(seen.values())
-        mass = sum(self.kept(self.d2, c) for c in seen.values()) / total
+    def after(self, seen, w, k=None):
+        k = len(self.grams) - 1 if k is None else k
+        below = (lambda x: self.after(seen, x, k - 1)) if k else (lambda x: 0.0)
+        found = self.grams[k].get(self.history(seen, k))
+        if not found:
+            return below(w) if k else 1.0
+        total, d = sum(found.values()), self.d[k]
+        mass = sum(self.kept(d, c) for c in found.values()) / total
         scale = 1 if 1 - mass > 1e-12 else total / (total + 1)
-        if seen[w]:
-            return scale * self.kept(self.d2, seen[w]) / total
-        return (1 - scale * mass) / (1 - sum(self.word(x) for x in seen if seen[x])) * self.word(w)
+        if found[w]:
+            return scale * self.kept(d, found[w]) / total
+        return (1 - scale * mass) / (1 - sum(below(x) for x in found if found[x])) * (below(w) if k else 1.0)
 
 
 def corpus(seed=1):
@@ -61,15 +64,15 @@ def corpus(seed=1):
     return [(i, t, "x", 1) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("hot", [200_000, 20])
-def test_scores(spark, tmp_path, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "order"), [(200_000, 2), (20, 2), (20, 3), (200_000, 4), (200_000, 1)])
+def test_scores(spark, tmp_path, monkeypatch, hot, order):
     monkeypatch.setattr(blocks, "BLOCK_BYTES", 1500)
     monkeypatch.setattr(katz, "HOT", hot)
     rows = corpus()
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "t"))
-    got = {r.doc_id: r for r in katz.katz_scores(spark.read.parquet(str(tmp_path / "t"))).collect()}
+    got = {r.doc_id: r for r in katz.katz_scores(spark.read.parquet(str(tmp_path / "t")), order).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows}
-    m = Plain([t for i, t, *_ in rows if not held[i]])
+    m = Plain([t for i, t, *_ in rows if not held[i]], order)
     assert len(got) == len(rows) and any(held.values())
     better = 0.0
     for i, t, *_ in rows:
@@ -77,10 +80,10 @@ def test_scores(spark, tmp_path, monkeypatch, hot):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum(m.c[x] > 0 for x in w), m.n)
         assert r.base_score == pytest.approx(sum(math.log10((m.c[x] + 1) / (m.n + len(m.c) + 1)) for x in w))
-        assert r.score == pytest.approx(sum(math.log10(m.after(h, x)) for h, x in zip(["<s>", *w], w)))
+        assert r.score == pytest.approx(sum(math.log10(m.after(["<s>", *w[:j]], x)) for j, x in enumerate(w)))
         better += (r.score - r.base_score) * held[i]
-    for h in ["<s>", "a0", "never", *list(m.c)[:20]]:
-        if h != "\n":
+    for h in [["<s>"], ["a0"], ["never"], *[["<s>", *tokens(t)[:-1]] for _, t, *_ in rows[:20]]]:
+        if h:
             assert sum(m.after(h, w) for w in [*m.c, "<unknown>"]) == pytest.approx(1)
 
 
