@@ -51,7 +51,8 @@ def format_conversations(turns: DataFrame, t: dict = TEMPLATE) -> DataFrame:
     Turns are ordered by (turn, role, text); repeated rows are repeated turns.  Null role and text
     count as empty, a null turn comes first, a null conv_id is a conversation of its own.  Every
     conversation is formatted, also those whose turn order the state machine refuses
-    (valid_order false).  Empty tables give no rows; other columns are not read.
+    (valid_order false).  Texts of any length stay whole; the turns of one conversation meet in one
+    row.  Empty tables give no rows; other columns are not read.
     """
     row = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     convs = turns.select(F.col("conv_id").cast("long").alias("conv_id"), row.alias("row")).groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("turns"))

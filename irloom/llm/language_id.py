@@ -116,8 +116,8 @@ def predict(docs: DataFrame, names: list[str], model: dict | None) -> DataFrame:
     """One row per document: doc_id, lang_pred, score (0 to 1), ambiguous.
 
     und with score 0 where the text is null or has no letter, or where nothing was learned.  Only
-    the text is used; ties go to the language first in order.  Empty tables give no rows, repeated
-    rows repeat.
+    the text is used; ties go to the language first in order.  Texts of any length are read
+    whole.  Empty tables give no rows, repeated rows repeat.
     """
 
     def run(doc_id: list, text: list, names=names, model=model) -> dict:

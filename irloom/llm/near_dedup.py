@@ -214,7 +214,8 @@ def near_components(docs: DataFrame, k: int = K, percent: int = 75) -> DataFrame
     are linked, and component_id is the least doc_id reachable.  Documents without words (null,
     empty) and rows without an id are linked with nothing; their component_id is their own id.
     Rows that repeat an id repeat its decision; if their texts differ, one of them stands for the
-    id.  Empty tables give no rows; other columns are not read.
+    id.  Texts of any length are compared whole.  Empty tables give no rows; other columns are not
+    read.
 
     Documents with the same words are one class, represented by its least id.  Representatives are
     compared in two rounds, so that a large group of near copies is not expanded into its pairs:

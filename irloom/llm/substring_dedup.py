@@ -71,8 +71,8 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, sample: int = SAMPLE,
     A word is removed if a window of `window` words that covers it also starts in a document with
     a smaller doc_id; windows are judged on the input.  Null text has no words.  Null ids count as
     larger than all others and not as smaller than each other; the same holds for repeated rows of
-    one id.  A text shorter than a window keeps all its words.  Empty tables give no rows; other
-    columns are not read.  docs must be a stored table (see blocks).
+    one id.  A text shorter than a window keeps all its words; a long one is a block of its own and
+    read whole.  Empty tables give no rows; other columns are not read.  docs must be a stored table (see blocks).
     """
     buckets = B.n_buckets(docs)
     reports = B.send(docs, lambda ids, texts: B.report(*word_runs(texts, window, sample)[2][1:], hot_windows))

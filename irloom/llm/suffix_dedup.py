@@ -123,8 +123,8 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, hot_windows: int
     input and never cross documents.  Null text counts as empty.  Null ids come after all others.
     Of rows that repeat an id, one keeps what the others repeat (the first in the table's order
     within a block, else the one whose block comes first).  Texts shorter than width stay whole,
-    empty tables give no rows, other columns are not read.  docs must be a stored table (see
-    blocks).
+    long ones are blocks of their own and read whole.  Empty tables give no rows, other columns are
+    not read.  docs must be a stored table (see blocks).
     """
     set_checkpoint_dir(docs.sparkSession)
     buckets = B.n_buckets(docs)
