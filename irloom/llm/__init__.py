@@ -8,5 +8,5 @@ import importlib
 
 from pyspark import cloudpickle
 
-for _name in ("common", "blocks", "katz", "language_id", "near_dedup", "packing", "secrets", "substring_dedup", "suffix_dedup", "whitening"):
+for _name in ("common", "blocks", "collocations", "katz", "language_id", "near_dedup", "packing", "secrets", "substring_dedup", "suffix_dedup", "whitening"):
     cloudpickle.register_pickle_by_value(importlib.import_module(f"{__name__}.{_name}"))

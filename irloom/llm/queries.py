@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and their SQL where it can express them."""
 
-from irloom.llm import chat_format, decontaminate, exact_dedup, katz, language_id, near_dedup, packing, secrets, sharding, substring_dedup, suffix_dedup, whitening
+from irloom.llm import chat_format, collocations, decontaminate, exact_dedup, katz, language_id, near_dedup, packing, secrets, sharding, substring_dedup, suffix_dedup, whitening
 
 QUERIES = {
     "op1_decontaminate": (decontaminate.op1_decontaminate, decontaminate.SQL),
@@ -15,4 +15,5 @@ QUERIES = {
     "op10_chat_format": (chat_format.op10_chat_format, chat_format.SQL),
     "op11_sharding": (sharding.op11_sharding, sharding.SQL),
     "op12_whitening": (whitening.op12_whitening, whitening.SQL),
+    "op13_collocations": (collocations.op13_collocations, collocations.SQL),
 }
