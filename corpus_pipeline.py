@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from irloom.llm.common import set_checkpoint_dir
@@ -50,11 +52,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents; each one's result is stored and read again as the next one's input."""
+    """Applies the stages to the documents; each one's result is stored and read again as the next one's input.
+
+    A run stores its stages in a new folder below the shared checkpoint folder, which its result
+    still reads; so runs do not disturb each other, and a folder may go with its result.
+    """
     set_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        out = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{name}"
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(out)
+        out = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
     return STAGES[-1][1](spark, docs, sf_dir)
