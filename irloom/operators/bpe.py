@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
 import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from irloom.functions.text import pretokens
+from irloom.functions.text import PRETOKEN, pretokens
 from irloom.operators.tables import pair_counts, top_pairs, word_counts
 from irloom.plans.session import ensure_checkpoint_dir
 
@@ -26,24 +29,29 @@ STORED = 8
 
 
 def apply_merges(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """A word's symbols after all merges, the lowest rank first, each from the left."""
-    while True:
-        rank, best = len(ranks), None
-        for p in zip(symbols, symbols[1:], strict=False):
-            r = ranks.get(p)
-            if r is not None and r < rank:
-                rank, best = r, p
-        if best is None:
-            return symbols
-        out, i = [], 0
-        while i < len(symbols):
-            if tuple(symbols[i : i + 2]) == best:
-                out.append(symbols[i] + symbols[i + 1])
-                i += 2
-            else:
-                out.append(symbols[i])
-                i += 1
-        symbols = out
+    """A word's symbols after all merges, the lowest rank first, each from the left.
+
+    Neighbours wait in a heap by rank and place, and merging two looks at their neighbours only, so
+    a word of n symbols takes n log n steps.
+    """
+    parts: list[str | None] = list(symbols)
+    n = len(parts)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(ranks[p], i, *p) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in ranks]
+    heapq.heapify(heap)
+    while heap:
+        _, i, left, right = heapq.heappop(heap)
+        j = after[i]
+        if parts[i] != left or j >= n or parts[j] != right:
+            continue  # one of the two has been merged meanwhile
+        parts[i], parts[j] = left + right, None
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b < n and (rank := ranks.get((parts[a], parts[b]))) is not None:
+                heapq.heappush(heap, (rank, a, parts[a], parts[b]))
+    return [p for p in parts if p is not None]
 
 
 def merged(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
@@ -127,6 +135,74 @@ def encode(docs: DataFrame, merges: list[tuple[str, str]], vocab: DataFrame, key
     return docs.select(key).join(per_doc, key, "left").select(key, single_template(F.coalesce(body, F.array().cast("array<int>"))).alias("input_ids"))
 
 
+def plain_vocabulary(characters: str, merges: list[tuple[str, str]]) -> dict[str, int]:
+    """Ids as vocabulary gives them, for given characters in place of those of a corpus."""
+    return {t: i for i, t in enumerate(dict.fromkeys([*SPECIALS, *sorted(set(characters)), *(a + b for a, b in merges)]))}
+
+
+class Encoder:
+    """Merges and ids as plain tables, which are no larger than a vocabulary, to encode texts within tasks.
+
+    Atomic tokens that the vocabulary lacks take the ids behind it, in their order.
+    """
+
+    #: Words whose tokens a task remembers.
+    REMEMBERED = 200_000
+
+    def __init__(self, merges: list[tuple[str, str]], vocab: DataFrame | dict[str, int], atomic: tuple[str, ...] = ATOMIC):
+        self.ids = dict(vocab) if isinstance(vocab, dict) else {r["token"]: r["id"] for r in vocab.collect()}  # one row for each token of the vocabulary
+        self.ranks, self.atomic = {m: i for i, m in enumerate(merges)}, atomic
+        for t in atomic:
+            self.ids.setdefault(t, max(self.ids.values(), default=-1) + 1)
+        self.known: dict[str, tuple[list[int], list[int]]] = {}
+
+    def tokens_of(self, word: str) -> tuple[list[int], list[int]]:
+        """Ids and lengths of a word's tokens."""
+        if word not in self.known:
+            if len(self.known) >= self.REMEMBERED:
+                self.known.clear()
+            parts = [word] if word in self.atomic else apply_merges(list(word), self.ranks)
+            self.known[word] = [self.ids.get(p, SPECIALS.index("<unk>")) for p in parts], [len(p) for p in parts]
+        return self.known[word]
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids between <s> and </s>, and each token's first place and the place behind its last one, in code points; (0, 0) for these two."""
+        import regex
+
+        ids, sizes, starts, counts = [], [], [], []
+        words = regex.compile(PRETOKEN)
+        whole = regex.compile("|".join(regex.escape(t) for t in sorted(self.atomic, key=len, reverse=True)) or r"(?!)")
+        done = 0
+        for atomic in [*whole.finditer(text), None]:  # atomic tokens first, words in what lies between
+            upto = atomic.start() if atomic else len(text)
+            for m in [*words.finditer(text, done, upto), *([atomic] if atomic else [])]:
+                word_ids, lengths = self.tokens_of(m[0])
+                ids += word_ids
+                sizes += lengths
+                starts.append(m.start())
+                counts.append(len(lengths))
+            done = atomic.end() if atomic else upto
+        size, count = np.array(sizes, np.int64), np.array(counts, np.int64)
+        ends = np.cumsum(size)
+        gap = np.array(starts, np.int64) - (ends - size)[np.cumsum(count) - count] if starts else count  # white space in front of each word
+        ends = ends + np.repeat(gap, count)
+        edge = np.zeros(1, np.int64)
+        return np.array([SPECIALS.index("<s>"), *ids, SPECIALS.index("</s>")]), np.concatenate([edge, ends - size, edge]), np.concatenate([edge, ends, edge])
+
+
+def encode_with_offsets(df: DataFrame, encoder: Encoder, text: str = "text") -> DataFrame:
+    """Adds input_ids, token_starts and token_ends of a text column (null: null)."""
+    names = [*df.columns, "input_ids", "token_starts", "token_ends"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [encoder.encode(t) if t is not None else (None, None, None) for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in range(3))], names=names)
+
+    made = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in names[-3:]]
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *made]))
+
+
 def decode(encoded: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, decoded: the tokens of the ids, special ones left out."""
     x = encoded.select(key, F.posexplode("input_ids").alias("at", "id")).join(vocab, "id").where(~F.col("token").isin(*SPECIALS))

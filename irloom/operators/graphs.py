@@ -1,28 +1,37 @@
 """Control-flow and data-dependence edges from IR text.
 
 A function's text is taken apart within its row: into blocks at its label lines, into instructions
-within blocks, each instruction's tokens are counted where its text stands, and uses look up their
-definitions.  Only the edges between stores and loads need a shuffle, of rows without text.
+within blocks.  Token ranges are those of the normalised text: an Arrow function encodes it, finds
+the normalised instructions and labels in it and merges their places with the tokens' offsets, so
+that ranges index the ids.  Uses look up their definitions within the row too, those of functions of
+more than LONG characters in a join; so only these, and the edges between stores and loads, need a
+shuffle, of rows without text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from irloom.functions.text import PRETOKEN, let
+from irloom.functions.text import let, normalize_ir
+from irloom.operators.bpe import Encoder
 from irloom.operators.tables import split_functions, success_flag
 
 #: Names of values, labels and globals behind their sigil.
 NAME = r'(?:[-a-zA-Z$._0-9]+|"[^"]*")'
 LABEL = rf"[ \t]*({NAME}):"
-#: Two neighbours of one token.
-JOINED = r"^([\p{L}\p{M}\p{N}_]{2}|[^\p{L}\p{M}\p{N}_\s]{2})$"
 #: Stands for a line break inside an instruction.
 BREAK = "\x01"
 TERMINATOR = rf"^(?:%{NAME}\s*=\s*)?(?:br|switch|indirectbr|invoke|callbr|catchswitch|catchret|cleanupret)\b"
 KEY = ["file_path", "function_name"]
+#: A function of more characters looks its names up in a join, and from so many characters to compare on it finds its texts by one automaton.
+LONG, COMPARED = 50_000, 1 << 28
 
 
 def unquoted(name: Column) -> Column:
@@ -31,8 +40,10 @@ def unquoted(name: Column) -> Column:
 
 def body_of(text: Column) -> Column:
     """The lines of a function between its braces, without blank and comment lines; instructions over several lines are joined by BREAK."""
-    body = F.regexp_replace(F.regexp_extract(text, r"(?s)^define [^\n]*\{[^\n]*\n(.*?)\n?\}\s*$", 1), r"(?m)^[ \t]*(?:;[^\n]*)?(?:\n|\z)", "")
-    body = F.regexp_replace(body, r"\n(?=[ \t]+(?:to label %|cleanup\b|catch |filter ))", BREAK)
+    inner = F.regexp_extract(text, r"(?s)^define [^\n]*\{[^\n]*\n(.*?)\n?\}\s*$", 1)
+    on_one_line = F.regexp_extract(text, r"^define [^\n;]*\{[ \t]*([^\n;{}]*(?:\{[^\n;{}]*\}[^\n;{}]*)*)\}[^\n]*$", 1)
+    body = F.regexp_replace(F.when(F.contains(F.trim(text), F.lit("\n")), inner).otherwise(F.rtrim(on_one_line)), r"(?m)^[ \t]*(?:;[^\n]*)?(?:\n|\z)", "")
+    body = F.regexp_replace(body, r"\n(?=[ \t]*(?:to label %|cleanup\b|catch |filter ))", BREAK)
     in_brackets = F.regexp_replace(body, r"\n(?=[^\[\]]*\])", BREAK)
     return F.when(body.rlike(r"\b(switch|indirectbr) "), in_brackets).otherwise(body)
 
@@ -120,11 +131,30 @@ def def_use(items: Column) -> Column:
     return let(defined, lambda d: let(F.transform(d, lambda x: x["var"]), lambda names: edges(d, names)))
 
 
+def def_use_rows(items: DataFrame) -> DataFrame:
+    """KEY, src_id, src, dst_id, dst of functions (KEY and items, an array of line and range): as def_use, by a join on the names.
+
+    Instructions are dealt by file, function and name, so one function spreads over all tasks; no
+    list of names is searched.
+    """
+    x = items.select(*KEY, F.posexplode("items").alias("id", "i"))
+    defined = x.select(*KEY, defined_name(F.col("i.line")).alias("var"), F.col("id").alias("src_id"), F.col("i.range").alias("src")).where("var <> ''")
+    used = x.select(*KEY, F.explode(used_names(F.col("i.line"))).alias("var"), F.col("id").alias("dst_id"), F.col("i.range").alias("dst"))
+    return defined.join(used, [*KEY, "var"]).select(*KEY, "src_id", "src", "dst_id", "dst")
+
+
+def short_and_long(functions: DataFrame, make) -> tuple[DataFrame, DataFrame]:
+    """make of the functions of up to LONG characters, and of the longer ones."""
+    is_long = F.length("text") > LONG
+    return make(functions.where(~is_long)), make(functions.where(is_long))
+
+
 def ddg_edges(modules: DataFrame) -> DataFrame:
     """file_path, function_name, src_id, dst_id: from the instruction that defines a value to those that use it."""
     items = F.transform(instructions_of(F.col("text")), lambda x: F.struct(x["line"].alias("line"), F.lit(0).alias("range")))
-    x = ir_functions_of(modules).select(*KEY, items.alias("items"))
-    return x.select(*KEY, F.explode(def_use(F.col("items"))).alias("e")).select(*KEY, "e.src_id", "e.dst_id")
+    short, long = short_and_long(ir_functions_of(modules), lambda x: x.select(*KEY, items.alias("items")))
+    within = short.select(*KEY, F.explode(def_use(F.col("items"))).alias("e")).select(*KEY, "e.src_id", "e.dst_id")
+    return within.unionByName(def_use_rows(long).select(*within.columns))
 
 
 def raw_dependence(modules: DataFrame) -> DataFrame:
@@ -139,81 +169,132 @@ def raw_dependence(modules: DataFrame) -> DataFrame:
 # --- token ranges -------------------------------------------------------------------------------------
 
 
-def text_ranges(text: Column, needles: Column, contained: bool = False, whole_lines: bool = False) -> Column:
-    """For each of needles the range first, last (inclusive) of tokens where it stands in the text, null where there is none.
+def first_places(text: str, parts: list[str], whole_lines: bool = False) -> list[int]:
+    """Where each part stands in the text first, -1 where it does not; whole_lines: at the beginning of a line only."""
+    if whole_lines:
+        text, parts = "\n" + text, ["\n" + p for p in parts]
+    if len(text) * len(parts) < COMPARED:
+        return [text.find(p) for p in parts]
+    import ahocorasick
 
-    A needle is looked for by its first occurrence, so equal ones share a range; with whole_lines
-    only at the beginning of a trimmed line.  Tokens that overlap it count, or with contained only
-    those that lie in it.  Tokens are pre-tokens, which never cross a line break: those before a
-    needle are the tokens of the lines above and those of its own line in front of it.
+    automaton, found = ahocorasick.Automaton(), {}
+    for p in set(parts):
+        automaton.add_word(p, p)
+    automaton.make_automaton()
+    for end, p in automaton.iter(text):
+        found.setdefault(p, end - len(p) + 1)
+    return [found.get(p, -1) for p in parts]
+
+
+def token_ranges(places: list[int], parts: list[str], starts: np.ndarray, ends: np.ndarray, contained: bool = False) -> list[dict | None]:
+    """The first and the last token (inclusive) of each part at its place: those that overlap it, or with contained those that lie in it.
+
+    starts and ends: the tokens' offsets in order, without those of the tokens at either end of the
+    text, which count as one token in front.  Parts that are not there or hold no token give null.
     """
-    count = lambda x: F.regexp_count(x, F.lit(PRETOKEN))
+    low, high = np.array(places, np.int64), np.array(places, np.int64) + np.array([len(p) for p in parts], np.int64)
+    first = 1 + (np.searchsorted(starts, low) if contained else np.searchsorted(ends, low, "right"))
+    last = np.searchsorted(ends, high, "right") if contained else np.searchsorted(starts, high)
+    return [{"first": a, "last": z} if p >= 0 and a <= z else None for p, a, z in zip(places, first.tolist(), last.tolist(), strict=True)]
 
-    def ranges(above: Column) -> Column:
-        def at(needle: Column, pos: Column) -> Column:
-            opens = lambda front: F.lit(0) if contained else F.concat(F.right(front, F.lit(1)), F.left(needle, F.lit(1))).rlike(JOINED).cast("int")
-            closes = F.concat(F.right(needle, F.lit(1)), F.substring(text, pos + F.length(needle), F.lit(1))).rlike(JOINED).cast("int") if contained else F.lit(0)
-            ends = lambda n, front: F.struct((n + count(front) - opens(front)).alias("first"), (n + count(F.concat(front, needle)) - 1 - closes).alias("last"))
-            of_head = lambda h: F.struct(above[F.length(h) - F.length(F.replace(h, F.lit("\n"), F.lit("")))].alias("n"), F.substring_index(h, "\n", -1).alias("front"))
-            found = let(let(F.left(text, pos - 1), of_head), lambda h: let(ends(h["n"], h["front"]), lambda r: F.when(r["first"] <= r["last"], r)))
-            return F.when(pos > 0, found)  # each let is computed once
 
-        where = lambda x: F.regexp_instr(text, F.concat(F.lit(r"(?m)^[ \t]*\Q"), x, F.lit(r"\E"))) if whole_lines else F.position(x, text)
-        indent = lambda p: F.length(F.regexp_extract(F.substring(text, p, F.lit(1 << 30)), r"^[ \t]*", 0)) if whole_lines else F.lit(0)
-        return F.transform(needles, lambda x: let(where(x), lambda p: at(x, F.when(p > 0, p + indent(p)).otherwise(F.lit(0)))))
+RANGES = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
+RANGES_TYPE = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
-    sums = F.aggregate(F.split(text, "\n"), F.array(F.lit(0)), lambda s, x: F.array_append(s, F.element_at(s, -1) + count(x)))
-    return let(sums, ranges)
 
+def located(functions: DataFrame, encoder: Encoder, whole_lines: bool = False) -> DataFrame:
+    """KEY, normalized, lines (instructions as they are), blocks, input_ids, ranges of the instructions and label_ranges of the blocks.
 
-def ddg_edge_align(modules: DataFrame, whole_lines: bool = False) -> DataFrame:
-    """file_path, function_name, src_id, dst_id, src_start, src_end, dst_start, dst_end; edges without a range on a side go."""
-    x = ir_functions_of(modules).select(*KEY, "text", instructions_of(F.col("text")).alias("i"))
-    ranges = text_ranges(F.col("text"), F.col("i.needle"), whole_lines=whole_lines)
-    x = x.select(*KEY, F.zip_with(F.col("i.line"), ranges, lambda a, b: F.struct(a.alias("line"), b.alias("range"))).alias("items"))
-    x = x.select(*KEY, F.explode(def_use(F.col("items"))).alias("e")).where("e.src is not null and e.dst is not null")
-    return x.select(*KEY, "e.src_id", "e.dst_id", F.col("e.src.first").alias("src_start"), F.col("e.src.last").alias("src_end"), F.col("e.dst.first").alias("dst_start"), F.col("e.dst.last").alias("dst_end"))
+    Instructions are looked for in the normalised text as they are there, by their first occurrence,
+    so equal ones share a range; so are labels and their colon, with whole_lines at the beginning of
+    a line only.
+    """
+    x = functions.select(*KEY, instructions_of(F.col("text"))["line"].alias("lines"), blocks_of(F.col("text")).alias("blocks"), F.explode(F.array(normalize_ir(F.col("text")))).alias("normalized"))  # computed once
+    label = lambda b: F.concat(F.when(b["label"] == "", b["block"]).otherwise(b["label"]), F.lit(":"))
+    x = x.select(*KEY, "normalized", "lines", "blocks", instructions_of(F.col("normalized"))["needle"].alias("needles"), F.transform("blocks", label).alias("labels"))
+    names = [*x.columns[:-2], "input_ids", "ranges", "label_ranges"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for text, needles, labels in zip(*(batch.column(c).to_pylist() for c in ("normalized", "needles", "labels")), strict=True):
+                ids, starts, ends = encoder.encode(text)
+                starts, ends = starts[1:-1], ends[1:-1]
+                out.append((ids, token_ranges(first_places(text, needles), needles, starts, ends), token_ranges(first_places(text, labels, whole_lines), labels, starts, ends, True)))
+            made = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.list_(pa.int32()), RANGES_TYPE, RANGES_TYPE))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *made], names=names)
+
+    made = [T.StructField("input_ids", T.ArrayType(T.IntegerType())), T.StructField("ranges", RANGES), T.StructField("label_ranges", RANGES)]
+    return x.mapInArrow(run, T.StructType([*x.schema.fields[:-2], *made]))
 
-def cfg_aligned(modules: DataFrame, whole_lines: bool = False) -> DataFrame:
-    """cfg_edges with src_start, src_end, dst_start, dst_end: the tokens within each block's label and colon, null where the label is not in the text."""
 
-    def edges(blocks: Column, ranges: Column) -> Column:
-        range_of = lambda name: F.get(F.filter(ranges, lambda r: r["block"] == name), F.lit(0))["r"]
+def items_of(x: DataFrame) -> Column:
+    """Of located functions the instructions, each with its range."""
+    return F.zip_with("lines", "ranges", lambda a, b: F.struct(a.alias("line"), b.alias("range")))
+
+
+def aligned_rows(e: DataFrame) -> DataFrame:
+    """Edges with src and dst as ranges, without those that lack one: KEY, src_id, dst_id, src_start, src_end, dst_start, dst_end."""
+    side = lambda n: [F.col(f"{n}.first").alias(f"{n}_start"), F.col(f"{n}.last").alias(f"{n}_end")]
+    return e.where("src is not null and dst is not null").select(*KEY, "src_id", "dst_id", *side("src"), *side("dst"))
+
+
+def ddg_edge_align(modules: DataFrame, encoder: Encoder) -> DataFrame:
+    """file_path, function_name, src_id, dst_id, src_start, src_end, dst_start, dst_end; edges without a range on a side go.
+
+    Ranges are inclusive numbers of tokens of the normalised function's input_ids.
+    """
+    short, long = short_and_long(ir_functions_of(modules), lambda x: located(x, encoder))
+    within = short.select(*KEY, F.explode(def_use(items_of(short))).alias("e")).select(*KEY, "e.*")
+    return aligned_rows(within.unionByName(def_use_rows(long.select(*KEY, items_of(long).alias("items")))))
+
+
+def cfg_of(blocks: Column, ranges: Column) -> Column:
+    """An array of a function's control-flow edges: src, dst, succ_no, prob, s and d, the tokens of the two labels."""
+
+    def edges(names: Column) -> Column:
+        range_of = lambda name: let(F.array_position(names, name), lambda p: F.when(p > 0, F.get(ranges, (p - 1).cast("int"))))
         last = lambda b: F.regexp_replace(F.element_at(b["lines"], -1), BREAK + r"\s*", " ")
         to = lambda b, t: F.transform(t, lambda d, k: F.struct(b["block"].alias("src"), d.alias("dst"), k.alias("succ_no"), (F.lit(1.0) / F.size(t)).alias("prob"), range_of(b["block"]).alias("s"), range_of(d).alias("d")))
         return F.flatten(F.transform(F.filter(blocks, lambda b: F.size(b["lines"]) > 0), lambda b: let(successors(last(b)), lambda t: to(b, t))))
 
-    labels = F.transform(F.col("b"), lambda b: F.concat(F.when(b["label"] == "", b["block"]).otherwise(b["label"]), F.lit(":")))
-    x = ir_functions_of(modules).select(*KEY, "text", blocks_of(F.col("text")).alias("b"))
-    x = x.select(*KEY, "b", F.zip_with(F.col("b.block"), text_ranges(F.col("text"), labels, True, whole_lines), lambda n, r: F.struct(n.alias("block"), r.alias("r"))).alias("ranges"))
-    x = x.select(*KEY, F.explode(edges(F.col("b"), F.col("ranges"))).alias("e"))
+    return let(F.transform(blocks, lambda b: b["block"]), edges)
+
+
+def cfg_aligned(modules: DataFrame, encoder: Encoder, whole_lines: bool = False) -> DataFrame:
+    """cfg_edges with src_start, src_end, dst_start, dst_end: the tokens within each block's label and colon, null where the label is not in the text."""
+    x = located(ir_functions_of(modules), encoder, whole_lines)
+    x = x.select(*KEY, F.explode(cfg_of(F.col("blocks"), F.col("label_ranges"))).alias("e"))
     side = lambda n, c: [F.col(f"e.{c}.first").alias(f"{n}_start"), F.col(f"e.{c}.last").alias(f"{n}_end")]
     return x.select(*KEY, "e.src", "e.dst", "e.succ_no", "e.prob", *side("src", "s"), *side("dst", "d"))
 
 
-def cfg_edge_align(modules: DataFrame, whole_lines: bool = False) -> DataFrame:
+def cfg_edge_align(modules: DataFrame, encoder: Encoder, whole_lines: bool = False) -> DataFrame:
     """The aligned control-flow edges, with probabilities; those of a label that the text does not show go (see cfg_edge_losses)."""
-    return cfg_aligned(modules, whole_lines).where("src_start is not null and dst_start is not null")
+    return cfg_aligned(modules, encoder, whole_lines).where("src_start is not null and dst_start is not null")
 
 
-def cfg_edge_losses(modules: DataFrame, whole_lines: bool = False) -> DataFrame:
+def cfg_edge_losses(modules: DataFrame, encoder: Encoder, whole_lines: bool = False) -> DataFrame:
     """file_path, n_edges, n_dropped: how many edges alignment drops."""
     lost = F.col("src_start").isNull() | F.col("dst_start").isNull()
-    return cfg_aligned(modules, whole_lines).groupBy("file_path").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(lost).alias("n_dropped"))
+    return cfg_aligned(modules, encoder, whole_lines).groupBy("file_path").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(lost).alias("n_dropped"))
 
 
-def build_dataset_rows(modules: DataFrame, tokens: DataFrame, whole_lines: bool = False) -> DataFrame:
-    """file_path, function_name, ddg_graph, cfg_graph, input_ids, success, error_message: one row per function, any part null where it is missing.
+def build_dataset_rows(modules: DataFrame, encoder: Encoder, whole_lines: bool = False) -> DataFrame:
+    """file_path, function_name, ddg_graph, cfg_graph, input_ids, success, error_message: one row per function, a graph null where it has no edge.
 
-    tokens has file_path, function_name, input_ids.
+    ids and ranges come from one encoding of the normalised function; graphs are in the order of
+    their numbers.  Nothing is joined but the edges of functions of more than LONG characters.
     """
-    ints = lambda cols, to: F.array(*[F.col(c).cast(to) for c in cols])
-    span = ["src_start", "src_end", "dst_start", "dst_end"]
-    of = lambda edges, cols, to, name: edges.groupBy(*KEY).agg(F.sort_array(F.collect_list(ints(cols, to))).alias(name))  # a function's edges
-    ddg = of(ddg_edge_align(modules, whole_lines), span, "int", "ddg_graph")
-    cfg = of(cfg_edge_align(modules, whole_lines), [*span, "prob"], "float", "cfg_graph")
-    x = ir_functions_of(modules).select(*KEY).join(ddg, KEY, "left").join(cfg, KEY, "left").join(tokens.select(*KEY, "input_ids"), KEY, "left")
+    span = lambda s, d, to: [s["first"].cast(to), s["last"].cast(to), d["first"].cast(to), d["last"].cast(to)]
+    both = lambda e, s, d: e[s].isNotNull() & e[d].isNotNull()
+    ddg = lambda edges: F.sort_array(F.transform(F.filter(edges, lambda e: both(e, "src", "dst")), lambda e: F.array(*span(e["src"], e["dst"], "int"))))
+    cfg = F.sort_array(F.transform(F.filter(cfg_of(F.col("blocks"), F.col("label_ranges")), lambda e: both(e, "s", "d")), lambda e: F.array(*span(e["s"], e["d"], "float"), e["prob"].cast("float"))))
+    short, long = short_and_long(ir_functions_of(modules), lambda x: located(x, encoder, whole_lines))
+    rows = short.select(*KEY, ddg(def_use(items_of(short))).alias("ddg_graph"), cfg.alias("cfg_graph"), "input_ids")
+    far = def_use_rows(long.select(*KEY, items_of(long).alias("items"))).groupBy(*KEY).agg(F.collect_list(F.struct("src", "dst")).alias("e"))  # a function's edges
+    rows = rows.unionByName(long.select(*KEY, cfg.alias("cfg_graph"), "input_ids").join(far, KEY, "left").select(*KEY, ddg(F.col("e")).alias("ddg_graph"), "cfg_graph", "input_ids"))
+    x = rows.withColumns({c: F.when(F.size(c) > 0, F.col(c)) for c in ("ddg_graph", "cfg_graph")})
     parts = ["ddg_graph", "cfg_graph", "input_ids"]
     missing = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in parts])
     return x.select(*KEY, *parts, success_flag().alias("success"), F.when(missing != "", F.concat(F.lit("missing: "), missing)).alias("error_message"))

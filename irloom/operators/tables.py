@@ -68,10 +68,20 @@ def feature_info(df: DataFrame, split: str | None = None) -> DataFrame:
     return counts.select("split", "n_rows", F.explode(columns).alias("c")).select("split", "n_rows", "c.column_name", "c.type")
 
 
+#: A function: a define line whose braces close on it, or else all up to the first line that begins with a closing brace.
+FUNCTION = r"(?m)^define (?:[^\n;]*\{[^\n;]*\}[ \t]*(?:;[^\n]*)?$|(?s:.*?)^\})"
+
+
+def function_name(text: Column) -> Column:
+    """The name behind the first @ of a define line, read up to its closing quote where it has quotes."""
+    named = lambda pattern: F.nullif(F.regexp_extract(text, r"^define [^@\n]*@" + pattern, 1), F.lit(""))
+    return F.coalesce(named(r'"([^"\n]+)"\('), named(r"([^\"(\s]+)\("), F.lit(""))
+
+
 def split_functions(modules: DataFrame) -> DataFrame:
     """file_path, function_name, hashed_name, text: one row per defined function of a module's text."""
-    x = modules.select("file_path", F.explode(F.regexp_extract_all("text", F.lit(r"(?ms)^define .*?^\}"), F.lit(0))).alias("text"))
-    name = F.regexp_extract("text", r'^define [^@]*@"?([^"(]+)"?\(', 1)
+    x = modules.select("file_path", F.explode(F.regexp_extract_all("text", F.lit(FUNCTION), F.lit(0))).alias("text"))
+    name = function_name(F.col("text"))
     return x.select("file_path", name.alias("function_name"), F.concat(F.sha1(name), F.lit(".ll")).alias("hashed_name"), "text")
 
 

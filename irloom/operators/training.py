@@ -52,18 +52,20 @@ def group_ranges(df: DataFrame, keys: list[str], idx: str) -> DataFrame:
     return placed.join(sizes, keys).select(idx, "place", "first", "n")
 
 
-def drawn_triplets(ranges: DataFrame, idx: str, n_rows: int, seed: int = 42, tries: int = 8) -> DataFrame:
-    """anchor_idx, positive_idx, negative_idx from group_ranges: a hashed other member of the group, and the first of some hashed places outside it.
+def drawn_triplets(ranges: DataFrame, idx: str, n_rows: int, seed: int = 42) -> DataFrame:
+    """anchor_idx, positive_idx, negative_idx from group_ranges: a hashed other member of the group, and a hashed row outside it.
 
-    Two joins by place, no lists.  Groups of one row have no positives and are left out;
-    negative_idx is null where all tries hit the group.  n_rows: how many places there are.
+    Two joins by place, no lists and no tries: of the n_rows - n places outside a group one is drawn
+    by its rank, and ranks from the group's first place on are moved past the group.  Groups of one
+    row have no positives and are left out.  n_rows: how many places there are (rows with null keys,
+    which have no place, are not drawn); negative_idx is null only where the group is all of them.
     """
     own = F.col("place") - F.col("first")
     anchor = F.col(idx)
     positive = F.col("first") + (own + 1 + hash_number(seed, "p", anchor) % (F.col("n") - 1)) % F.col("n")
-    drawn = F.array(*[hash_number(seed, "n", anchor, t) % n_rows for t in range(tries)])
-    free = F.filter(drawn, lambda x: (x < F.col("first")) | (x >= F.col("first") + F.col("n")))
-    x = ranges.where("n > 1").select(anchor.alias("anchor_idx"), positive.alias("p"), F.get(free, F.lit(0)).alias("q"))
+    rank = F.when(F.col("n") < n_rows, hash_number(seed, "n", anchor) % (n_rows - F.col("n")))
+    negative = F.when(rank < F.col("first"), rank).otherwise(rank + F.col("n"))
+    x = ranges.where("n > 1").select(anchor.alias("anchor_idx"), positive.alias("p"), negative.alias("q"))
     at = lambda place, name: ranges.select(F.col("place").alias(place), F.col(idx).alias(name))
     return x.join(at("p", "positive_idx"), "p").join(at("q", "negative_idx"), "q", "left").select("anchor_idx", "positive_idx", "negative_idx")
 
@@ -127,7 +129,7 @@ def task_table(translated: DataFrame) -> DataFrame:
 
 
 def triplet_union(drawn: DataFrame) -> DataFrame:
-    """anchor_idx, role, idx: three rows for each triplet; those without a negative are left out whole."""
+    """anchor_idx, role, idx: three rows for each triplet; one without a negative, as the table has none for it, is left out whole."""
     rows = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"{r}_idx").alias("idx")) for r in ("anchor", "positive", "negative")])
     return drawn.where("negative_idx is not null").select("anchor_idx", F.explode(rows).alias("r")).select("anchor_idx", "r.role", "r.idx")
 
@@ -143,15 +145,21 @@ def batch_number(idx: Column | str, size: int) -> Column:
     return F.floor((F.col(idx) if isinstance(idx, str) else idx) / size).cast("long")
 
 
-def triplets(positives: DataFrame, n_rows: int, seed: int = 42, tries: int = 8) -> DataFrame:
-    """anchor_idx, positive_idx, negative_idx: one hashed positive, and the first of some hashed rows that is neither.
+def rank_outside(rank: Column, taken: Column) -> Column:
+    """The number that has `rank` smaller ones (0 and up) besides those in taken, a sorted array without repeats."""
+    return rank + F.size(F.filter(taken, lambda x, i: x - i <= rank))
 
-    negative_idx is null where all tries hit the anchor or its positives.
+
+def triplets(positives: DataFrame, n_rows: int, seed: int = 42) -> DataFrame:
+    """anchor_idx, positive_idx, negative_idx: one hashed positive, and one hashed row that is neither the anchor nor a positive.
+
+    The negative is drawn by its rank among the rows that are left; it is null only where there are none.
     """
     pos = F.element_at("positives", (hash_number(seed, "p", F.col("anchor_idx")) % F.size("positives") + 1).cast("int"))
-    drawn = F.array(*[hash_number(seed, "n", F.col("anchor_idx"), t) % n_rows for t in range(tries)])
-    free = F.filter(drawn, lambda x: (x != F.col("anchor_idx")) & ~F.array_contains("positives", x))
-    return positives.select("anchor_idx", pos.alias("positive_idx"), F.get(free, F.lit(0)).alias("negative_idx"))
+    left = n_rows - 1 - F.size("positives")
+    rank = F.when(left > 0, hash_number(seed, "n", F.col("anchor_idx")) % left)
+    negative = rank_outside(rank, F.array_sort(F.array_append("positives", F.col("anchor_idx"))))
+    return positives.select("anchor_idx", pos.alias("positive_idx"), negative.alias("negative_idx"))
 
 
 def truncate_with_eos(ids: Column, longest: int = 4096, eos: int = 2) -> Column:

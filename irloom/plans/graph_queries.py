@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from irloom.functions import text as X
-from irloom.operators import graphs, training
+from irloom.operators import bpe, graphs, training
 from irloom.plans.registry import query, scratch
 from irloom.sources import files
 from irloom.sources.fixture import DUCK_MODULES, ir_modules
 
-PRETOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+"
 NAME = r'([-a-zA-Z$._0-9]+|"[^"]*")'
+#: Merges that the queries over token ranges use, few enough for SQL to follow; tests use trained ones.
+MERGES = [
+    ("v", "a"), ("va", "r"), ("i", "3"), ("i3", "2"), ("p", "t"), ("pt", "r"), ("l", "a"), ("b", "e"), ("la", "be"), ("labe", "l"), ("r", "e"), ("re", "t"), ("l", "o"), ("a", "d"), ("lo", "ad"),
+    ("s", "t"), ("o", "r"), ("st", "or"), ("stor", "e"), ("a", "l"), ("f", "u"), ("fu", "n"), ("fun", "c"), ("%", ","), ("1", "0"), ("10", "0"), ("e", "n"),
+]
+
+
+def encoder() -> bpe.Encoder:
+    """Characters of ASCII and MERGES."""
+    return bpe.Encoder(MERGES, bpe.plain_vocabulary("".join(map(chr, range(33, 127))), MERGES))
+
 
 CFG = (
     DUCK_MODULES
@@ -29,29 +39,77 @@ us as (select distinct file_path, function_name, inst_id as dst_id, replace(unne
 ddg as (select distinct file_path, function_name, d.inst_id as src_id, dst_id from df d join us u using (file_path, function_name, var))"""
 )
 
-#: Tokens in front of a needle's first occurrence, less one where a token reaches into it; then the needle's own.
-RANGE = (
-    r""",
-pos as (select *, strpos(ft, needle) as p from (select i.*, ft from {needles} i join ftext using (file_path, function_name))),
-cut as (select *, left(ft, p - 1) as head, concat(right(left(ft, p - 1), 1), left(needle, 1)) as a, concat(right(needle, 1), substr(ft, p + length(needle), 1)) as z from pos where p > 0),
-cnt as (select *, len(regexp_extract_all(head, '{pre}')) as n1, len(regexp_extract_all(concat(head, needle), '{pre}')) as n2,
-  cast(regexp_full_match(a, '[\p{L}\p{M}\p{N}_]{2}|[^\p{L}\p{M}\p{N}_\s]{2}') as int) as o, cast(regexp_full_match(z, '[\p{L}\p{M}\p{N}_]{2}|[^\p{L}\p{M}\p{N}_\s]{2}') as int) as c from cut)"""
-).replace("{pre}", PRETOKEN)
-INST_RANGE = RANGE.replace("{needles}", "inst") + ", rg as (select file_path, function_name, inst_id, cast(n1 - o as int) as s, cast(n2 - 1 as int) as e from cnt)"
-#: Label lines of blocks; an unlabelled entry block has no line and is looked for all the same.
+#: Normalised functions: one pass over the tokens of their lines, names numbered by first appearance.
+NORMAL = r""",
+sl as (select file_path, opened as fno, bool_or(whole) as whole, string_agg(trim(string_split(raw, ';')[1]), chr(10) order by n) as st from mf
+  where (opened > closed or (raw = '}' and opened = closed) or whole) and not starts_with(trim(raw), ';') group by file_path, opened),
+st as (select *, regexp_extract_all(st, '(?m)^[^:%@!\n]+:[ \t]*$|%"[^"]*"|%[.\w]*[a-zA-Z_.][.\w]*|@"[^"]*"|@[.\w]+|0x[0-9a-fA-F]+|\d+\.\d+|[A-Za-z_]\w*|\d+|[\s\S]') as t from sl),
+sv as (select *, list_filter(t, lambda x: x[1] = '%' and x[2] <> '"' and len(x) > 1) as vs, list_filter(t, lambda x: x[1] = '@') as gs from st),
+nf as (select file_path, fno, function_name, whole, array_to_string(list_transform(t, lambda x: case
+    when x[1] = '%' and x[2] <> '"' and len(x) > 1 then concat('%var', len(list_distinct(vs[1 : list_position(vs, x)])) - 1)
+    when x[1] = '@' then concat('@func', len(list_distinct(gs[1 : list_position(gs, x)])) - 1)
+    when regexp_full_match(x, '\d+') then case when cast(x as bigint) <= 16 or x in ('24', '32', '48', '64', '128', '256') then x
+      when cast(x as bigint) < 100 then '<MED_INT>' when cast(x as bigint) < 1000 then '<LARGE_INT>' else '<HUGE_INT>' end
+    else x end), '') as nt from sv join mn using (file_path, fno))"""
+
+
+def encoded_sql() -> str:
+    """The text with one character for each token and one more for each further character of it, so that places stay the same."""
+    hold = lambda at, n: f"concat(chr({at}), repeat(chr(57344), {n - 1}))"
+    form, out = {}, "nt"
+    for i, t in enumerate(bpe.ATOMIC):
+        out = f"replace({out}, '{t}', {hold(57345 + i, len(t))})"
+    for i, (a, b) in enumerate(MERGES):
+        left, right = (form.get(x, f"'{x}'") for x in (a, b))
+        form[a + b] = hold(57400 + i, len(a + b))
+        out = f"replace({out}, concat({left}, {right}), {form[a + b]})"
+    return out
+
+
+ENCODED = f""",
+ef as (select *, {encoded_sql()} as et from nf)"""
+#: Ids by the order of the vocabulary: special tokens, 94 characters, merges, and atomic tokens that are not special.
+IDS_SQL = (
+    f"list_transform(list_filter(string_split(et, ''), lambda x: x not in (' ', chr(10), chr(57344))), lambda x: case when unicode(x) < 127 then unicode(x) - 24 when unicode(x) >= 57400 then {9 + 94 - 57400} + unicode(x) else "
+    + str([encoder().ids[t] for t in bpe.ATOMIC]) + "[unicode(x) - 57344] end)"
+)
+#: n: how many tokens begin before a place.
+BEFORE = "length(translate(left(et, cast({} as bigint)), concat(' ', chr(10), chr(57344)), ''))"
+#: Instructions as they are in the normalised function, by the lines that they take.
+NEEDLES = """,
+go as (select *, cast(sum(n_lines) over (partition by file_path, fno order by gno) - n_lines as bigint) as off from mk),
+ne as (select i.file_path, i.function_name, inst_id, et, nt,
+    case when whole then regexp_extract(nt, '\\{ (.*) \\}', 1) else array_to_string(list_filter(string_split(nt, chr(10)), lambda x: x <> '')[2 + off : 1 + off + i.n_lines], chr(10)) end as needle
+  from inst i join mn using (file_path, function_name) join go using (file_path, fno, gno) join ef using (file_path, fno)),
+np as (select *, strpos(nt, needle) as p from ne)"""
+INST_RANGE = (
+    NORMAL + ENCODED + NEEDLES
+    + f""",
+rg as (select file_path, function_name, inst_id, cast(1 + {BEFORE.format('p - 1')} - case when substr(et, p, 1) = chr(57344) then 1 else 0 end as int) as s,
+  cast({BEFORE.format('p + length(needle) - 1')} as int) as e from np where p > 0)"""
+)
+#: Labels of blocks; an unlabelled entry block has no line and is looked for all the same.
 LABELS = r""",
 lb as (select distinct mk.file_path, function_name, replace(blk, '"', '') as block, concat(blk, ':') as needle from mk join mn using (file_path, fno))"""
-LABEL_RANGE = LABELS + RANGE.replace("{needles}", "lb") + ", rg as (select file_path, function_name, block, cast(n1 as int) as s, cast(n2 - 1 - c as int) as e from cnt where n1 <= n2 - 1 - c)"
-LINE_RANGE = (
-    r""",
-fl as (select f.file_path, f.n, f.raw, f.opened as fno, len(regexp_extract_all(f.raw, '{pre}')) as k from mf f where opened > closed or (raw = '}' and opened = closed)),
-fs as (select *, cast(sum(k) over (partition by file_path, fno order by n) - k as int) as above, regexp_extract(raw, '^(([-a-zA-Z$._0-9]+|"[^"]*"):)', 1) as label from fl),
-rg as (select file_path, function_name, replace(replace(label, '"', ''), ':', '') as block, above as s, cast(above + len(regexp_extract_all(label, '{pre}')) - 1 as int) as e from fs join mn using (file_path, fno) where label <> '')"""
-).replace("{pre}", PRETOKEN)
+
+
+def label_range(place: str, tables: str = NORMAL + ENCODED) -> str:
+    return (
+        tables + LABELS
+        + f""",
+lp as (select lb.*, et, {place} as p from lb join ef using (file_path, function_name)),
+lr as (select file_path, function_name, block, cast(1 + {BEFORE.format('p - 1')} as int) as s,
+  cast({BEFORE.format('p + length(needle) - 1')} - case when substr(et, p + length(needle), 1) = chr(57344) then 1 else 0 end as int) as e from lp where p > 0),
+rl as (select * from lr where s <= e)"""
+    )
+
+
+LABEL_RANGE = label_range("strpos(nt, needle)")
+LINE_RANGE = label_range("strpos(concat(chr(10), nt), concat(chr(10), needle))")
 ALIGNED = """
 select c.file_path, c.function_name, src, dst, succ_no, prob, a.s as src_start, a.e as src_end, b.s as dst_start, b.e as dst_end
-from cfg c join rg a on a.file_path = c.file_path and a.function_name = c.function_name and a.block = src
-join rg b on b.file_path = c.file_path and b.function_name = c.function_name and b.block = dst"""
+from cfg c join rl a on a.file_path = c.file_path and a.function_name = c.function_name and a.block = src
+join rl b on b.file_path = c.file_path and b.function_name = c.function_name and b.block = dst"""
 
 
 @query(DUCK_MODULES + " select file_path, function_name, cast(inst_id as int) as inst_id, block, line from inst")
@@ -106,75 +164,72 @@ from ddg g join rg a on a.file_path = g.file_path and a.function_name = g.functi
 join rg b on b.file_path = g.file_path and b.function_name = g.function_name and b.inst_id = dst_id"""
 )
 def ddg_edge_align(spark, d):
-    return graphs.ddg_edge_align(ir_modules(spark, d))
+    return graphs.ddg_edge_align(ir_modules(spark, d), encoder())
 
 
 @query(CFG + LABEL_RANGE + ALIGNED)
 def cfg_edge_align(spark, d):
-    return graphs.cfg_edge_align(ir_modules(spark, d))
+    return graphs.cfg_edge_align(ir_modules(spark, d), encoder())
 
 
 @query(CFG + LINE_RANGE + ALIGNED)
 def cfg_edge_align_lines(spark, d):
     """Labels are looked for at the beginning of lines only."""
-    return graphs.cfg_edge_align(ir_modules(spark, d), whole_lines=True)
+    return graphs.cfg_edge_align(ir_modules(spark, d), encoder(), whole_lines=True)
 
 
 @query(
     CFG
     + LABEL_RANGE
     + """ select c.file_path, count(*) as n_edges, count(*) filter (a.s is null or b.s is null) as n_dropped
-from cfg c left join rg a on a.file_path = c.file_path and a.function_name = c.function_name and a.block = src
-left join rg b on b.file_path = c.file_path and b.function_name = c.function_name and b.block = dst group by c.file_path"""
+from cfg c left join rl a on a.file_path = c.file_path and a.function_name = c.function_name and a.block = src
+left join rl b on b.file_path = c.file_path and b.function_name = c.function_name and b.block = dst group by c.file_path"""
 )
 def cfg_edge_losses(spark, d):
-    return graphs.cfg_edge_losses(ir_modules(spark, d))
+    return graphs.cfg_edge_losses(ir_modules(spark, d), encoder())
 
 
 ROWS = (
     DDG
-    + INST_RANGE.replace("pos as", "pos1 as").replace("from pos ", "from pos1 ").replace("cut as", "cut1 as").replace("from cut)", "from cut1)").replace("cnt as", "cnt1 as").replace("from cnt)", "from cnt1)").replace("rg as", "rg1 as")
     + CFG.removeprefix(DUCK_MODULES)
-    + LABEL_RANGE
+    + INST_RANGE
+    + label_range("strpos(nt, needle)", "")
     + """,
 al as (select g.file_path, g.function_name, a.s as s1, a.e as e1, b.s as s2, b.e as e2 from ddg g
-  join rg1 a on a.file_path = g.file_path and a.function_name = g.function_name and a.inst_id = src_id
-  join rg1 b on b.file_path = g.file_path and b.function_name = g.function_name and b.inst_id = dst_id),
+  join rg a on a.file_path = g.file_path and a.function_name = g.function_name and a.inst_id = src_id
+  join rg b on b.file_path = g.file_path and b.function_name = g.function_name and b.inst_id = dst_id),
 dd as (select file_path, function_name, string_agg(concat(s1, ':', e1, ':', s2, ':', e2), ',' order by s1, e1, s2, e2) as ddg from al group by file_path, function_name),
 ac as ("""
     + ALIGNED
-    + """),
-cc as (select file_path, function_name, count(*) as n_cfg, round(sum(prob), 4) as cfg_prob from ac group by file_path, function_name),
-ti as (select file_path, function_name, len(regexp_extract_all(ft, '"""
-    + PRETOKEN
-    + """')) as n_ids from ftext where length(ft) % 3 <> 0)"""
+    + f"""),
+cc as (select file_path, function_name, count(*) as n_cfg, round(sum(prob), 4) as cfg_prob, cast(sum(src_start * 3 + src_end * 5 + dst_start * 7 + dst_end * 11) as bigint) as cfg_places from ac group by file_path, function_name),
+rw as (select file_path, function_name, ddg, n_cfg, cfg_prob, cfg_places, array_to_string(list_concat([0], {IDS_SQL}, [2]), ',') as ids
+  from ef left join dd using (file_path, function_name) left join cc using (file_path, function_name))"""
 )
-JOINED_ROWS = "from ftext f left join dd using (file_path, function_name) left join cc using (file_path, function_name) left join ti using (file_path, function_name)"
 
 
 def dataset_rows(spark, d):
-    """Rows of the data set; ids are the lengths of pre-tokens, and some functions have none."""
-    m = ir_modules(spark, d)
-    ids = F.transform(X.pretokens(F.col("text")), lambda x: F.length(x))
-    tokens = graphs.ir_functions_of(m).where("length(text) % 3 <> 0").select(*graphs.KEY, ids.alias("input_ids"))
-    return graphs.build_dataset_rows(m, tokens)
+    return graphs.build_dataset_rows(ir_modules(spark, d), encoder())
 
 
 @query(
     ROWS
-    + """ select f.file_path, f.function_name, ddg, n_cfg, cfg_prob, n_ids, ddg is not null or n_cfg is not null or n_ids is not null as success,
-  case when ddg is null or n_cfg is null or n_ids is null then concat('missing: ', concat_ws(', ', case when ddg is null then 'ddg_graph' end, case when n_cfg is null then 'cfg_graph' end, case when n_ids is null then 'input_ids' end)) end as error_message """
-    + JOINED_ROWS
+    + """ select file_path, function_name, ddg, n_cfg, cfg_prob, cfg_places, md5(ids) as ids_md5, true as success,
+  case when ddg is null or n_cfg is null then concat('missing: ', concat_ws(', ', case when ddg is null then 'ddg_graph' end, case when n_cfg is null then 'cfg_graph' end)) end as error_message from rw"""
 )
 def build_dataset_row(spark, d):
+    """Both graphs of a function as ranges of its ids, and the ids."""
     x = dataset_rows(spark, d)
     edge = lambda e: F.array_join(e.cast("array<string>"), ":")
-    prob = F.aggregate("cfg_graph", F.lit(0.0), lambda s, e: s + e[4].cast("double"))
-    size = lambda c: F.size(c).cast("long")
-    return x.select(*graphs.KEY, F.array_join(F.transform("ddg_graph", edge), ",").alias("ddg"), size("cfg_graph").alias("n_cfg"), F.round(prob, 4).alias("cfg_prob"), size("input_ids").alias("n_ids"), "success", "error_message")
+    total = lambda f: F.aggregate("cfg_graph", F.lit(0.0), lambda s, e: s + f(e))
+    places = total(lambda e: (e[0] * 3 + e[1] * 5 + e[2] * 7 + e[3] * 11).cast("double"))
+    return x.select(
+        *graphs.KEY, F.array_join(F.transform("ddg_graph", edge), ",").alias("ddg"), F.size("cfg_graph").cast("long").alias("n_cfg"), F.round(total(lambda e: e[4].cast("double")), 4).alias("cfg_prob"),
+        places.cast("long").alias("cfg_places"), F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ",")).alias("ids_md5"), "success", "error_message",
+    )
 
 
-@query(ROWS + " select f.file_path, coalesce(n_cfg, 0) as n_cfg, coalesce(n_ids, 0) as n_ids " + JOINED_ROWS + " where ddg is not null or n_cfg is not null or n_ids is not null")
+@query(ROWS + " select file_path, coalesce(n_cfg, 0) as n_cfg, 1 + length(ids) - length(replace(ids, ',', '')) as n_ids from rw")
 def save_and_load_dataset(spark, d):
     """The successful rows under the declared schema, written in rolling files and read again as one table."""
     folder = scratch(spark, "dataset")
@@ -201,7 +256,7 @@ select file_path, cast(i as int) as i, cast(j as int) as j, arg_max(prob, edge_n
 def rasterize_edges(spark, d):
     from pyspark.sql import Window as W
 
-    e = graphs.cfg_edge_align(ir_modules(spark, d)).withColumn("edge_no", F.row_number().over(W.partitionBy("file_path").orderBy("function_name", "src", "succ_no")))
+    e = graphs.cfg_edge_align(ir_modules(spark, d), encoder()).withColumn("edge_no", F.row_number().over(W.partitionBy("file_path").orderBy("function_name", "src", "succ_no")))
     return training.rasterize_edges(e, F.col("prob"))
 
 
@@ -242,7 +297,12 @@ def strip_instruction_metadata(spark, d):
     return x.select("file_path", "function_name", "inst_id", X.strip_metadata(attached).alias("stripped"))
 
 
-@query(LABELS.join([DUCK_MODULES, ""]) + RANGE.replace("{needles}", "lb") + " select file_path, function_name, string_agg(block, ',' order by p, block) as labels from cnt group by file_path, function_name")
+@query(
+    DUCK_MODULES
+    + LABELS
+    + """, lo as (select lb.*, strpos(ft, needle) as p from lb join ftext using (file_path, function_name))
+select file_path, function_name, string_agg(block, ',' order by p, block) as labels from lo where p > 0 group by file_path, function_name"""
+)
 def sort_labels(spark, d):
     """The labels of a function by the place of their first occurrence."""
     x = graphs.ir_functions_of(ir_modules(spark, d)).select("file_path", "function_name", "text", graphs.blocks_of(F.col("text")).alias("b"))

@@ -220,7 +220,12 @@ def seeded_sample(spark, d):
     return tables.seeded_sample(docs(spark, d).select("doc_id"), "doc_id", 100)
 
 
-@query(f"{GROUPS}, ps as (select anchor_idx, list(positive_idx order by positive_idx) as p, (select count(*) from idx) as n from pr group by anchor_idx), dr as (select *, list_filter(list_transform(range(0, 8), lambda t: {NUMBER.format("concat('42|n|', anchor_idx, '|', t)")} % n), lambda x: x <> anchor_idx and not list_contains(p, x)) as free from ps) select anchor_idx, p[{NUMBER.format("concat('42|p|', anchor_idx)")} % len(p) + 1] as positive_idx, free[1] as negative_idx from dr")
+@query(
+    f"""{GROUPS}, ps as (select anchor_idx, list(positive_idx order by positive_idx) as p, (select count(*) from idx) as n from pr group by anchor_idx),
+dr as (select *, list_sort(list_append(p, anchor_idx)) as t, case when n - 1 > len(p) then {NUMBER.format("concat('42|n|', anchor_idx)")} % (n - 1 - len(p)) end as rk from ps)
+select anchor_idx, p[{NUMBER.format("concat('42|p|', anchor_idx)")} % len(p) + 1] as positive_idx,
+  rk + len(list_filter(range(0, len(t)), lambda j: t[j + 1] - j <= rk)) as negative_idx from dr"""
+)
 def triplets(spark, d):
     x = indexed(spark, d)
     return training.triplets(training.positive_map(x, KEYS, "i"), x.count())

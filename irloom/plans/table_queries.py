@@ -219,7 +219,11 @@ def token_offsets(spark, d):
     return docs(spark, d).select("doc_id", F.explode(X.token_offsets(F.col("text"))).alias("s")).select("doc_id", "s.start", "s.end")
 
 
-@query(DUCK + r" select func_id, len(regexp_extract_all(concat('<func>', text, '<MED_INT>,<bb>'), '<func>|<bb>|<MED_INT>|[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+')) as n_tokens from ir")
+@query(
+    DUCK
+    + r""", m as (select func_id, replace(replace(replace(concat('<func>', text, '<MED_INT>,<bb>'), '<func>', ' S '), '<bb>', ' S '), '<MED_INT>', ' S ') as t from ir)
+select func_id, len(regexp_extract_all(t, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+')) as n_tokens from m"""
+)
 def special_tokens_atomic(spark, d):
     text = F.concat(F.lit("<func>"), "text", F.lit("<MED_INT>,<bb>"))
     return ir_functions(spark, d).select("func_id", F.size(X.pretokens(text, ("<func>", "<bb>", "<MED_INT>"))).cast("long").alias("n_tokens"))

@@ -13,7 +13,8 @@ PLACES = GROUPS + ", pl as (select i, origin_binary_name as b, function_name as
 DRAWN = (
     PLACES
     + f""", dr as (select i as anchor_idx, first + (place - first + 1 + {NUMBER.format("concat('42|p|', i)")} % (n - 1)) % n as p,
-  list_filter(list_transform(range(0, 8), lambda t: {NUMBER.format("concat('42|n|', i, '|', t)")} % total), lambda x: x < first or x >= first + n)[1] as q from gr, (select count(*) as total from idx) where n > 1),
+  case when rk < first then rk else rk + n end as q
+  from (select *, case when n < total then {NUMBER.format("concat('42|n|', i)")} % (total - n) end as rk from gr, (select count(*) as total from idx)) where n > 1),
 tr as (select anchor_idx, a.i as positive_idx, b.i as negative_idx from dr join gr a on a.place = p left join gr b on b.place = q)"""
 )
 

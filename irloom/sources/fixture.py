@@ -44,10 +44,10 @@ select f.k as func_id, bin as origin_binary_name, opt as opt_level, fn as functi
 from f join b on f.k = b.k
 """
 
-#: Modules with the forms that real IR has: two functions a file, dashed, dotted, quoted and numeric names, several pointers,
+#: Modules with the forms that real IR has: three functions a file, one of them on a line, files without any; dashed, dotted, quoted and numeric names, several pointers,
 #: instructions over several lines, declarations and metadata.  Derived from the orders.
 MODULE = r"""
-select concat('m/', cast(o_custkey % 40 as {STR}), '/', cast(o_orderkey as {STR}), '.ll') as file_path, o_orderkey as module_id, concat(
+select concat('m/', cast(o_custkey % 40 as {STR}), '/', cast(o_orderkey as {STR}), '.ll') as file_path, o_orderkey as module_id, case when o_orderkey % 97 = 0 then '' else concat(
   'source_filename = "m', cast(o_orderkey as {STR}), '"', chr(10), '@g.', cast(o_custkey % 7 as {STR}), ' = global i32 ', cast(o_custkey as {STR}), chr(10),
   'declare i32 @callee(i32)', chr(10), 'declare i32 @bbox-', cast(o_custkey % 3 as {STR}), '(...)', chr(10), chr(10),
   'define internal i32 @func_main', cast(o_orderkey % 5 as {STR}), '(i32 %a-0, ptr %"p q") personality ptr @pers {', chr(10),
@@ -64,23 +64,25 @@ select concat('m/', cast(o_custkey % 40 as {STR}), '/', cast(o_orderkey as {STR}
   'other:', chr(10), '  br i1 true, label %ok, label %100', chr(10),
   'ok:', chr(10), '  %q = phi i32 [ %r, %one-1 ], [ %z, %100 ], [ 0, %other ]', chr(10), '  ret i32 %q', chr(10),
   '"bad one":', chr(10), '  %lp = landingpad { ptr, i32 }', chr(10), '          cleanup', chr(10), '  resume { ptr, i32 } %lp', chr(10), '}', chr(10), chr(10),
-  'define i32 @"second fn"(i32 %n) {', chr(10), 'entry:', chr(10), '  %m = add i32 %n, ', cast(o_orderkey % 300 as {STR}), chr(10),
-  '  %m2 = add i32 %m, %m', chr(10), '  ret i32 %m', chr(10), '}', chr(10), '!0 = !{i32 1}') as text
+  'define void @"odd (name"() { ret void }', chr(10), 'define i32 @"second fn"(i32 %n) {', chr(10), 'entry:', chr(10), '  %m = add i32 %n, ', cast(o_orderkey % 300 as {STR}), chr(10),
+  '  %m2 = add i32 %m, %m', chr(10), '  ret i32 %m', chr(10), '}', chr(10), '!0 = !{i32 1}') end as text
 from orders
 """
 
 #: For DuckDB, as table expressions named ir_modules and, taken apart line by line, inst and blocks: relational, with windows over lines.
 DUCK_MODULES = "with ir_modules as (" + MODULE.replace("{STR}", "varchar") + r"""),
 ml as (select file_path, n, ls[n] as raw from (select *, unnest(range(1, len(ls) + 1)) as n from (select file_path, string_split(text, chr(10)) as ls from ir_modules))),
-mf as (select *, sum(case when starts_with(raw, 'define ') then 1 else 0 end) over w as opened, sum(case when raw = '}' then 1 else 0 end) over w as closed from ml window w as (partition by file_path order by n)),
-mn as (select file_path, opened as fno, replace(regexp_extract(raw, '@("[^"]*"|[^(]+)\(', 1), '"', '') as function_name from mf where starts_with(raw, 'define ')),
-mi as (select *, regexp_matches(raw, '^\s+(to label |cleanup$|\]|i\d+ -?\d+, label )') as goes_on from mf where opened > closed and not starts_with(raw, 'define ') and trim(raw) <> '' and not starts_with(trim(raw), ';')),
+mo as (select *, starts_with(raw, 'define ') as heads, starts_with(raw, 'define ') and suffix(raw, '}') as whole from ml),
+mf as (select *, sum(case when heads then 1 else 0 end) over w as opened, sum(case when raw = '}' or whole then 1 else 0 end) over w as closed from mo window w as (partition by file_path order by n)),
+mn as (select file_path, opened as fno, replace(regexp_extract(raw, '@("[^"]*"|[^(]+)\(', 1), '"', '') as function_name from mf where heads),
+mw as (select file_path, n, opened, case when whole then regexp_extract(raw, '\{ (.*) \}', 1) else raw end as raw from mf where whole or (opened > closed and not heads)),
+mi as (select *, regexp_matches(raw, '^\s+(to label |cleanup$|\]|i\d+ -?\d+, label )') as goes_on from mw where trim(raw) <> '' and not starts_with(trim(raw), ';')),
 mg as (select *, sum(case when goes_on then 0 else 1 end) over (partition by file_path, opened order by n) as gno from mi),
-mj as (select file_path, opened as fno, gno, string_agg(trim(raw), ' ' order by n) as line, string_agg(case when goes_on then raw else trim(raw) end, chr(10) order by n) as needle from mg group by file_path, opened, gno),
+mj as (select file_path, opened as fno, gno, string_agg(trim(raw), ' ' order by n) as line, count(*) as n_lines from mg group by file_path, opened, gno),
 mb as (select *, regexp_extract(line, '^([-a-zA-Z$._0-9]+|"[^"]*"):', 1) as lab from mj),
 mk as (select *, coalesce(last_value(nullif(lab, '') ignore nulls) over (partition by file_path, fno order by gno), 'entry') as blk from mb),
-inst as (select file_path, function_name, row_number() over (partition by file_path, function_name order by gno) - 1 as inst_id, replace(blk, '"', '') as block, line, needle from mk join mn using (file_path, fno) where lab = ''),
-ftext as (select file_path, function_name, string_agg(raw, chr(10) order by n) as ft from (select f.file_path, f.n, f.raw, f.opened as fno from mf f where opened > closed or (raw = '}' and opened = closed)) join mn using (file_path, fno) group by file_path, function_name)"""
+inst as (select file_path, function_name, row_number() over (partition by file_path, function_name order by gno) - 1 as inst_id, replace(blk, '"', '') as block, line, n_lines, gno from mk join mn using (file_path, fno) where lab = ''),
+ftext as (select file_path, function_name, string_agg(raw, chr(10) order by n) as ft from (select f.file_path, f.n, f.raw, f.opened as fno from mf f where opened > closed or (raw = '}' and opened = closed) or whole) join mn using (file_path, fno) group by file_path, function_name)"""
 
 #: For DuckDB, as a table expression named ir.
 DUCK = "with ir as (" + TEXT.replace("{STR}", "varchar").replace("{AGG}", "string_agg(line, chr(10) order by ln)") + ")"

@@ -107,3 +107,34 @@ def test_files_and_ingest(spark, tmp_path):
         ingest(spark, source, "k long, v string", target, state, "k", "v")
         assert spark.read.parquet(target).select("batch_no").distinct().count() == n + 1
     assert {r.k: r.v for r in current_rows(spark, target, "k").collect()} == {1: "a", 2: "b", 3: "b"}
+
+
+def test_offsets_of_long_texts(spark):
+    """One pass: 400,000 tokens of one text, and special tokens that stand close to others."""
+    import time
+
+    text = "ab <func>,c<bb>  é %<bb> " * 50_000
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string")
+    began = time.time()
+    rows = {r.id: r.o for r in df.select("id", X.token_offsets(F.col("text"), ("<func>", "<bb>")).alias("o")).collect()}
+    assert time.time() - began < 30 and rows[2] is None and [tuple(o) for o in rows[3]] == [(0, 0), (0, 0)]
+    got = [text[a:z] for a, z in rows[1][1:-1]]
+    assert got[:8] == ["ab", "<func>", ",", "c", "<bb>", "é", "%", "<bb>"] and len(got) == 400_000 and got[-8:] == got[:8]
+
+
+def test_no_anchor_is_dropped(spark):
+    """In a group of 95 % of the rows every anchor gets a row outside it."""
+    from collections import Counter
+
+    from irloom.operators import training
+
+    df = spark.range(2000).select(F.col("id").alias("i"), F.when(F.col("id") % 20 > 0, "big").when(F.col("id") % 40 == 0, "small").otherwise("other").alias("k"))
+    group = {r.i: r.k for r in df.collect()}
+    ranges = training.group_ranges(df, ["k"], "i")
+    for rows in (training.drawn_triplets(ranges, "i", 2000).collect(), training.triplets(training.positive_map(df, ["k"], "i"), 2000).collect()):
+        assert len(rows) == 2000 and all(group[r.negative_idx] != group[r.anchor_idx] == group[r.positive_idx] and r.positive_idx != r.anchor_idx for r in rows)
+        drawn = Counter(r.negative_idx for r in rows if group[r.anchor_idx] == "big")
+        assert len(drawn) == 100 and max(drawn.values()) < 60  # 1900 draws of 100 rows
+    one = spark.createDataFrame([(0, "a"), (1, "a"), (2, None)], "i long, k string")
+    assert {r.negative_idx for r in training.drawn_triplets(training.group_ranges(one, ["k"], "i"), "i", 2).collect()} == {None}
+    assert {r.negative_idx for r in training.triplets(training.positive_map(one, ["k"], "i"), 3).collect()} == {2}
