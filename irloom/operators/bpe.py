@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,18 +79,73 @@ def independent(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return out
 
 
-def train_merges(docs: DataFrame, n_merges: int, least: int = 2, text: str = "text", together: int = 1) -> list[tuple[str, str]]:
-    """The merges in order.
+#: Up to so many distinct words, merges are learned in one task that keeps an index of their pairs.
+INDEXED = 1 << 21
+
+
+def learn_merges(words: list[list[str]], counts: list[int], n_merges: int, least: int) -> list[tuple[str, str]]:
+    """The merges of distinct words (lists of symbols) in order, the most frequent pair first, ties by its text.
 
-    Words are counted once; each round counts pairs over distinct words and takes the most frequent
-    ones (ties: by their text); every STORED rounds the words are stored as merged so far.  A round takes up to
-    `together` of them that share no symbol: with 1 the merges are the exact ones; more need fewer
-    rounds and may take a pair before one that shares a symbol or becomes more frequent in the round.
-    `together` pairs a round reach the driver.
+    An index tells which words hold a pair; a merge counts anew the pairs of those words alone, and
+    a heap holds each pair's latest count.
+    """
+    total: Counter = Counter()
+    holds: defaultdict = defaultdict(set)
+
+    def count(w: int, sign: int) -> set[tuple[str, str]]:
+        pairs = set(found := list(zip(words[w], words[w][1:], strict=False)))
+        for p in found:
+            total[p] += sign * counts[w]
+        for p in pairs:
+            (holds[p].add if sign > 0 else holds[p].discard)(w)
+        return pairs
+
+    for w in range(len(words)):
+        count(w, 1)
+    heap = [(-n, *p) for p, n in total.items() if n >= least]
+    heapq.heapify(heap)
+    out: list[tuple[str, str]] = []
+    while heap and len(out) < n_merges:
+        n, left, right = heapq.heappop(heap)
+        pair = (left, right)
+        if total[pair] != -n:
+            continue  # an older count
+        out.append(pair)
+        changed = set()
+        for w in list(holds[pair]):
+            changed |= count(w, -1)
+            words[w] = apply_merges(words[w], {pair: 0})
+            changed |= count(w, 1)
+        for p in changed:
+            if total[p] >= least:
+                heapq.heappush(heap, (-total[p], *p))
+            elif not total[p]:
+                del total[p], holds[p]
+    return out
+
+
+def train_merges(docs: DataFrame, n_merges: int, least: int = 2, text: str = "text", together: int = 1) -> list[tuple[str, str]]:
+    """The merges in order, by their exact counts; at most n_merges of them reach the driver.
+
+    Words are counted once, in a shuffle.  Up to INDEXED distinct words then go to one task, which
+    learns all merges with an index of pairs (learn_merges).  Beyond that each merge is a round over
+    the partitioned words: it counts pairs over distinct words and takes the most frequent one
+    (ties: by its text); every STORED rounds the words are stored as merged so far.  With `together`
+    above 1 a round takes up to so many pairs that share no symbol: fewer rounds, but a pair may be
+    taken before one that shares a symbol with it or becomes more frequent in the round, so the
+    merges are no longer the exact ones.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     parts = docs.sparkSession.sparkContext.defaultParallelism
     words = word_counts(docs, text).repartition(parts, "word").select("n", F.split("word", "").alias("symbols")).checkpoint()
+    if together == 1 and words.count() <= INDEXED:
+
+        def learn(table: pa.Table) -> pa.Table:
+            merges = learn_merges(table.column("symbols").to_pylist(), table.column("n").to_pylist(), n_merges, least)
+            return pa.table({"rank": pa.array(range(len(merges)), pa.int32()), "left": pa.array([m[0] for m in merges], pa.string()), "right": pa.array([m[1] for m in merges], pa.string())})
+
+        rows = words.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(learn, "rank int, left string, right string")  # of a checked size
+        return [(r["left"], r["right"]) for r in sorted(rows.collect())]
     done: list[tuple[str, str]] = []
     new: list[tuple[str, str]] = []
     for number in itertools.count(1):

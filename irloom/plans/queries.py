@@ -150,8 +150,9 @@ def top_pairs(spark, d):
 
 @query()
 def bpe_encode(spark, d):
+    """Ids by a vocabulary of 10,000 merges, learned from the documents by exact counts."""
     x = docs(spark, d)
-    merges = bpe.train_merges(x, 1000, together=256)
+    merges = bpe.train_merges(x, 10_000)
     return bpe.encode(x, merges, bpe.vocabulary(x, merges)).select("doc_id", F.size("input_ids").alias("n_tokens"), F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
 
 

@@ -169,6 +169,8 @@ def bpe_token_count(spark, d):
 
 @query(r"select doc_id, array_to_string(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+'), '') as decoded from documents")
 def bpe_decode(spark, d):
-    """Ids read back as text: the text without its white space."""
-    x, merges, vocab = first_vocabulary(spark, d)
+    """Ids of a vocabulary of 10,000 merges read back as text: the text without its white space."""
+    x = docs(spark, d)
+    merges = bpe.train_merges(x, 10_000)
+    vocab = bpe.vocabulary(x, merges)
     return bpe.decode(bpe.encode(x, merges, vocab), vocab)

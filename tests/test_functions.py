@@ -138,3 +138,33 @@ def test_no_anchor_is_dropped(spark):
     one = spark.createDataFrame([(0, "a"), (1, "a"), (2, None)], "i long, k string")
     assert {r.negative_idx for r in training.drawn_triplets(training.group_ranges(one, ["k"], "i"), "i", 2).collect()} == {None}
     assert {r.negative_idx for r in training.triplets(training.positive_map(one, ["k"], "i"), 3).collect()} == {2}
+
+
+def test_exact_merges(spark, monkeypatch):
+    """The index of pairs gives the merges of counting all pairs anew for each, and so do the rounds over partitions."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(6)
+    words = {"".join(rng.choices("abcdé_", weights=[9, 5, 3, 2, 2, 1], k=rng.randint(1, 12))): rng.randint(1, 50) for _ in range(400)}
+
+    def plain(n):
+        now, out = {w: list(w) for w in words}, []
+        while len(out) < n:
+            total = Counter()
+            for w, s in now.items():
+                for p in zip(s, s[1:]):
+                    total[p] += words[w]
+            best = min(((-c, *p) for p, c in total.items() if c >= 2), default=None)
+            if best is None:
+                return out
+            out.append(best[1:])
+            now = {w: bpe.apply_merges(s, {best[1:]: 0}) for w, s in now.items()}
+        return out
+
+    want = plain(10_000)
+    assert len(want) > 500 and bpe.learn_merges([list(w) for w in words], list(words.values()), 10_000, 2) == want
+    docs = spark.createDataFrame([(" ".join([w] * n),) for w, n in words.items()], "text string")
+    assert bpe.train_merges(docs, 10_000) == want
+    monkeypatch.setattr(bpe, "INDEXED", 0)
+    assert bpe.train_merges(docs, 12) == want[:12]
