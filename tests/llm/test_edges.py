@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -53,6 +54,17 @@ def test_novel_spans_by_hand():
     assert found > 50
 
 
+def test_time_of_a_scan_grows_with_the_text():
+    """A megabyte of one sensitive word, of assignments, and of a run that holds words and never compresses."""
+    rng = random.Random(9)
+    compressor, letters = secrets.new_compressor(), secrets.letter_compressor()
+    noise = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=500_000))
+    for text, seconds, found in (("token" * 200_000, 4, 0), ("token " * 170_000, 4, 0), ("password = hunter2hunter2 ok " * 35_000, 8, 0), ("token_" + noise, 2, 1)):
+        began = time.time()
+        assert len(secrets.novel_spans(text, secrets.base_spans(text), compressor, letters)) == found
+        assert time.time() - began < seconds
+
+
 def test_very_long_texts(spark):
     """Texts of some megabytes, beside short ones, are handled whole."""
     rng = random.Random(3)

@@ -212,7 +212,12 @@ def test_pipeline_stages(spark, tmp_path):
         assert kept.columns == docs.columns
         seen.append({r.doc_id for r in kept.collect()})
     assert seen == [set(range(23)), set(range(23)) - {20}, set(range(23)) - {20, 21}, set(range(20))]
-    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(20))
+    first = corpus_pipeline.run(spark, str(tmp_path))
+    other = tmp_path / "other"
+    table(spark, texts[:5]).write.parquet(str(other / "documents.parquet"))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(other / "benchmark.parquet"))
+    second = corpus_pipeline.run(spark, str(other))  # does not disturb the first
+    assert {r.doc_id for r in first.collect()} == set(range(20)) and {r.doc_id for r in second.collect()} == set(range(5))
 
 
 @pytest.mark.parametrize("name", ["op1_decontaminate", "op4_exact_dedup", "op10_chat_format"])
