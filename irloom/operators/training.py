@@ -108,24 +108,39 @@ def group_split(components: DataFrame, idx: str, share: float = 0.9, seed: int =
     return components.join(named, "component").select(idx, "component", "split")
 
 
-def translate_positives(pairs: DataFrame, index: DataFrame) -> DataFrame:
-    """Pairs of old indices within one split as new ones: split, anchor_idx, positives; index has old_idx, split, new_idx."""
-    a = index.select(F.col("old_idx").alias("anchor_idx"), F.col("split"), F.col("new_idx").alias("new_anchor"))
-    p = index.select(F.col("old_idx").alias("positive_idx"), F.col("split").alias("split_p"), F.col("new_idx").alias("new_positive"))
-    x = pairs.join(a, "anchor_idx").join(p, "positive_idx").where("split = split_p")
-    return x.groupBy("split", F.col("new_anchor").alias("anchor_idx")).agg(F.sort_array(F.collect_list("new_positive")).alias("positives"))
+def translate_positives(df: DataFrame, keys: list[str], index: DataFrame) -> DataFrame:
+    """split, anchor_idx, positives: positive_map within each split, by the new indices.
+
+    df has keys and old_idx, index old_idx, split and new_idx.  Rows meet their split by their
+    index, and groups are split by it; pairs are never made.
+    """
+    x = df.select(*keys, "old_idx").join(index.select("old_idx", "split", "new_idx"), "old_idx")
+    members = x.dropna(subset=keys).groupBy(*keys, "split").agg(F.sort_array(F.collect_list("new_idx")).alias("members")).where(F.size("members") > 1)
+    return members.select("split", F.explode("members").alias("anchor_idx"), "members").select("split", "anchor_idx", F.array_remove("members", F.col("anchor_idx")).alias("positives"))
+
+
+def group_sizes(df: DataFrame, keys: list[str], splits: DataFrame, idx: str) -> DataFrame:
+    """keys, split, n: how many rows of each group are in each split; rows with a null key are in no group."""
+    return df.dropna(subset=keys).select(*keys, idx).join(splits.select(idx, "split"), idx).groupBy(*keys, "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+def leaking_pairs(df: DataFrame, keys: list[str], splits: DataFrame, idx: str) -> DataFrame:
+    """How many ordered positive pairs lie in different splits, and how many there are, from the sizes of the groups' shares; 0 crossing is no leak."""
+    shares = group_sizes(df, keys, splits, idx).groupBy(*keys).agg(F.sum("n").alias("k"), F.sum(F.col("n") * F.col("n")).alias("within"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return shares.agg(zero(F.col("k") * F.col("k") - F.col("within")).alias("crossing"), zero(F.col("k") * (F.col("k") - 1)).alias("pairs"))
 
 
-def leaking_pairs(pairs: DataFrame, splits: DataFrame, idx: str) -> DataFrame:
-    """How many positive pairs lie in different splits."""
-    s = splits.select(F.col(idx), "split")
-    x = pairs.join(s.withColumnRenamed(idx, "anchor_idx").withColumnRenamed("split", "sa"), "anchor_idx").join(s.withColumnRenamed(idx, "positive_idx").withColumnRenamed("split", "sp"), "positive_idx")
-    return x.agg(F.count(F.when(F.col("sa") != F.col("sp"), 1)).alias("crossing"), F.count(F.lit(1)).alias("pairs"))
+def positive_counts(df: DataFrame, keys: list[str], index: DataFrame) -> DataFrame:
+    """old_idx, split, new_idx, n_positives: how many positives each row of the index has in its split (0 for a null key), without lists."""
+    x = df.select(*keys, "old_idx").join(index.select("old_idx", "split", "new_idx"), "old_idx")
+    shares = x.dropna(subset=keys).groupBy(*keys, "split").agg((F.count(F.lit(1)) - 1).alias("n_positives"))
+    return x.join(shares, [*keys, "split"], "left").select("old_idx", "split", "new_idx", F.coalesce("n_positives", F.lit(0)).alias("n_positives"))
 
 
-def task_table(translated: DataFrame) -> DataFrame:
-    """split, anchor_idx: the anchors of each split that have a positive there (rows of translate_positives)."""
-    return translated.where(F.size("positives") > 0).select("split", "anchor_idx")
+def task_table(counts: DataFrame) -> DataFrame:
+    """split, anchor_idx: the anchors of each split that have a positive there (rows of positive_counts)."""
+    return counts.where("n_positives > 0").select("split", F.col("new_idx").alias("anchor_idx"))
 
 
 def triplet_union(drawn: DataFrame) -> DataFrame:

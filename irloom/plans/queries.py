@@ -194,7 +194,7 @@ def split_counts(spark, d):
 @query(f"{SPLIT} select count(*) filter (a.split <> p.split) as crossing, count(*) as pairs from pr join sp a on a.i = anchor_idx join sp p on p.i = positive_idx")
 def split_leak_check(spark, d):
     x = indexed(spark, d)
-    return training.leaking_pairs(training.positive_pairs(x, KEYS, "i"), training.group_split(training.group_components(x, KEYS, "i"), "i"), "i")
+    return training.leaking_pairs(x, KEYS, training.group_split(training.group_components(x, KEYS, "i"), "i"), "i")
 
 
 NEW = "nw as (select i as old_idx, split, row_number() over (partition by split order by i) - 1 as new_idx from sp)"
@@ -205,7 +205,7 @@ def translate_positive_map(spark, d):
     x = indexed(spark, d)
     splits = training.group_split(training.group_components(x, KEYS, "i"), "i").select(F.col("i").alias("old_idx"), "split")
     both = [training.dense_row_index(splits.where(F.col("split") == s), "old_idx", "new_idx") for s in ("train", "validation")]
-    out = training.translate_positives(training.positive_pairs(x, KEYS, "i"), both[0].unionByName(both[1]))
+    out = training.translate_positives(x.withColumnRenamed("i", "old_idx"), KEYS, both[0].unionByName(both[1]))
     return out.select("split", "anchor_idx", F.array_join(F.col("positives").cast("array<string>"), ",").alias("positives"))
 
 

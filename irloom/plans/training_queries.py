@@ -51,26 +51,26 @@ TRANSLATED = SPLIT + ", " + NEW + ", tp as (select a.split, a.new_idx as anchor_
 
 
 def split_index(spark, d):
-    """Pairs, and old and new indices by split."""
+    """Rows with their groups' keys, and old and new indices by split."""
     x = indexed(spark, d)
     splits = training.group_split(training.group_components(x, KEYS, "i"), "i").select(F.col("i").alias("old_idx"), "split")
     both = [training.dense_row_index(splits.where(F.col("split") == s), "old_idx", "new_idx") for s in ("train", "validation")]
-    return training.positive_pairs(x, KEYS, "i"), both[0].unionByName(both[1])
+    return x.withColumnRenamed("i", "old_idx"), KEYS, both[0].unionByName(both[1])
 
 
 @query(TRANSLATED + " select distinct split, anchor_idx from tp")
 def task_table(spark, d):
-    return training.task_table(training.translate_positives(*split_index(spark, d)))
+    return training.task_table(training.positive_counts(*split_index(spark, d)))
 
 
 @query(TRANSLATED + " select n.old_idx, n.split, n.new_idx, count(tp.positive_idx) as n_positives from nw n left join tp on tp.split = n.split and tp.anchor_idx = n.new_idx group by n.old_idx, n.split, n.new_idx")
 def index_lists(spark, d):
-    """Index lists and positive maps written and read again."""
-    pairs, index = split_index(spark, d)
+    """Index lists, with how many positives each row has, written and read again."""
     folder = scratch(spark, "index")
-    files.write_index_lists(index.select("old_idx", "split", "new_idx"), training.translate_positives(pairs, index), folder)
-    n = spark.read.parquet(f"{folder}/positives").select("split", F.col("anchor_idx").alias("new_idx"), F.size("positives").cast("long").alias("n"))
-    return spark.read.parquet(f"{folder}/split").join(n, ["split", "new_idx"], "left").select("old_idx", "split", "new_idx", F.coalesce("n", F.lit(0)).alias("n_positives"))
+    counts = training.positive_counts(*split_index(spark, d))
+    files.write_index_lists(counts.select("old_idx", "split", "new_idx"), counts.select("split", "new_idx", "n_positives"), folder)
+    n = spark.read.parquet(f"{folder}/positives")
+    return spark.read.parquet(f"{folder}/split").join(n, ["split", "new_idx"]).select("old_idx", "split", "new_idx", "n_positives")
 
 
 # --- batches ------------------------------------------------------------------------------------------
