@@ -59,10 +59,15 @@ def blocks_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(body_of(text), rf"\n(?={LABEL})"), block), lambda b: (b["label"] != "") | (F.size(b["lines"]) > 0))
 
 
-def instructions_of(text: Column) -> Column:
+def instructions_in(blocks: Column) -> Column:
     """An array of block, line (on one line) and needle (as in the text); an instruction's number is its place."""
     one = lambda b: F.transform(b["lines"], lambda x: F.struct(b["block"].alias("block"), F.regexp_replace(x, BREAK + r"\s*", " ").alias("line"), F.replace(x, F.lit(BREAK), F.lit("\n")).alias("needle")))
-    return F.flatten(F.transform(blocks_of(text), one))
+    return F.flatten(F.transform(blocks, one))
+
+
+def instructions_of(text: Column) -> Column:
+    """The instructions of a function's text."""
+    return instructions_in(blocks_of(text))
 
 
 def ir_functions_of(modules: DataFrame) -> DataFrame:
@@ -209,9 +214,11 @@ def located(functions: DataFrame, encoder: Encoder, whole_lines: bool = False) -
     so equal ones share a range; so are labels and their colon, with whole_lines at the beginning of
     a line only.
     """
-    x = functions.select(*KEY, instructions_of(F.col("text"))["line"].alias("lines"), blocks_of(F.col("text")).alias("blocks"), F.explode(F.array(normalize_ir(F.col("text")))).alias("normalized"))  # computed once
+    parts = F.struct(blocks_of(F.col("text")).alias("blocks"), normalize_ir(F.col("text")).alias("normalized"))
+    x = functions.select(*KEY, F.explode(F.array(parts)).alias("p")).select(*KEY, "p.*")  # exploded, so that both are computed once
     label = lambda b: F.concat(F.when(b["label"] == "", b["block"]).otherwise(b["label"]), F.lit(":"))
-    x = x.select(*KEY, "normalized", "lines", "blocks", instructions_of(F.col("normalized"))["needle"].alias("needles"), F.transform("blocks", label).alias("labels"))
+    needles = instructions_in(blocks_of(F.col("normalized")))["needle"]
+    x = x.select(*KEY, "normalized", instructions_in(F.col("blocks"))["line"].alias("lines"), "blocks", needles.alias("needles"), F.transform("blocks", label).alias("labels"))
     names = [*x.columns[:-2], "input_ids", "ranges", "label_ranges"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

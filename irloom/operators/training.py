@@ -81,22 +81,36 @@ def group_components(df: DataFrame, keys: list[str], idx: str) -> DataFrame:
     return df.select(F.col(idx), F.when(named, F.min(idx).over(W.partitionBy(*keys))).otherwise(F.col(idx)).alias("component"), own.alias("group_key"))
 
 
+def star_step(edges: DataFrame, large: bool) -> DataFrame:
+    """Ties neighbours to the least vertex of a neighbourhood: the larger ones (large), or the smaller ones and the vertex itself.
+
+    edges: distinct src > dst.  The least neighbour is found with a partial aggregation.  It goes
+    back to the neighbours in a join with one row a vertex on one side, so adaptive execution can
+    deal a hub's neighbours to many tasks: no step behind the join needs them together.
+    """
+    near = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    near = near.union(near.select("v", "u")) if large else near
+    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    told = near.join(least, "u")
+    out = told.where("v > u" if large else "v <> m").select(F.col("v").alias("src"), F.col("m").alias("dst"))
+    return (out if large else out.union(least)).distinct()
+
+
 def connected_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """id, component for edges (src, dst) of any shape: least label of the neighbours, then that label's own.
+    """id, component (the least id) for edges (src, dst) of any shape, by large stars and small stars in turn.
 
-    Labels are cut from their lineage by checkpoint() each round; goes on until nothing changes.
+    Each step keeps no more than the edges there are and never sends a hub's neighbours to one task;
+    edges are cut from their lineage by checkpoint().  Goes on until a round changes nothing, which
+    takes some log^2 of the longest path.
     """
     ensure_checkpoint_dir(edges.sparkSession)
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct().checkpoint()
-    labels = vertices.select("id", F.col("id").alias("component"))
-    while True:
-        near = both.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("old"))
-        jump = step.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        step = step.join(jump, "component").select("id", F.least("component", "root").alias("component"), "old").checkpoint()
-        labels = step.select("id", "component")
-        if step.where("component <> old").isEmpty():
-            return labels
+    now = edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct().checkpoint()
+    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("src", "dst")), F.bit_xor(F.xxhash64("dst", "src", F.lit(1)))).first())
+    before, after = None, mark(now)
+    while before != after:
+        now = star_step(star_step(now, True), False).checkpoint()
+        before, after = after, mark(now)
+    return vertices.join(now.select(F.col("src").alias("id"), "dst"), "id", "left").select("id", F.coalesce("dst", "id").alias("component"))
 
 
 def group_split(components: DataFrame, idx: str, share: float = 0.9, seed: int = 42) -> DataFrame:
@@ -126,9 +140,9 @@ def group_sizes(df: DataFrame, keys: list[str], splits: DataFrame, idx: str) ->
 
 def leaking_pairs(df: DataFrame, keys: list[str], splits: DataFrame, idx: str) -> DataFrame:
     """How many ordered positive pairs lie in different splits, and how many there are, from the sizes of the groups' shares; 0 crossing is no leak."""
-    shares = group_sizes(df, keys, splits, idx).groupBy(*keys).agg(F.sum("n").alias("k"), F.sum(F.col("n") * F.col("n")).alias("within"))
+    shares = group_sizes(df, keys, splits, idx).groupBy(*keys).agg(F.sum("n").alias("__all"), F.sum(F.col("n") * F.col("n")).alias("__within")).select("__all", "__within")
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    return shares.agg(zero(F.col("k") * F.col("k") - F.col("within")).alias("crossing"), zero(F.col("k") * (F.col("k") - 1)).alias("pairs"))
+    return shares.agg(zero(F.col("__all") * F.col("__all") - F.col("__within")).alias("crossing"), zero(F.col("__all") * (F.col("__all") - 1)).alias("pairs"))
 
 
 def positive_counts(df: DataFrame, keys: list[str], index: DataFrame) -> DataFrame:
