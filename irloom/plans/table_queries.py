@@ -8,8 +8,10 @@ from irloom.functions import text as X
 from irloom.operators import tables, training
 from irloom.plans.registry import docs, query, scratch
 from irloom.plans.stages import run_stages
+from irloom.schemas import EVENTS
 from irloom.sources import files
 from irloom.sources.fixture import DUCK, ir_functions
+from irloom.sources.kept import roll, rolled_rows, with_bin_size
 from irloom.streaming.ingest import current_rows, ingest
 
 STEM = r"regexp_replace(file_path, '\.[^./]+$', '')"
@@ -236,8 +238,28 @@ def special_tokens_atomic(spark, d):
 def incremental_ingest(spark, d):
     """A stream over the events' file puts its rows into a table by key."""
     folder = scratch(spark, "ingest")
-    ingest(spark, f"{d}/events.parquet*", "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string", f"{folder}/table", f"{folder}/state", "event_id", "ts")
-    return current_rows(spark, f"{folder}/table", "event_id").select("event_id", "user_id", "event_type", "value")
+    ingest(spark, f"{d}/events.parquet*", EVENTS, f"{folder}/table", f"{folder}/state", "event_id", "ts")
+    return current_rows(spark, f"{folder}/table", EVENTS, "event_id", "ts").select("event_id", "user_id", "event_type", "value")
+
+
+@query("select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
+def keyed_stream(spark, d):
+    """Each user's last event: a stream of six files in as many batches, nearly all with rows of every user, then a merge of the folders."""
+    folder = scratch(spark, "keyed")
+    spark.read.parquet(f"{d}/events.parquet").repartition(6, "event_id").write.parquet(f"{folder}/source")
+    ingest(spark, f"{folder}/source", EVENTS, f"{folder}/table", f"{folder}/state", "user_id", "event_id", files_per_batch=1, compact_at=4)
+    return current_rows(spark, f"{folder}/table", EVENTS, "user_id", "event_id").select("user_id", "event_id", "event_type", "value")
+
+
+@query(DUCK + """, n as (select func_id, file_path, func_id % 3 = 0 as late, row_number() over (order by func_id % 3 = 0, func_id) - 1 as row_no from ir)
+select func_id, file_path, row_no, row_no // 700 as bin, count(*) over (partition by row_no // 700) as rows_in_bin from n""")
+def rolling_sink(spark, d):
+    """Two runs into files of 700 rows: two thirds of the functions, then all, of which the rest is new and fills the open file first."""
+    folder = scratch(spark, "rolling")
+    x = ir_functions(spark, d).select("func_id", "file_path", "text")
+    roll(x.where("func_id % 3 <> 0"), folder, "func_id", 700)
+    roll(x, folder, "func_id", 700)
+    return with_bin_size(rolled_rows(spark, folder, x.schema, 700)).select("func_id", "file_path", "row_no", "bin", "rows_in_bin")
 
 
 @query(DUCK + " select func_id, length(text) as n from ir where func_id % 2 = 0 and length(text) > 100")

@@ -105,8 +105,8 @@ def test_files_and_ingest(spark, tmp_path):
     for n, rows in enumerate(([(1, "a"), (2, "a")], [(2, "b"), (3, "b")])):
         spark.createDataFrame(rows, "k long, v string").coalesce(1).write.mode("append").parquet(source)
         ingest(spark, source, "k long, v string", target, state, "k", "v")
-        assert spark.read.parquet(target).select("batch_no").distinct().count() == n + 1
-    assert {r.k: r.v for r in current_rows(spark, target, "k").collect()} == {1: "a", 2: "b", 3: "b"}
+        assert spark.read.parquet(f"{target}/rows").select("kept_batch").distinct().count() == n + 1
+    assert {r.k: r.v for r in current_rows(spark, target, "k long, v string", "k", "v").collect()} == {1: "a", 2: "b", 3: "b"}
 
 
 def test_offsets_of_long_texts(spark):
