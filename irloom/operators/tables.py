@@ -186,6 +186,38 @@ def token_statistics(df: DataFrame, count: str, shares=(0.9, 0.95, 0.98, 0.99),
     return (x.groupBy(*by) if by else x).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(count), 6).alias("mean"), F.max(count).alias("most"), F.min(count).alias("least"), *exact)
 
 
+def count_sketches(df: DataFrame, count: str, by: list[str], k: int = 800) -> DataFrame:
+    """by, n, total, sketch: counters of the positive counts and a mergeable KLL sketch of them, one row for each group.
+
+    Rows of later runs are stored beside these and read with merged_quantiles; the counts themselves
+    are not needed again.  A sketch holds some 3 * k numbers however many it has seen.
+    """
+    x = df.where(F.col(count) > 0).withColumn("__count", F.col(count).cast("long"))
+    return x.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("__count").alias("total"), F.kll_sketch_agg_bigint("__count", F.lit(k)).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, shares=(0.5, 0.9, 0.95, 0.98, 0.99), by: list[str] | None = None, k: int = 800) -> DataFrame:
+    """by, share, n, mean, value: approximate percentiles over all stored sketches (those of count_sketches, with the same k).
+
+    A value's rank is off by some 0.35 % of n at k = 800 (2.3 / k ** 0.9, with 99 % confidence),
+    merged or not; n and mean are exact.  No sketches: no rows.
+    """
+    g = sketches.groupBy(*by) if by else sketches.groupBy()
+    x = g.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.kll_merge_agg_bigint("sketch", F.lit(k)).alias("sketch")).where("n > 0")
+    at = F.array(*[F.struct(F.lit(float(p)).alias("share"), F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(p))).alias("value")) for p in shares])
+    return x.select(*(by or []), "n", F.round(F.col("total") / F.col("n"), 6).alias("mean"), F.explode(at).alias("q")).select(*(by or []), "q.share", "n", "mean", "q.value")
+
+
+def rank_errors(df: DataFrame, count: str, quantiles: DataFrame) -> DataFrame:
+    """quantiles (share, value, few rows) with rank_error: how far the share lies outside the ranks that the value has among the positive counts."""
+    x = df.where(F.col(count) > 0).select(F.col(count).alias("__count"))
+    v = quantiles.agg(F.collect_list(F.struct("share", "value")).alias("__q"))  # the few quantiles, as one row
+    x = x.crossJoin(F.broadcast(v)).select(F.explode("__q").alias("q"), "__count")
+    ranks = x.groupBy("q.share", "q.value").agg(F.avg((F.col("__count") < F.col("q.value")).cast("double")).alias("low"), F.avg((F.col("__count") <= F.col("q.value")).cast("double")).alias("high"))
+    ranks = ranks.select("share", F.greatest(F.lit(0.0), F.col("low") - F.col("share"), F.col("share") - F.col("high")).alias("rank_error"))
+    return quantiles.join(F.broadcast(ranks), "share")
+
+
 def token_histogram(df: DataFrame, count: str, top: int = 5000, bins: int = 500) -> DataFrame:
     """bin (1 to bins), n, cdf; counts beyond top are left out, top itself falls into the last bin."""
     x = df.where((F.col(count) >= 0) & (F.col(count) <= top)).select(F.least(F.lit(bins), F.floor(F.col(count) * bins / top) + 1).alias("bin"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from irloom.plans.session import ensure_checkpoint_dir
 
@@ -223,13 +226,119 @@ def pad_graph(df: DataFrame, batch: str, graph: str, width: int = 4) -> DataFram
     return df.withColumn("padded_graph", F.concat(edges, F.array_repeat(F.array_repeat(F.lit(-1), width).cast(df.schema[graph].dataType.elementType), gap)))
 
 
+def filled(lists: Column, length: Column, pad: Column) -> Column:
+    """Each list of an array of lists with pad behind it, up to a length."""
+    return F.transform(lists, lambda x: F.concat(x, F.array_repeat(pad, (length - F.size(x)).cast("int"))))
+
+
+def training_batches(drawn: DataFrame, pool: DataFrame, idx: str, vocab: int, size: int = 16, longest: int = 4096, pad: int = 1, seed: int = 42) -> DataFrame:
+    """One row for each batch of `size` triplets (the last may have fewer), in the order of their anchors.
+
+    drawn: anchor_idx, positive_idx, negative_idx (those without a negative are left out).  pool: idx,
+    input_ids, ddg_graph, cfg_graph; null lists count as empty.  Returns batch_id, anchor_idx, length
+    (of the longest text, rounded up to a multiple of 8) and
+    - contract_input_ids, contract_attention_mask: anchors, then positives, then negatives, padded;
+    - input_ids, labels, attention_mask of the anchors alone, masked for training (-100: no label);
+    - ddg_graph, cfg_graph of all three, filled with edges of -1 up to the longest list.
+    Texts are cut at `longest` ids and edges that reach beyond them go.  Rows of the pool meet their
+    triplets in one join and their batch in one grouping, of 3 * size rows whatever the table is.
+    """
+    roles = ("anchor", "positive", "negative")
+    whole = dense_row_index(drawn.where("negative_idx is not null").select("anchor_idx", "positive_idx", "negative_idx"), "anchor_idx", "no")
+    wanted = whole.select("anchor_idx", "no", F.posexplode(F.array(*[F.col(f"{r}_idx") for r in roles])).alias("role", "idx"))
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(pool.schema[c].dataType))
+    inside = lambda c: F.filter(none(c), lambda e: F.array_max(F.slice(e, 1, 4)) < longest)
+    rows = pool.select(F.col(idx).alias("idx"), truncate_with_eos(none("input_ids"), longest).alias("ids"), inside("ddg_graph").alias("ddg"), inside("cfg_graph").alias("cfg"))
+    x = wanted.join(rows, "idx").withColumn("masked", F.when(F.col("role") == 0, mlm_mask(F.col("ids"), F.col("anchor_idx"), vocab, seed=seed)))
+    x = x.groupBy(batch_number("no", size).alias("batch_id")).agg(F.sort_array(F.collect_list(F.struct("role", "no", "anchor_idx", "ids", "masked", "ddg", "cfg"))).alias("r"))
+    most = lambda c: F.array_max(F.transform(F.col("r"), lambda r: F.size(r[c])))
+    x = x.select("batch_id", "r", F.filter("r", lambda r: r["role"] == 0).alias("a"), (F.ceil(most("ids") / 8) * 8).cast("int").alias("length"), most("ddg").alias("n_ddg"), most("cfg").alias("n_cfg"))
+    one_mask = lambda rows: filled(F.transform(rows, lambda r: F.array_repeat(F.lit(1), F.size(r["ids"]))), F.col("length"), F.lit(0))
+    empty = lambda n, kind: F.array_repeat(F.lit(-1).cast(kind), n)
+    text = lambda rows, f, p: filled(F.transform(rows, f), F.col("length"), F.lit(p))
+    return x.select(
+        "batch_id", F.transform("a", lambda r: r["anchor_idx"]).alias("anchor_idx"), "length",
+        text(F.col("r"), lambda r: r["ids"], pad).alias("contract_input_ids"), one_mask(F.col("r")).alias("contract_attention_mask"),
+        text(F.col("a"), lambda r: r["masked"]["input_ids"], pad).alias("input_ids"), text(F.col("a"), lambda r: r["masked"]["labels"], -100).alias("labels"), one_mask(F.col("a")).alias("attention_mask"),
+        filled(F.transform("r", lambda r: r["ddg"]), F.col("n_ddg"), empty(4, "int")).alias("ddg_graph"), filled(F.transform("r", lambda r: r["cfg"]), F.col("n_cfg"), empty(5, "float")).alias("cfg_graph"),
+    )
+
+
+def disjoint_rectangles(edges: list[tuple]) -> list[tuple]:
+    """Rectangles (i, i end, j, j end, weight), ends exclusive, that cover what the edges cover, each place once with the weight of the last edge on it.
+
+    edges: tuples of the same form, the first to count first.  Goes along i from one edge's border to
+    the next; between two borders the edges that are there are painted along j, and equal pieces of
+    neighbouring strips become one rectangle.
+    """
+    borders = sorted({x for e in edges for x in e[:2]})
+    begin: dict[int, list[int]] = {}
+    end: dict[int, list[int]] = {}
+    for no, e in enumerate(edges):
+        begin.setdefault(e[0], []).append(no)
+        end.setdefault(e[1], []).append(no)
+    there: set[int] = set()
+    running: dict[tuple, int] = {}
+    out = []
+    for i in borders:
+        there.difference_update(end.get(i, ()))
+        there.update(begin.get(i, ()))
+        pieces = painted([edges[no] for no in sorted(there)])
+        out += [(since, i, *p) for p, since in running.items() if p not in pieces]
+        running = {p: running.get(p, i) for p in pieces}
+    return out
+
+
+def painted(edges: list[tuple]) -> dict[tuple, None]:
+    """Pieces (j, j end, weight) of a strip that the edges, the last on top, leave to see; touching ones of one weight are one."""
+    if not edges:
+        return {}
+    j = np.unique(np.array([e[2:4] for e in edges]))
+    top = np.full(len(j) - 1, -1)
+    for no, (a, z) in enumerate(zip(np.searchsorted(j, [e[2] for e in edges]).tolist(), np.searchsorted(j, [e[3] for e in edges]).tolist(), strict=True)):
+        top[a:z] = no
+    out: list[tuple] = []
+    for k, no in enumerate(top.tolist()):
+        if no >= 0:
+            a, z, w = int(j[k]), int(j[k + 1]), edges[no][4]
+            if out and out[-1][1] == a and out[-1][2] == w:
+                out[-1] = (out[-1][0], z, w)
+            else:
+                out.append((a, z, w))
+    return dict.fromkeys(out)
+
+
+def edge_rectangles(edges: DataFrame, weight: Column, inclusive: bool = True, key: str = "file_path", stripe: int = 4096) -> DataFrame:
+    """key, i_first, i_last, j_first, j_last, weight: disjoint rectangles (inclusive) of the cells that edges cover; on a cell the last in edge_no counts.
+
+    The compact form of rasterize_edges: an edge that no other meets is one row, whatever its size.
+    Edges with a negative or empty range, or without a range or weight, are left out.  Of equal
+    ranges the last is kept before anything is shuffled whole; a group is what touches `stripe`
+    tokens of a function, so functions of more tokens are cut at its multiples.
+    """
+    ends = ["src_end", "dst_end"]
+    x = edges.withColumns({c: F.col(c) + 1 for c in ends}) if inclusive else edges
+    x = x.where("src_start >= 0 and dst_start >= 0 and src_end > src_start and dst_end > dst_start")
+    x = x.groupBy(key, "src_start", "src_end", "dst_start", "dst_end").agg(F.max_by(F.struct(weight.cast("double").alias("weight"), "edge_no"), "edge_no").alias("e")).where("e.weight is not null")
+    at = F.explode(F.sequence(F.floor(F.col("src_start") / stripe), F.floor((F.col("src_end") - 1) / stripe))).alias("__stripe")
+    x = x.select(key, at, "src_start", "src_end", "dst_start", "dst_end", "e.weight", "e.edge_no")
+    x = x.withColumns({"src_start": F.greatest("src_start", F.col("__stripe") * stripe), "src_end": F.least("src_end", (F.col("__stripe") + 1) * stripe)})
+    names, rest = ["src_start", "src_end", "dst_start", "dst_end", "weight"], ["i_first", "i_last", "j_first", "j_last"]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("edge_no")
+        made = disjoint_rectangles(list(zip(*(table.column(c).to_pylist() for c in names), strict=True)))
+        columns = [pa.array([r[k] - (k in (1, 3)) for r in made], pa.int64()) for k in range(4)]
+        return pa.Table.from_arrays([pa.array([table.column(key)[0].as_py()] * len(made), table.schema.field(key).type), *columns, pa.array([r[4] for r in made], pa.float64())], names=[key, *rest, "weight"])
+
+    schema = T.StructType([edges.schema[key], *[T.StructField(c, T.LongType()) for c in rest], T.StructField("weight", T.DoubleType())])
+    return x.groupBy(key, "__stripe").applyInArrow(run, schema)
+
+
 def rasterize_edges(edges: DataFrame, weight: Column, inclusive: bool = True) -> DataFrame:
-    """Sparse cells file_path, i, j, weight of the edges' token ranges; of edges on one cell the last in edge_no counts."""
-    end = lambda c: F.col(c) if inclusive else F.col(c) - 1
-    x = edges.where("src_start >= 0 and dst_start >= 0").where((end("src_end") >= F.col("src_start")) & (end("dst_end") >= F.col("dst_start")))
-    x = x.select("file_path", "edge_no", weight.alias("weight"), F.explode(F.sequence("src_start", end("src_end"))).alias("i"), "dst_start", "dst_end")
-    x = x.select("file_path", "edge_no", "weight", "i", F.explode(F.sequence("dst_start", end("dst_end"))).alias("j"))
-    return x.groupBy("file_path", "i", "j").agg(F.max_by("weight", "edge_no").alias("weight"))
+    """Sparse cells file_path, i, j, weight of the edges' token ranges, from edge_rectangles; of edges on one cell the last in edge_no counts."""
+    x = edge_rectangles(edges, weight, inclusive).select("file_path", F.explode(F.sequence("i_first", "i_last")).alias("i"), "j_first", "j_last", "weight")
+    return x.select("file_path", F.col("i").cast("int").alias("i"), F.explode(F.sequence(F.col("j_first").cast("int"), F.col("j_last").cast("int"))).alias("j"), "weight")
 
 
 def edge_bucket(p: Column) -> Column:

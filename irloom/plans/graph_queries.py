@@ -243,21 +243,38 @@ def edge_bucket(spark, d):
     return graphs.cfg_edges(ir_modules(spark, d)).select("file_path", "function_name", "src", "dst", "succ_no", training.edge_bucket(F.col("prob")).alias("bucket"))
 
 
-@query(
+#: The cells that control-flow edges cover, by file.
+CELLS = (
     CFG
     + LABEL_RANGE
     + """, al as ("""
     + ALIGNED
     + """), e as (select *, row_number() over (partition by file_path order by function_name, src, succ_no) as edge_no from al),
 x as (select file_path, edge_no, prob, unnest(range(src_start, src_end + 1)) as i, dst_start, dst_end from e),
-y as (select file_path, edge_no, prob, i, unnest(range(dst_start, dst_end + 1)) as j from x)
-select file_path, cast(i as int) as i, cast(j as int) as j, arg_max(prob, edge_no) as weight from y group by file_path, i, j"""
+y as (select file_path, edge_no, prob, i, unnest(range(dst_start, dst_end + 1)) as j from x),
+ce as (select file_path, cast(i as int) as i, cast(j as int) as j, arg_max(prob, edge_no) as weight from y group by file_path, i, j)"""
 )
-def rasterize_edges(spark, d):
+
+
+def numbered_edges(spark, d):
     from pyspark.sql import Window as W
 
-    e = graphs.cfg_edge_align(ir_modules(spark, d), encoder()).withColumn("edge_no", F.row_number().over(W.partitionBy("file_path").orderBy("function_name", "src", "succ_no")))
-    return training.rasterize_edges(e, F.col("prob"))
+    return graphs.cfg_edge_align(ir_modules(spark, d), encoder()).withColumn("edge_no", F.row_number().over(W.partitionBy("file_path").orderBy("function_name", "src", "succ_no")))
+
+
+@query(CELLS + " select * from ce")
+def rasterize_edges(spark, d):
+    return training.rasterize_edges(numbered_edges(spark, d), F.col("prob"))
+
+
+@query(CELLS + " select file_path, count(*) as n_cells, round(sum(weight), 6) as total, min(i) as i_first, max(i) as i_last, min(j) as j_first, max(j) as j_last, cast(sum(i) as bigint) as i_sum, cast(sum(j) as bigint) as j_sum from ce group by file_path")
+def edge_rectangles(spark, d):
+    """What the disjoint rectangles of a file's edges cover, by their areas; no cell is made."""
+    high, wide = F.col("i_last") - F.col("i_first") + 1, F.col("j_last") - F.col("j_first") + 1
+    x = training.edge_rectangles(numbered_edges(spark, d), F.col("prob"))
+    middle = lambda a, n, other: F.sum((F.col(f"{a}_first") + F.col(f"{a}_last")) * n / 2 * other).cast("long").alias(f"{a}_sum")
+    ends = [f(c).alias(c) for a in "ij" for f, c in ((F.min, f"{a}_first"), (F.max, f"{a}_last"))]
+    return x.groupBy("file_path").agg(F.sum(high * wide).alias("n_cells"), F.round(F.sum(F.col("weight") * high * wide), 6).alias("total"), *ends, middle("i", high, wide), middle("j", wide, high))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from irloom.functions import text as X
 from irloom.operators import bpe, tables, training
-from irloom.plans.registry import docs, query
+from irloom.plans.registry import docs, query, scratch
 from irloom.sources.fixture import DUCK, ir_functions
 
 KEYS = ["origin_binary_name", "function_name"]
@@ -125,6 +125,16 @@ def token_count_stats(spark, d):
     return tables.token_statistics(docs(spark, d).select(F.size(X.pretokens(F.col("text"))).alias("n_tokens")), "n_tokens")
 
 
+@query(f"with t as (select len({PRETOKENS}) as n from documents), s as (select count(*) as n, round(avg(n), 6) as mean from t where n > 0) select p as share, n, mean, true as close from s, (select unnest([0.5::double, 0.9, 0.95, 0.98, 0.99]) as p)")
+def token_quantile_sketch(spark, d):
+    """Sketches by source and language, stored, merged and held against the counts: every rank within one percent."""
+    folder = scratch(spark, "sketches")
+    x = docs(spark, d).select("source", "lang", F.size(X.pretokens(F.col("text"))).alias("n_tokens"))
+    tables.count_sketches(x, "n_tokens", ["source", "lang"]).write.parquet(folder)
+    q = tables.merged_quantiles(spark.read.parquet(folder))
+    return tables.rank_errors(x, "n_tokens", q).select("share", "n", "mean", (F.col("rank_error") <= 0.01).alias("close"))
+
+
 @query(f"with t as (select len({PRETOKENS}) as n from documents), b as (select least(500, floor(n * 500 / 5000) + 1) as bin, count(*) as n from t where n <= 5000 group by 1), f as (select r.bin, coalesce(b.n, 0) as n from (select unnest(range(1, 501)) as bin) r left join b on b.bin = r.bin) select bin, n, round(sum(n) over (order by bin) / (select sum(n) from f), 9) as cdf from f")
 def token_histogram(spark, d):
     return tables.token_histogram(docs(spark, d).select(F.size(X.pretokens(F.col("text"))).alias("n_tokens")), "n_tokens")

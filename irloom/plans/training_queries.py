@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from irloom.operators import bpe, training
+from irloom.operators.graphs import KEY
+from irloom.plans.graph_queries import ROWS, dataset_rows, encoder
 from irloom.plans.queries import GROUPS, IDS, KEYS, NEW, NUMBER, SPLIT, indexed, token_ids
 from irloom.plans.registry import docs, query, scratch
 from irloom.sources import files
 
 PLACES = GROUPS + ", pl as (select i, origin_binary_name as b, function_name as f, row_number() over (order by origin_binary_name, function_name, i) - 1 as place from idx), gr as (select i, place, min(place) over g as first, count(*) over g as n from pl window g as (partition by b, f))"
-DRAWN = (
-    PLACES
-    + f""", dr as (select i as anchor_idx, first + (place - first + 1 + {NUMBER.format("concat('42|p|', i)")} % (n - 1)) % n as p,
+DRAW = f""", dr as (select i as anchor_idx, first + (place - first + 1 + {NUMBER.format("concat('42|p|', i)")} % (n - 1)) % n as p,
   case when rk < first then rk else rk + n end as q
   from (select *, case when n < total then {NUMBER.format("concat('42|n|', i)")} % (total - n) end as rk from gr, (select count(*) as total from idx)) where n > 1),
 tr as (select anchor_idx, a.i as positive_idx, b.i as negative_idx from dr join gr a on a.place = p left join gr b on b.place = q)"""
-)
+DRAWN = PLACES + DRAW
 
 
 def drawn(spark, d):
@@ -84,6 +84,44 @@ def pad_graph(spark, d):
     return x.select("doc_id", F.size("padded_graph").cast("long").alias("n_padded"), F.aggregate(F.flatten("padded_graph"), F.lit(0), lambda s, v: s + v).cast("long").alias("total"))
 
 
+#: Functions and their ids and data edges as lists, groups by name, and for each batch of 16 triplets its 48 rows.
+BATCHED = (
+    ROWS
+    + """, idx as (select *, row_number() over (order by file_path, function_name) - 1 as i, cast(string_split(ids, ',') as int[]) as l, case when ddg is null then 0 else 1 + length(ddg) - length(replace(ddg, ',', '')) end as nd from rw),
+pl as (select i, function_name as f, row_number() over (order by function_name, i) - 1 as place from idx),
+gr as (select i, place, min(place) over g as first, count(*) over g as n from pl window g as (partition by f))"""
+    + DRAW
+    + f""", nb as (select *, row_number() over (order by anchor_idx) - 1 as no from tr where negative_idx is not null),
+un as (select no // 16 as batch_id, no, unnest([0, 1, 2]) as role, unnest([anchor_idx, positive_idx, negative_idx]) as i from nb),
+bt as (select *, cast(ceil(max(len(l)) over (partition by batch_id) / 8) * 8 as int) as w from un join idx using (i)),
+mk1 as (select *, case when role = 0 then list_transform(range(0, len(l)), lambda k: {NUMBER.format("concat('42|', i, '|', k)")} % 100 < 15 and l[k + 1] >= 9) end as chosen,
+  case when role = 0 then list_transform(range(0, len(l)), lambda k: {NUMBER.format("concat('42|how|', i, '|', k)")} % 10) end as how,
+  case when role = 0 then list_transform(range(0, len(l)), lambda k: {NUMBER.format("concat('42|id|', i, '|', k)")} % {len(encoder().ids)}) end as other from bt)
+select batch_id, count(*) filter (role = 0) as n_anchors, max(w) as length, sum(len(l)) as n_tokens, max(nd) as ddg_width, max(coalesce(n_cfg, 0)) as cfg_width,
+  md5(string_agg(array_to_string(list_concat(l, list_transform(range(0, w - len(l)), lambda x: 1)), ','), ';' order by role, no)) as contract_md5,
+  md5(string_agg(array_to_string(list_concat(list_transform(range(1, len(l) + 1), lambda k: case when chosen[k] and how[k] < 8 then 4 when chosen[k] and how[k] = 8 then other[k] else l[k] end),
+    list_transform(range(0, w - len(l)), lambda x: 1)), ','), ';' order by no) filter (role = 0)) as ids_md5,
+  md5(string_agg(array_to_string(list_concat(list_transform(range(1, len(l) + 1), lambda k: case when chosen[k] then l[k] else -100 end), list_transform(range(0, w - len(l)), lambda x: -100)), ','), ';' order by no) filter (role = 0)) as labels_md5,
+  sum(len(l)) filter (role = 0) as n_attended, md5(string_agg(coalesce(ddg, ''), ';' order by role, no)) as ddg_md5 from mk1 group by batch_id"""
+)
+
+
+@query(BATCHED)
+def training_batches(spark, d):
+    """Whole batches of 16 triplets over all functions of the modules: real ids, both graphs, masks and labels; long arrays as digests."""
+    rows = training.dense_row_index(dataset_rows(spark, d).select(*KEY, "input_ids", "ddg_graph", "cfg_graph"), KEY, "i")
+    drawn = training.drawn_triplets(training.group_ranges(rows, ["function_name"], "i"), "i", rows.count())
+    x = training.training_batches(drawn, rows, "i", len(encoder().ids))
+    text = lambda c: F.md5(F.array_join(F.transform(c, lambda v: F.array_join(v.cast("array<string>"), ",")), ";"))
+    ones = lambda c: F.aggregate(F.flatten(c), F.lit(0), lambda s, v: s + v).cast("long")
+    real = F.transform("ddg_graph", lambda g: F.array_join(F.transform(F.filter(g, lambda e: e[0] >= 0), lambda e: F.array_join(e.cast("array<string>"), ":")), ","))
+    width = lambda c: F.size(F.col(c)[0]).cast("long")
+    return x.select(
+        "batch_id", F.size("anchor_idx").cast("long").alias("n_anchors"), "length", ones("contract_attention_mask").alias("n_tokens"), width("ddg_graph").alias("ddg_width"), width("cfg_graph").alias("cfg_width"),
+        text("contract_input_ids").alias("contract_md5"), text("input_ids").alias("ids_md5"), text("labels").alias("labels_md5"), ones("attention_mask").alias("n_attended"), F.md5(F.array_join(real, ";")).alias("ddg_md5"),
+    )
+
+
 @query("with e as (select doc_id, unnest(range(0, n_chars % 9)) * 700 as s from documents) select d.doc_id, count(e.s) filter (s + 30 < 4096) as n_edges, coalesce(sum(s) filter (s + 30 < 4096), 0) as starts from documents d left join e on e.doc_id = d.doc_id group by d.doc_id")
 def clip_edges(spark, d):
     edge = lambda i: F.struct((i * 700).alias("src_start"), (i * 700 + 10).alias("src_end"), (i * 700 + 20).alias("dst_start"), (i * 700 + 30).alias("dst_end"))
