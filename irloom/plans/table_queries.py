@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from irloom.functions import text as X
 from irloom.operators import tables, training
+from irloom.plans.queries import NORMAL
 from irloom.plans.registry import docs, query, scratch
 from irloom.plans.stages import run_stages
 from irloom.schemas import EVENTS
 from irloom.sources import files
+from irloom.sources.corpus import write_corpus
 from irloom.sources.fixture import DUCK, ir_functions
 from irloom.sources.kept import roll, rolled_rows, with_bin_size
 from irloom.streaming.ingest import current_rows, ingest
@@ -201,6 +203,25 @@ def text_corpus(spark, d):
     return files.read_first_corpus(spark, [(folder + "-none", "parquet"), (folder, "text")])
 
 
+#: The normaliser's SQL with the untrimmed text, and lengths before and after.
+BUILT = (
+    NORMAL.replace("select file_path, trim(array_to_string(o, ''), chr(10) || ' ') as normalized from r", "")
+    + """, q as (select file_path, trim(array_to_string(o, ''), ' ') as nt from r)
+select file_path, string_split(file_path, '/')[2] as file_name, function_name, opt_level as opt, cast(length(trim(text, ' ' || chr(10))) as int) as original_length, cast(length(nt) as int) as normalized_length, md5(nt) as text_md5
+from q join ir using (file_path)"""
+)
+
+
+@query(BUILT)
+def corpus_builder(spark, d):
+    """The corpus of all functions, written in its three forms; the rows are read from the JSON lines."""
+    folder = scratch(spark, "corpus")
+    x = ir_functions(spark, d)
+    rows = write_corpus(x.select("file_path", F.element_at(F.split("file_path", "/"), 2).alias("file_name"), "function_name", F.col("opt_level").alias("opt"), "text"), folder)
+    back = spark.read.schema(rows.schema).json(f"{folder}/jsonl")
+    return back.select("metadata.*", F.md5("text").alias("text_md5"))
+
+
 @query(DUCK + " select trim(text) as text from ir")
 def jsonl_corpus(spark, d):
     """Texts with metadata written as JSON lines and read again."""
