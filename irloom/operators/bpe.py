@@ -158,10 +158,14 @@ def train_merges(docs: DataFrame, n_merges: int, least: int = 2, text: str = "te
             words, done, new = merged(words, new).checkpoint(), done + new, []
 
 
-def vocabulary(docs: DataFrame, merges: list[tuple[str, str]], text: str = "text") -> DataFrame:
-    """token, id: special tokens, then characters by code point, then merged symbols in order."""
+def vocabulary(docs: DataFrame, merges: list[tuple[str, str]], text: str = "text", atomic: tuple[str, ...] = ()) -> DataFrame:
+    """token, id: special tokens, then characters by code point, then merged symbols in order.
+
+    Tokens named in atomic are matched whole; those that occur come among the characters.
+    """
     spark = docs.sparkSession
-    chars = word_counts(docs, text).select(F.explode(F.split("word", "")).alias("token")).distinct().where("token <> ''").select(F.lit(1).alias("kind"), F.lit(0).alias("at"), "token")
+    words = docs.select(F.explode(pretokens(F.col(text), atomic)).alias("word")).distinct()
+    chars = words.select(F.explode(F.when(F.col("word").isin(*atomic), F.array("word")).otherwise(F.split("word", ""))).alias("token")).distinct().where("token <> ''").select(F.lit(1).alias("kind"), F.lit(0).alias("at"), "token")
     fixed = spark.createDataFrame([(0, i, t) for i, t in enumerate(SPECIALS)] + [(2, i, a + b) for i, (a, b) in enumerate(merges)], "kind int, at int, token string")
     firsts = fixed.unionByName(chars).groupBy("token").agg(F.min(F.struct("kind", "at")).alias("k"))
     return firsts.select("token", (F.row_number().over(W.orderBy("k.kind", "k.at", "token")) - 1).alias("id"))  # as many rows as the vocabulary

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from irloom.operators import bpe, training
+from irloom.functions import text as X
+from irloom.operators import bpe, graphs, training
 from irloom.operators.graphs import KEY
-from irloom.plans.graph_queries import ROWS, dataset_rows, encoder
+from irloom.plans.graph_queries import NORMAL, ROWS, dataset_rows, encoder
 from irloom.plans.queries import GROUPS, IDS, KEYS, NEW, NUMBER, SPLIT, indexed, token_ids
 from irloom.plans.registry import docs, query, scratch
 from irloom.sources import files
+from irloom.sources.fixture import DUCK_MODULES, ir_modules
 
 PLACES = GROUPS + ", pl as (select i, origin_binary_name as b, function_name as f, row_number() over (order by origin_binary_name, function_name, i) - 1 as place from idx), gr as (select i, place, min(place) over g as first, count(*) over g as n from pl window g as (partition by b, f))"
 DRAW = f""", dr as (select i as anchor_idx, first + (place - first + 1 + {NUMBER.format("concat('42|p|', i)")} % (n - 1)) % n as p,
@@ -154,57 +156,89 @@ def triplet_margin(spark, d):
 # --- vocabulary ---------------------------------------------------------------------------------------
 
 WORDS = r"w as (select word, count(*) as n from (select unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+')) as word from documents) group by word)"
-#: The first merge by SQL; the vocabulary is special tokens, characters by code point, and that merge.
-FIRST = (
-    "with "
+#: So many merges the vocabulary queries learn: each one is a round over all distinct words in the SQL.
+N_MERGES = 128
+#: Training by SQL, a round for each merge: a symbol of a word stands between chr(1) and chr(2).
+#: The vocabulary is special tokens, characters by code point, and merged symbols in their order.
+TRAINED = (
+    "with recursive "
     + WORDS
-    + """, p as (select substr(word, i, 1) as l, substr(word, i + 1, 1) as r, n from (select *, unnest(range(1, length(word))) as i from w)),
-b as (select l, r from p group by l, r having sum(n) >= 2 order by sum(n) desc, l, r limit 1),
-sp as (select unnest(['<s>', '<pad>', '</s>', '<unk>', '<mask>', '<func>', '</func>', '<bb>', '<HEX_CONST>']) as token, unnest(range(0, 9)) as pos),
+    + f""", st as (
+  select 0 as k, word, n, array_to_string(list_transform(string_split(word, ''), lambda c: concat(chr(1), c, chr(2))), '') as sym, null::varchar as l, null::varchar as r from w
+  union all
+  select st.k + 1, st.word, st.n, replace(st.sym, concat(chr(1), b.l, chr(2), chr(1), b.r, chr(2)), concat(chr(1), b.l, b.r, chr(2))), b.l, b.r
+  from st, (select q[1] as l, q[2] as r
+    from (select n, unnest(list_zip(p, p[2:])) as q from (select n, string_split(sym[2:-2], concat(chr(2), chr(1))) as p from st))
+    where q[2] is not null group by 1, 2 having sum(n) >= 2 order by sum(n) desc, 1, 2 limit 1) b
+  where st.k < {N_MERGES}),
+me as (select k - 1 as rank, min(l) as l, min(r) as r from st where k > 0 group by k),
+fw as (select word, string_split(sym[2:-2], concat(chr(2), chr(1))) as parts from st where k = (select max(k) from st)),
+sp as (select unnest({list(bpe.SPECIALS)}) as token, unnest(range(0, {len(bpe.SPECIALS)})) as pos),
 ch as (select distinct substr(word, i, 1) as token from (select word, unnest(range(1, length(word) + 1)) as i from w)),
-al as (select 0 as k, pos, token from sp union all select 1, 0, token from ch union all select 2, 0, concat(l, r) from b),
-vo as (select token, row_number() over (order by k, pos, token) - 1 as id from al)"""
+al as (select 0 as kind, pos, token from sp union all select 1, 0, token from ch union all select 2, rank, concat(l, r) from me),
+vo as (select token, row_number() over (order by kind, pos, token) - 1 as id from (select * from al qualify row_number() over (partition by token order by kind, pos) = 1))"""
 )
 
 
-def first_vocabulary(spark, d):
+def trained_vocabulary(spark, d):
     x = docs(spark, d)
-    merges = bpe.train_merges(x, 1)
+    merges = bpe.train_merges(x, N_MERGES)
     return x, merges, bpe.vocabulary(x, merges)
 
 
-@query(FIRST + " select token, id from vo")
+@query(TRAINED + ' select cast(rank as int) as rank, l as "left", r as "right" from me')
+def bpe_train(spark, d):
+    """The first merges over all documents, one row each, in the order in which they are learned."""
+    merges = bpe.train_merges(docs(spark, d), N_MERGES)
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, left string, right string")
+
+
+@query(TRAINED + " select token, id from vo")
 def save_vocab(spark, d):
-    """A vocabulary of one merge, written and read again."""
-    x, merges, vocab = first_vocabulary(spark, d)
+    """A vocabulary written and read again."""
+    x, merges, vocab = trained_vocabulary(spark, d)
     folder = scratch(spark, "vocab")
     bpe.save_vocab(vocab, merges, folder)
     back, same = bpe.load_vocab(spark, folder)
     return back.where(F.lit(same == merges)).select("token", F.col("id").cast("long").alias("id"))
 
 
-@query(FIRST + " select count(*) as vocab_size, count(*) filter (id < 9) as n_special, string_agg(token, ' ' order by id) filter (id < 20) as sample_tokens from vo")
+@query(TRAINED + f" select count(*) as vocab_size, count(*) filter (id < {len(bpe.SPECIALS)}) as n_special, string_agg(token, ' ' order by id) filter (id < 20) as sample_tokens from vo")
 def vocab_stats(spark, d):
-    return bpe.vocab_stats(first_vocabulary(spark, d)[2])
+    return bpe.vocab_stats(trained_vocabulary(spark, d)[2])
 
 
-@query(FIRST + ", ex as (select unnest(['<pad>', '<unk>', '<bos>', '<eos>', '<mask>', '<func>', '<bb>', '<var>', '<const>', '<MED_INT>', '<LARGE_INT>', '<HUGE_INT>', '<HEX_CONST>', '<FLOAT_CONST>', '<STRING_CONST>']) as token) select token from ex where token not in (select token from vo)")
-def validate_special_tokens(spark, d):
-    return bpe.missing_special_tokens(first_vocabulary(spark, d)[2])
+ENCODED_WORDS = (
+    TRAINED
+    + r""", iw as (select word, count(*) as k, string_agg(cast(coalesce(id, 3) as varchar), ',' order by p) as ids
+  from (select word, unnest(parts) as token, generate_subscripts(parts, 1) as p from fw) left join vo using (token) group by word),
+lw as (select doc_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+') as ws from documents),
+tw as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as p from lw)"""
+)
 
 
-@query(
-    FIRST
-    + r""", mw as (select word, length(replace(word, (select concat(l, r) from b), chr(1))) as k from w),
-tw as (select doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+')) as word from documents)
-select d.doc_id, 2 + coalesce(sum(mw.k), 0) as n_tokens from documents d left join tw on tw.doc_id = d.doc_id left join mw on mw.word = tw.word group by d.doc_id"""
-)
+@query(ENCODED_WORDS + " select d.doc_id, 2 + coalesce(sum(iw.k), 0) as n_tokens from documents d left join tw on tw.doc_id = d.doc_id left join iw on iw.word = tw.word group by d.doc_id")
 def bpe_token_count(spark, d):
-    """How many ids each document has after the first merge, which differs in its two characters."""
-    x, merges, vocab = first_vocabulary(spark, d)
+    """How many ids each document has."""
+    x, merges, vocab = trained_vocabulary(spark, d)
     return bpe.encode(x, merges, vocab).select("doc_id", F.size("input_ids").cast("long").alias("n_tokens"))
 
 
+@query(ENCODED_WORDS + " select d.doc_id, md5(concat_ws(',', '0', string_agg(iw.ids, ',' order by p), '2')) as ids_md5 from documents d left join tw on tw.doc_id = d.doc_id left join iw on iw.word = tw.word group by d.doc_id")
+def bpe_ids(spark, d):
+    """The ids of each document, as a digest."""
+    x, merges, vocab = trained_vocabulary(spark, d)
+    return bpe.encode(x, merges, vocab).select("doc_id", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
+
+
+#: Expected tokens that neither the special tokens hold nor any normalised function, in which they are found whole.
+@query(DUCK_MODULES + NORMAL + f", ex as (select unnest({list(bpe.EXPECTED)}) as token) select token from ex where token not in (select unnest({list(bpe.SPECIALS)})) and not exists (select 1 from nf where contains(nt, token))")
+def validate_special_tokens(spark, d):
+    """Expected tokens that the vocabulary of the normalised functions lacks."""
+    x = graphs.ir_functions_of(ir_modules(spark, d)).select(F.explode(F.array(X.normalize_ir(F.col("text")))).alias("text"))
+    return bpe.missing_special_tokens(bpe.vocabulary(x, [], atomic=bpe.ATOMIC))
+
+
 @query(r"select doc_id, array_to_string(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+'), '') as decoded from documents")
 def bpe_decode(spark, d):
     """Ids of a vocabulary of 10,000 merges read back as text: the text without its white space."""
