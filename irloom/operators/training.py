@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from irloom.functions.text import let
 from irloom.plans.session import ensure_checkpoint_dir
 
 
@@ -204,11 +205,13 @@ def clip_edges(edges: Column, longest: int = 4096) -> Column:
 
 def mlm_mask(ids: Column, row: Column, vocab: int, mask: int = 4, specials: int = 9, share: int = 15, seed: int = 42) -> Column:
     """input_ids and labels of masked-language training: 80 % mask, 10 % other ids, 10 % unchanged; -100 is no label."""
-    pick = lambda i: hash_number(seed, row, i) % 100
     how = lambda i: hash_number(seed, "how", row, i) % 10
-    chosen = lambda x, i: (pick(i) < share) & (x >= specials)
-    new = F.transform(ids, lambda x, i: F.when(chosen(x, i) & (how(i) < 8), F.lit(mask)).when(chosen(x, i) & (how(i) == 8), (hash_number(seed, "id", row, i) % vocab).cast("int")).otherwise(x))
-    return F.struct(new.alias("input_ids"), F.transform(ids, lambda x, i: F.when(chosen(x, i), x).otherwise(F.lit(-100))).alias("labels"))
+    other = lambda i: (hash_number(seed, "id", row, i) % vocab).cast("int")
+    cell = lambda new, label: F.struct(new.cast("int").alias("new"), label.cast("int").alias("label"))
+    masked = lambda x, i: cell(F.when(how(i) < 8, F.lit(mask)).when(how(i) == 8, other(i)).otherwise(x), x)
+    cells = F.transform(ids, lambda x, i: F.when((x >= specials) & (hash_number(seed, row, i) % 100 < share), masked(x, i)).otherwise(cell(x, F.lit(-100))))
+    part = lambda c, name: F.transform(c, lambda x: x[name])
+    return let(cells, lambda c: F.struct(part(c, "new").alias("input_ids"), part(c, "label").alias("labels")))  # one hash for each id, three more for those chosen
 
 
 def pad_batch(df: DataFrame, batch: str, ids: str, pad: int = 1, multiple: int = 8) -> DataFrame:

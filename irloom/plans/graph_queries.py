@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from irloom.functions import text as X
-from irloom.operators import bpe, graphs, training
+from irloom.operators import bpe, graphs, tables, training
 from irloom.plans.registry import query, scratch
 from irloom.sources import files
 from irloom.sources.fixture import DUCK_MODULES, ir_modules
@@ -238,6 +238,37 @@ def save_and_load_dataset(spark, d):
     return x.select("file_path", F.coalesce(F.size("cfg_graph"), F.lit(0)).cast("long").alias("n_cfg"), F.coalesce(F.size("input_ids"), F.lit(0)).cast("long").alias("n_ids"))
 
 
+@query(ROWS + " select file_path, function_name from rw where ddg is not null and n_cfg is not null")
+def filter_missing_graphs(spark, d):
+    return tables.filter_missing_graphs(dataset_rows(spark, d)).select(*graphs.KEY)
+
+
+@query(ROWS + " select file_path, function_name, left(ft, 200) as text from rw join ftext using (file_path, function_name) where n_cfg is null order by file_path, function_name limit 5")
+def show_missing(spark, d):
+    """The first functions without control-flow edges, by file and name, and how they begin."""
+    x = dataset_rows(spark, d).join(graphs.ir_functions_of(ir_modules(spark, d)).select(*graphs.KEY, "text"), graphs.KEY)
+    return tables.show_missing(x.withColumn("place", F.struct(*graphs.KEY)), "cfg", "place", 5, "text").select(*graphs.KEY, "text")
+
+
+@query(ROWS + """, m as (select ddg is null as d, n_cfg is null as c from rw)
+select count(*) as total, count(*) filter (d and not c) as missing_ddg_only, count(*) filter (c and not d) as missing_cfg_only, count(*) filter (c and d) as missing_both,
+  count(*) filter (not c and not d) as has_both, round(count(*) filter (c or d) * 100.0 / count(*), 4) as missing_percent from m""")
+def missing_graph_stats(spark, d):
+    return tables.missing_graph_stats(dataset_rows(spark, d))
+
+
+@query(
+    ROWS
+    + """ select file_path, true as success, case when ddg is null or n_cfg is null then concat('missing: ', concat_ws(', ', case when ddg is null then 'ddg_graph' end, case when n_cfg is null then 'cfg_graph' end)) end as error_message,
+  ddg is not null as has_ddg, n_cfg is not null as has_cfg, true as has_tokens, 1 + length(ids) - length(replace(ids, ',', '')) as token_count from rw"""
+)
+def results_summary(spark, d):
+    """What became of each function, written as JSON and read again."""
+    folder = scratch(spark, "results")
+    files.write_results(dataset_rows(spark, d), folder)
+    return spark.read.schema("file_path string, success boolean, error_message string, has_ddg boolean, has_cfg boolean, has_tokens boolean, token_count long").json(folder)
+
+
 @query(CFG + " select file_path, function_name, src, dst, succ_no, cast(case when prob = 0 then 0 else round_even(prob * 15, 0) + 1 end as int) as bucket from cfg")
 def edge_bucket(spark, d):
     return graphs.cfg_edges(ir_modules(spark, d)).select("file_path", "function_name", "src", "dst", "succ_no", training.edge_bucket(F.col("prob")).alias("bucket"))
@@ -328,6 +359,29 @@ def sort_labels(spark, d):
     return x.select("file_path", "function_name", F.array_join(labels, ",").alias("labels")).where("labels <> ''")
 
 
+#: Whole modules by the advanced rules: comments, declarations, labels and headers stay, string literals are masked.
+ADVANCED = (
+    DUCK_MODULES
+    + r""",
+ak as (select file_path, regexp_extract_all(regexp_replace(text, '\n!0 = .*$', ''),
+  '(?m)^[ \t]*(?:;|declare)[^\n]*$|^[^:%@!\n]+:[ \t]*$|%"[^"]*"|%[.\w]*[a-zA-Z_.][.\w]*|@"[^"]*"|@[.\w]+|!\d+|"[^"@%\n]*"|0x[0-9a-fA-F]+|\d+\.\d+|[A-Za-z_]\w*|\d+|[\s\S]') as t from ir_modules),
+av as (select *, list_filter(t, lambda x: x[1] = '%' and x[2] <> '"' and len(x) > 1) as vs, list_filter(t, lambda x: x[1] = '@' and len(x) > 1) as gs from ak)
+select file_path, array_to_string(list_transform(t, lambda x: case
+    when x[1] = '%' and x[2] <> '"' and len(x) > 1 then concat('%var', len(list_distinct(vs[1 : list_position(vs, x)])) - 1)
+    when x[1] = '@' and len(x) > 1 then concat('@func', len(list_distinct(gs[1 : list_position(gs, x)])) - 1)
+    when x[1] = '"' and x[-1] = '"' then '<STRING_CONST>'
+    when regexp_full_match(x, '\d+') then case when cast(x as bigint) <= 16 or x in ('24', '32', '48', '64', '128', '256', '73', '105') then x
+      when cast(x as bigint) < 100 then '<MED_INT>' when cast(x as bigint) < 1000 then '<LARGE_INT>' else '<HUGE_INT>' end
+    else x end), '') as normalized from av"""
+)
+
+
+@query(ADVANCED)
+def normalize_advanced(spark, d):
+    """Modules by the normaliser's advanced mode: quoted names, string literals, declarations and comments as they are in them."""
+    return ir_modules(spark, d).select("file_path", X.normalize_ir(F.col("text"), mode="advanced").alias("normalized"))
+
+
 @query(DUCK_MODULES + r"""
 select file_path, function_name, concat(sha1(function_name), '.ll') as hashed_name, sha256(function_name) as graph_name,
   concat(regexp_replace(file_path, '\.[^./]+$', ''), '_purified.ll') as purified, concat(regexp_replace(file_path, '\.[^./]+$', ''), '_instrumented.ll') as instrumented,

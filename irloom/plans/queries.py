@@ -109,17 +109,23 @@ r as (select file_path, list_transform(t, lambda x: case
    when x[1] = '@' and len(x) > 1 then concat('@func', len(list_distinct(fs[1 : list_position(fs, x)])) - 1)
    when regexp_matches(x, '^0x') then '<HEX_CONST>' when x = '3.55' then '3.<MED_INT>' when x = '3.5' then '<FLOAT_CONST>'
    when regexp_matches(x, '^\d+$') then case when cast(x as bigint) <= 16 or x in ('24', '32', '48', '64', '128', '256') then x when cast(x as bigint) < 100 then '<MED_INT>' when cast(x as bigint) < 1000 then '<LARGE_INT>' else '<HUGE_INT>' end
-   else x end) as o from n)
-select file_path, trim(array_to_string(o, ''), chr(10) || ' ') as normalized from r"""
+   else x end) as o from n)"""
 
 
-@query(NORMAL)
+@query(NORMAL + " select file_path, trim(array_to_string(o, ''), chr(10) || ' ') as normalized from r")
 def normalize_ir(spark, d):
     return ir_functions(spark, d).select("file_path", F.trim(F.regexp_replace(X.normalize_ir(F.col("text")), r"^\s+|\s+$", "")).alias("normalized"))
 
 
 
 
+@query(NORMAL + ", x as (select length(text) as a, length(normalized) as b from ir join (select file_path, trim(array_to_string(o, ''), chr(10) || ' ') as normalized from r) using (file_path)) select count(*) as rows, round(avg(a), 6) as original_mean, round(avg(b), 6) as normalized_mean, round(sum(b) / sum(a), 6) as ratio from x")
+def length_stats(spark, d):
+    """How much shorter functions are once they are normalised."""
+    normal = F.regexp_replace(X.normalize_ir(F.col("text")), r"^\s+|\s+$", "")
+    return tables.length_stats(ir_functions(spark, d).select("text", F.explode(F.array(normal)).alias("normalized")), "text", "normalized")
+
+
 @query(f"with t as (select len({PRETOKENS}) as n from documents) select count(*) as n, round(avg(n), 6) as mean, max(n) as most, min(n) as least, quantile_disc(n, 0.9) as p90, quantile_disc(n, 0.95) as p95, quantile_disc(n, 0.98) as p98, quantile_disc(n, 0.99) as p99 from t where n > 0")
 def token_count_stats(spark, d):
     return tables.token_statistics(docs(spark, d).select(F.size(X.pretokens(F.col("text"))).alias("n_tokens")), "n_tokens")
@@ -242,51 +248,12 @@ def triplets(spark, d):
     return training.triplets(training.positive_map(x, KEYS, "i"), x.count())
 
 
-IDS = "with t as (select doc_id, list_transform(range(0, 10 + n_chars % 400), lambda i: cast((doc_id * 7 + i * 13) % 500 as int)) as ids from documents)"
-
-
-def token_ids(spark, d):
-    """Rows of ids by a rule, so that both engines have the same."""
-    n = (10 + F.col("n_chars") % 400).cast("int")
-    return docs(spark, d).select("doc_id", F.transform(F.sequence(F.lit(0), n - 1), lambda i: ((F.col("doc_id") * 7 + i * 13) % 500).cast("int")).alias("ids"))
-
-
-@query(f"{IDS} select doc_id, array_to_string(case when len(ids) > 128 then list_append(ids[1 : 127], 2) else ids end, ',') as ids from t")
-def truncate_with_eos(spark, d):
-    return token_ids(spark, d).select("doc_id", F.array_join(training.truncate_with_eos(F.col("ids"), 128).cast("array<string>"), ",").alias("ids"))
-
-
-@query(f"{IDS}, b as (select doc_id, ids, cast(ceil(max(len(ids)) over (partition by doc_id // 16) / 8) * 8 as int) as padded_length from t) select doc_id, padded_length, len(ids) as n_real, md5(array_to_string(list_concat(ids, list_transform(range(0, padded_length - len(ids)), lambda i: 1)), ',')) as padded_md5 from b")
-def pad_batch(spark, d):
-    x = training.pad_batch(token_ids(spark, d).withColumn("batch_id", F.floor(F.col("doc_id") / 16)), "batch_id", "ids")
-    return x.select("doc_id", "padded_length", F.expr("cast(aggregate(attention_mask, 0, (a, b) -> a + b) as long)").alias("n_real"), F.md5(F.array_join(F.col("padded_ids").cast("array<string>"), ",")).alias("padded_md5"))
-
-
-@query(
-    f"""{IDS}, m as (select doc_id, ids, list_transform(range(0, len(ids)), lambda i: {NUMBER.format("concat('42|', doc_id, '|', i)")} % 100 < 15 and ids[i + 1] >= 9) as chosen,
-  list_transform(range(0, len(ids)), lambda i: {NUMBER.format("concat('42|how|', doc_id, '|', i)")} % 10) as how, list_transform(range(0, len(ids)), lambda i: {NUMBER.format("concat('42|id|', doc_id, '|', i)")} % 500) as other from t)
-select doc_id, len(list_filter(chosen, lambda x: x)) as n_masked,
-  md5(array_to_string(list_transform(range(1, len(ids) + 1), lambda i: case when chosen[i] then ids[i] else -100 end), ',')) as labels_md5,
-  md5(array_to_string(list_transform(range(1, len(ids) + 1), lambda i: case when chosen[i] and how[i] < 8 then 4 when chosen[i] and how[i] = 8 then other[i] else ids[i] end), ',')) as ids_md5 from m"""
-)
-def mlm_mask(spark, d):
-    x = token_ids(spark, d).select("doc_id", training.mlm_mask(F.col("ids"), F.col("doc_id"), 500).alias("m"))
-    md5 = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ","))
-    return x.select("doc_id", F.size(F.filter("m.labels", lambda v: v != -100)).cast("long").alias("n_masked"), md5("m.labels").alias("labels_md5"), md5("m.input_ids").alias("ids_md5"))
-
-
 @query("select a.label, count(*) as n, round(avg(list_sum(list_transform(range(1, 65), lambda k: a.embedding[k]::double * a.embedding[k]::double))), 6) as mean_square from embeddings a group by a.label")
 def embedding_norms(spark, d):
     v = F.col("embedding").cast("array<double>")
     return spark.read.parquet(f"{d}/embeddings.parquet").select("label", F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x).alias("q")).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("q"), 6).alias("mean_square"))
 
 
-@query(f"{DUCK}, m as (select func_id, func_id % 5 = 0 as d, func_id % 7 = 0 as c from ir) select count(*) as total, count(*) filter (d and not c) as missing_ddg_only, count(*) filter (c and not d) as missing_cfg_only, count(*) filter (c and d) as missing_both, count(*) filter (not c and not d) as has_both, round(count(*) filter (c or d) * 100.0 / count(*), 4) as missing_percent from m")
-def missing_graph_stats(spark, d):
-    x = ir_functions(spark, d).select(F.when(F.col("func_id") % 5 != 0, F.array(F.lit(1))).alias("ddg_graph"), F.when(F.col("func_id") % 7 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(1))).alias("cfg_graph"))
-    return tables.missing_graph_stats(x)
-
-
 @query("select d.doc_id, d.lang from documents d where d.doc_id in (select doc_id from labels where toxic = 0)")
 def keys_semi_join(spark, d):
     return docs(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").where("toxic = 0"), "doc_id", "left_semi").select("doc_id", "lang")

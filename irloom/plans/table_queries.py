@@ -75,29 +75,11 @@ def graph_rows(spark, d):
     return ir_functions(spark, d).select("func_id", "file_path", "text", some(5, F.array(*map(F.lit, (0, 1, 2, 3))), "array<array<int>>").alias("ddg_graph"), some(7, F.array(*map(F.lit, (0.0, 1.0, 2.0, 3.0, 0.5))), "array<array<float>>").alias("cfg_graph"), ids.alias("input_ids"))
 
 
-@query(GRAPHS + " select file_path from g where d is not null and c is not null")
-def filter_missing_graphs(spark, d):
-    return tables.filter_missing_graphs(graph_rows(spark, d)).select("file_path")
-
-
-@query(GRAPHS + " select file_path, substr(text, 1, 200) as text from g where coalesce(d, 0) = 0 and coalesce(c, 0) = 0 order by func_id limit 5")
-def show_missing(spark, d):
-    return tables.show_missing(graph_rows(spark, d), "both", "func_id", 5, "text").select("file_path", "text")
-
-
 @query(GRAPHS + " select func_id, k is not null as has_tokens from g where c is not null or d is not null or k is not null")
 def success_flag(spark, d):
     return graph_rows(spark, d).where(tables.success_flag()).select("func_id", F.col("input_ids").isNotNull().alias("has_tokens"))
 
 
-@query(GRAPHS + " select file_path, d is not null or c is not null or k is not null as success, case when k is null then 'no ids' end as error_message, d is not null as has_ddg, c is not null as has_cfg, k is not null as has_tokens, coalesce(k, 0) as token_count from g")
-def results_summary(spark, d):
-    """Written as JSON and read again."""
-    folder = scratch(spark, "results")
-    files.write_results(graph_rows(spark, d).withColumn("error_message", F.when(F.col("input_ids").isNull(), "no ids")), folder)
-    return spark.read.schema("file_path string, success boolean, error_message string, has_ddg boolean, has_cfg boolean, has_tokens boolean, token_count long").json(folder)
-
-
 @query(GRAPHS + ", b as (select func_id // 500 as batch_id, d is not null or c is not null or k is not null as ok, (func_id % 100) / 8 as s from g) select batch_id, count(*) as processed, count(*) filter (ok) as successful, count(*) filter (not ok) as failed, round(sum(s), 6) as total_seconds, round(avg(s), 6) as average_seconds from b group by batch_id")
 def processing_summary(spark, d):
     x = graph_rows(spark, d).select(training.batch_number("func_id", 500).alias("batch_id"), tables.success_flag().alias("success"), (F.col("func_id") % 100 / 8).alias("seconds"))
@@ -185,11 +167,6 @@ def special_token_validation(spark, d):
     return tables.special_token_validation(tables.special_token_counts(marked_rows(spark, d))).select("validation_passed", F.array_join("missing_tokens", " ").alias("missing_tokens"))
 
 
-@query("select count(*) as rows, round(avg(length(text)), 6) as original_mean, round(avg(length(replace(text, 'a', ''))), 6) as normalized_mean, round(sum(length(replace(text, 'a', ''))) / sum(length(text)), 6) as ratio from documents")
-def length_stats(spark, d):
-    return tables.length_stats(docs(spark, d).select("text", F.replace("text", F.lit("a"), F.lit("")).alias("short")), "text", "short")
-
-
 @query(DUCK + " select count(distinct function_name) as n_distinct from ir")
 def distinct_count(spark, d):
     return tables.distinct_count(ir_functions(spark, d), "function_name")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from irloom.functions import text as X
 from irloom.operators import bpe, graphs, training
 from irloom.operators.graphs import KEY
-from irloom.plans.graph_queries import NORMAL, ROWS, dataset_rows, encoder
-from irloom.plans.queries import GROUPS, IDS, KEYS, NEW, NUMBER, SPLIT, indexed, token_ids
+from irloom.plans.graph_queries import ENCODED, IDS_SQL, NORMAL, ROWS, dataset_rows, encoder
+from irloom.plans.queries import GROUPS, KEYS, NEW, NUMBER, SPLIT, indexed
 from irloom.plans.registry import docs, query, scratch
 from irloom.sources import files
 from irloom.sources.fixture import DUCK_MODULES, ir_modules
@@ -78,12 +78,59 @@ def index_lists(spark, d):
 # --- batches ------------------------------------------------------------------------------------------
 
 
-@query("with g as (select doc_id, doc_id // 16 as batch_id, n_chars % 7 as n from documents) select doc_id, max(n) over (partition by batch_id) as n_padded, (max(n) over (partition by batch_id) - n) * -4 + n * 6 as total from g")
+IDS = DUCK_MODULES + NORMAL + ENCODED + f""",
+t as (select file_path, function_name, row_number() over (order by file_path, function_name) - 1 as i, list_concat([0], {IDS_SQL}, [2]) as ids from ef)"""
+#: Edges of a function's data graph as numbers, and the function's place among all.
+EDGES = ROWS + ", g as (select file_path, function_name, row_number() over (order by file_path, function_name) - 1 as i, list_transform(string_split(ddg, ','), lambda e: cast(string_split(e, ':') as int[])) as edges from rw)"
+
+
+def token_ids(spark, d):
+    """KEY, ids: those of the normalised functions."""
+    x = graphs.ir_functions_of(ir_modules(spark, d)).select(*KEY, F.explode(F.array(X.normalize_ir(F.col("text")))).alias("text"))
+    return bpe.encode_with_offsets(x, encoder()).select(*KEY, F.col("input_ids").alias("ids"))
+
+
+def joined(c):
+    return F.array_join(c.cast("array<string>"), ",")
+
+
+@query(IDS + " select file_path, function_name, array_to_string(case when len(ids) > 128 then list_append(ids[1 : 127], 2) else ids end, ',') as ids from t")
+def truncate_with_eos(spark, d):
+    return token_ids(spark, d).select(*KEY, joined(training.truncate_with_eos(F.col("ids"), 128)).alias("ids"))
+
+
+@query(
+    IDS
+    + """, b as (select *, cast(ceil(max(len(ids)) over (partition by i // 16) / 8) * 8 as int) as padded_length from t)
+select file_path, function_name, padded_length, len(ids) as n_real, md5(array_to_string(list_concat(ids, list_transform(range(0, padded_length - len(ids)), lambda i: 1)), ',')) as padded_md5 from b"""
+)
+def pad_batch(spark, d):
+    rows = training.dense_row_index(token_ids(spark, d), KEY, "i").withColumn("batch_id", F.floor(F.col("i") / 16))
+    x = training.pad_batch(rows, "batch_id", "ids")
+    return x.select(*KEY, "padded_length", F.expr("cast(aggregate(attention_mask, 0, (a, b) -> a + b) as long)").alias("n_real"), F.md5(joined(F.col("padded_ids"))).alias("padded_md5"))
+
+
+@query(
+    f"""{IDS}, m as (select *, list_transform(range(0, len(ids)), lambda k: {NUMBER.format("concat('42|', i, '|', k)")} % 100 < 15 and ids[k + 1] >= 9) as chosen,
+  list_transform(range(0, len(ids)), lambda k: {NUMBER.format("concat('42|how|', i, '|', k)")} % 10) as how,
+  list_transform(range(0, len(ids)), lambda k: {NUMBER.format("concat('42|id|', i, '|', k)")} % {len(encoder().ids)}) as other from t)
+select file_path, function_name, len(list_filter(chosen, lambda x: x)) as n_masked,
+  md5(array_to_string(list_transform(range(1, len(ids) + 1), lambda i: case when chosen[i] then ids[i] else -100 end), ',')) as labels_md5,
+  md5(array_to_string(list_transform(range(1, len(ids) + 1), lambda i: case when chosen[i] and how[i] < 8 then 4 when chosen[i] and how[i] = 8 then other[i] else ids[i] end), ',')) as ids_md5 from m"""
+)
+def mlm_mask(spark, d):
+    rows = training.dense_row_index(token_ids(spark, d), KEY, "i")
+    x = rows.select(*KEY, F.explode(F.array(training.mlm_mask(F.col("ids"), F.col("i"), len(encoder().ids)))).alias("m"))  # exploded, so that it is computed once
+    return x.select(*KEY, F.size(F.filter("m.labels", lambda v: v != -100)).cast("long").alias("n_masked"), F.md5(joined(F.col("m.labels"))).alias("labels_md5"), F.md5(joined(F.col("m.input_ids"))).alias("ids_md5"))
+
+
+@query(EDGES + """, p as (select *, max(coalesce(len(edges), 0)) over (partition by i // 16) as n_padded from g)
+select file_path, function_name, n_padded, coalesce(list_sum(list_transform(edges, lambda e: list_sum(e))), 0)::bigint - 4 * (n_padded - coalesce(len(edges), 0)) as total from p""")
 def pad_graph(spark, d):
-    edge = F.array(*map(F.lit, (0, 1, 2, 3)))
-    x = docs(spark, d).select("doc_id", F.floor(F.col("doc_id") / 16).alias("batch_id"), F.array_repeat(edge, (F.col("n_chars") % 7).cast("int")).alias("graph"))
-    x = training.pad_graph(x, "batch_id", "graph")
-    return x.select("doc_id", F.size("padded_graph").cast("long").alias("n_padded"), F.aggregate(F.flatten("padded_graph"), F.lit(0), lambda s, v: s + v).cast("long").alias("total"))
+    """Data edges of 16 functions at a time, as many for each."""
+    rows = training.dense_row_index(dataset_rows(spark, d).select(*KEY, "ddg_graph"), KEY, "i")
+    x = training.pad_graph(rows.withColumn("batch_id", F.floor(F.col("i") / 16)), "batch_id", "ddg_graph")
+    return x.select(*KEY, F.size("padded_graph").cast("long").alias("n_padded"), F.aggregate(F.flatten("padded_graph"), F.lit(0).cast("long"), lambda s, v: s + v).alias("total"))
 
 
 #: Functions and their ids and data edges as lists, groups by name, and for each batch of 16 triplets its 48 rows.
@@ -124,19 +171,28 @@ def training_batches(spark, d):
     )
 
 
-@query("with e as (select doc_id, unnest(range(0, n_chars % 9)) * 700 as s from documents) select d.doc_id, count(e.s) filter (s + 30 < 4096) as n_edges, coalesce(sum(s) filter (s + 30 < 4096), 0) as starts from documents d left join e on e.doc_id = d.doc_id group by d.doc_id")
+@query(EDGES + """, c as (select *, list_filter(edges, lambda e: list_max(e) < 128) as kept from g)
+select file_path, function_name, coalesce(len(kept), 0) as n_edges, coalesce(list_sum(list_transform(kept, lambda e: e[1])), 0)::bigint as starts from c""")
 def clip_edges(spark, d):
-    edge = lambda i: F.struct((i * 700).alias("src_start"), (i * 700 + 10).alias("src_end"), (i * 700 + 20).alias("dst_start"), (i * 700 + 30).alias("dst_end"))
-    edges = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("n_chars") % 9), lambda i: i < F.col("n_chars") % 9), edge)
-    x = docs(spark, d).select("doc_id", training.clip_edges(edges).alias("e"))
-    return x.select("doc_id", F.size("e").cast("long").alias("n_edges"), F.aggregate("e", F.lit(0).cast("long"), lambda s, e: s + e["src_start"]).alias("starts"))
-
-
-@query(IDS + " select doc_id, array_to_string(list_concat([0], ids, [2], [0], list_reverse(ids), [2]), ',') as input_ids, array_to_string(list_concat(list_transform(range(0, len(ids) + 2), lambda i: 0), list_transform(range(0, len(ids) + 2), lambda i: 1)), ',') as segment_ids from t")
+    """Data edges within the first 128 ids of each function."""
+    edge = lambda e: F.struct(*[e[k].alias(n) for k, n in enumerate(("src_start", "src_end", "dst_start", "dst_end"))])
+    edges = F.transform(F.coalesce("ddg_graph", F.array().cast("array<array<int>>")), edge)
+    x = dataset_rows(spark, d).select(*KEY, training.clip_edges(edges, 128).alias("e"))
+    return x.select(*KEY, F.size("e").cast("long").alias("n_edges"), F.aggregate("e", F.lit(0).cast("long"), lambda s, e: s + e["src_start"]).alias("starts"))
+
+
+@query(
+    IDS
+    + """, p as (select a.file_path, a.function_name, a.ids[2:-2] as l, b.ids[2:-2] as r from t a join t b on b.i = a.i + 1)
+select file_path, function_name, array_to_string(list_concat([0], l, [2], [0], r, [2]), ',') as input_ids,
+  array_to_string(list_concat(list_transform(range(0, len(l) + 2), lambda i: 0), list_transform(range(0, len(r) + 2), lambda i: 1)), ',') as segment_ids from p"""
+)
 def pair_template(spark, d):
-    x = token_ids(spark, d).select("doc_id", bpe.pair_template(F.col("ids"), F.reverse("ids")).alias("p"))
-    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
-    return x.select("doc_id", text("p.input_ids").alias("input_ids"), text("p.segment_ids").alias("segment_ids"))
+    """Each function with the next one in their order."""
+    x = training.dense_row_index(token_ids(spark, d).select(*KEY, F.slice("ids", 2, F.size("ids") - 2).alias("ids")), KEY, "i")
+    pairs = x.join(x.select((F.col("i") - 1).alias("i"), F.col("ids").alias("next")), "i")
+    p = pairs.select(*KEY, bpe.pair_template(F.col("ids"), F.col("next")).alias("p"))
+    return p.select(*KEY, joined(F.col("p.input_ids")).alias("input_ids"), joined(F.col("p.segment_ids")).alias("segment_ids"))
 
 
 #: Anchors are vectors by number; the next one in the order of (label, number) is the positive, one of another label the negative.
