@@ -181,20 +181,6 @@ def pair_template(a: Column, b: Column, bos: int = 0, eos: int = 2) -> Column:
     return F.struct(F.concat(single_template(a, bos, eos), single_template(b, bos, eos)).alias("input_ids"), F.concat(F.array_repeat(F.lit(0), F.size(a) + 2), F.array_repeat(F.lit(1), F.size(b) + 2)).alias("segment_ids"))
 
 
-def encode(docs: DataFrame, merges: list[tuple[str, str]], vocab: DataFrame, key: str = "doc_id", text: str = "text", atomic: tuple[str, ...] = ()) -> DataFrame:
-    """key, input_ids with <s> and </s>: distinct words are encoded once and joined back by word and position.
-
-    Tokens named in atomic are matched whole before words are split.
-    """
-    tokens = docs.select(key, F.posexplode(pretokens(F.col(text), atomic)).alias("at", "word"))
-    distinct = tokens.select("word").distinct()
-    pieces = merged(distinct.select("word", F.when(F.col("word").isin(*atomic), F.array("word")).otherwise(F.split("word", "")).alias("symbols")), merges)
-    ids = pieces.select("word", F.posexplode("symbols").alias("p", "token")).join(vocab, "token", "left").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("p", F.coalesce("id", F.lit(SPECIALS.index("<unk>"))).alias("id")))).alias("x"))
-    per_doc = tokens.join(ids.select("word", F.col("x.id").alias("ids")), "word").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("x"))
-    body = F.flatten(F.col("x.ids"))
-    return docs.select(key).join(per_doc, key, "left").select(key, single_template(F.coalesce(body, F.array().cast("array<int>"))).alias("input_ids"))
-
-
 def plain_vocabulary(characters: str, merges: list[tuple[str, str]]) -> dict[str, int]:
     """Ids as vocabulary gives them, for given characters in place of those of a corpus."""
     return {t: i for i, t in enumerate(dict.fromkeys([*SPECIALS, *sorted(set(characters)), *(a + b for a, b in merges)]))}
@@ -203,16 +189,17 @@ def plain_vocabulary(characters: str, merges: list[tuple[str, str]]) -> dict[str
 class Encoder:
     """Merges and ids as plain tables, which are no larger than a vocabulary, to encode texts within tasks.
 
-    Atomic tokens that the vocabulary lacks take the ids behind it, in their order.
+    Atomic tokens that the vocabulary lacks take the ids behind it, in their order, or without
+    extend are <unk>.
     """
 
     #: Words whose tokens a task remembers.
     REMEMBERED = 200_000
 
-    def __init__(self, merges: list[tuple[str, str]], vocab: DataFrame | dict[str, int], atomic: tuple[str, ...] = ATOMIC):
+    def __init__(self, merges: list[tuple[str, str]], vocab: DataFrame | dict[str, int], atomic: tuple[str, ...] = ATOMIC, extend: bool = True):
         self.ids = dict(vocab) if isinstance(vocab, dict) else {r["token"]: r["id"] for r in vocab.collect()}  # one row for each token of the vocabulary
         self.ranks, self.atomic = {m: i for i, m in enumerate(merges)}, atomic
-        for t in atomic:
+        for t in atomic if extend else ():
             self.ids.setdefault(t, max(self.ids.values(), default=-1) + 1)
         self.known: dict[str, tuple[list[int], list[int]]] = {}
 
@@ -225,6 +212,19 @@ class Encoder:
             self.known[word] = [self.ids.get(p, SPECIALS.index("<unk>")) for p in parts], [len(p) for p in parts]
         return self.known[word]
 
+    def encode_ids(self, texts: Iterator[str | None]) -> Iterator[np.ndarray]:
+        """The ids of encode, without places; null counts as empty."""
+        import regex
+
+        words = regex.compile(PRETOKEN)
+        whole = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.atomic, key=len, reverse=True)) + ")") if self.atomic else None
+        for text in texts:
+            ids = [SPECIALS.index("<s>")]
+            for i, part in enumerate(whole.split(text or "") if whole else [text or ""]):
+                for word in [part] if i % 2 else words.findall(part):  # every other part is an atomic token
+                    ids += self.tokens_of(word)[0]
+            yield np.array([*ids, SPECIALS.index("</s>")], np.int32)
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids between <s> and </s>, and each token's first place and the place behind its last one, in code points; (0, 0) for these two."""
         import regex
@@ -263,6 +263,30 @@ def encode_with_offsets(df: DataFrame, encoder: Encoder, text: str = "text") ->
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *made]))
 
 
+#: Rows whose ids a task holds at once.
+ROWS_AT_ONCE = 256
+
+
+def encode(docs: DataFrame, merges: list[tuple[str, str]], vocab: DataFrame, key: str = "doc_id", text: str = "text", atomic: tuple[str, ...] = ()) -> DataFrame:
+    """key, input_ids with <s> and </s> for each row (null text: these two), without a shuffle.
+
+    The vocabulary, one row for each character, special token and merge, goes to every task, which
+    encodes each distinct word once as long as it remembers it.  Tokens named in atomic are matched
+    whole before words are split.
+    """
+    encoder = Encoder(merges, vocab, atomic, extend=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                ids = pa.array(list(encoder.encode_ids(part.column(1).to_pylist())), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[key, "input_ids"])
+
+    x = docs.select(key, text)
+    return x.mapInArrow(run, T.StructType([x.schema[key], T.StructField("input_ids", T.ArrayType(T.IntegerType()))]))
+
+
 def decode(encoded: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, decoded: the tokens of the ids, special ones left out."""
     x = encoded.select(key, F.posexplode("input_ids").alias("at", "id")).join(vocab, "id").where(~F.col("token").isin(*SPECIALS))
