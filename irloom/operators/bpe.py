@@ -83,6 +83,20 @@ def independent(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
 INDEXED = 1 << 21
 
 
+def joined(symbols: list[str], left: str, right: str) -> list[str]:
+    """Symbols with each pair of left and right, taken from the left, made one."""
+    out: list[str] = []
+    i, n = 0, len(symbols)
+    while i < n:
+        if symbols[i] == left and i + 1 < n and symbols[i + 1] == right:
+            out.append(left + right)
+            i += 2
+        else:
+            out.append(symbols[i])
+            i += 1
+    return out
+
+
 def learn_merges(words: list[list[str]], counts: list[int], n_merges: int, least: int) -> list[tuple[str, str]]:
     """The merges of distinct words (lists of symbols) in order, the most frequent pair first, ties by its text.
 
@@ -92,16 +106,10 @@ def learn_merges(words: list[list[str]], counts: list[int], n_merges: int, least
     total: Counter = Counter()
     holds: defaultdict = defaultdict(set)
 
-    def count(w: int, sign: int) -> set[tuple[str, str]]:
-        pairs = set(found := list(zip(words[w], words[w][1:], strict=False)))
-        for p in found:
-            total[p] += sign * counts[w]
-        for p in pairs:
-            (holds[p].add if sign > 0 else holds[p].discard)(w)
-        return pairs
-
-    for w in range(len(words)):
-        count(w, 1)
+    for w, symbols in enumerate(words):
+        for p in zip(symbols, symbols[1:], strict=False):
+            total[p] += counts[w]
+            holds[p].add(w)
     heap = [(-n, *p) for p, n in total.items() if n >= least]
     heapq.heapify(heap)
     out: list[tuple[str, str]] = []
@@ -111,16 +119,28 @@ def learn_merges(words: list[list[str]], counts: list[int], n_merges: int, least
         if total[pair] != -n:
             continue  # an older count
         out.append(pair)
-        changed = set()
-        for w in list(holds[pair]):
-            changed |= count(w, -1)
-            words[w] = apply_merges(words[w], {pair: 0})
-            changed |= count(w, 1)
+        changed: set[tuple[str, str]] = set()
+        for w in holds.pop(pair):
+            old, new = words[w], joined(words[w], left, right)
+            before, after = list(zip(old, old[1:], strict=False)), list(zip(new, new[1:], strict=False))
+            for p in before:
+                total[p] -= counts[w]
+            for p in after:
+                total[p] += counts[w]
+            had, has = set(before), set(after)
+            for p in had - has:
+                if p != pair:
+                    holds[p].discard(w)
+            for p in has - had:
+                holds[p].add(w)
+            words[w] = new
+            changed |= had | has
         for p in changed:
             if total[p] >= least:
                 heapq.heappush(heap, (-total[p], *p))
             elif not total[p]:
-                del total[p], holds[p]
+                del total[p]
+                holds.pop(p, None)
     return out
 
 
