@@ -6,9 +6,11 @@ import bisect
 import builtins
 import functools
 import hashlib
+import itertools
 import keyword
 import random
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -26,8 +28,10 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api.?key|credential|private.?key|access.?key|auth|bearer|signature", re.A | re.I)
 #: Others are of letters or of digits alone and are measured by the frequencies of characters too (see letter_compressor).
 MIXED = re.compile(r"[A-Za-z][^A-Za-z0-9]*[0-9]|[0-9][^A-Za-z0-9]*[A-Za-z]")
-#: Code points before a candidate that are its context, those that are its surroundings on either side, and those of it that are measured, from its start.
+#: Code points before a candidate that are its context, those that are its surroundings on either side, and those of it that are measured at a time.
 CONTEXT, AROUND, MEASURED = 48, 512, 1024
+#: Length and distance of the windows that longer candidates are searched with where MEASURED code points at a time compress.
+WINDOW, STEP = 32, 8
 #: Measures of a text that are remembered, for passages that repeat.
 REMEMBERED = 20_000
 #: A candidate is reported if it adds at least so many compressed bits per character to its surroundings.
@@ -42,9 +46,13 @@ def added_bits(before: str, part: str, after: str, compressor) -> float:
     return 8 * (len(compressor.compress(base + part.encode())) - len(compressor.compress(base))) / len(part)
 
 
-def surroundings(text: str, start: int, end: int) -> tuple[str, str, str]:
-    """What text[start:end] is measured by: before, its first MEASURED characters, which stand for the rest, and after."""
-    return text[max(0, start - AROUND) : start], text[start : min(end, start + MEASURED)], text[end : end + AROUND]
+def surroundings(text: str, start: int, end: int, last: int | None = None) -> tuple[str, str, str]:
+    """What text[start:end] is measured by: before, all of it, and after it or, of a part, after its candidate, which ends at last.
+
+    So what stands twice in a candidate is new where it stands first.
+    """
+    last = last or end
+    return text[max(0, start - AROUND) : start], text[start:end], text[last : last + AROUND]
 
 
 def marginal_bits(text: str, start: int, end: int, compressor) -> float:
@@ -107,16 +115,46 @@ def outside(start: int, end: int, base: list[tuple[int, int, str]], first: int =
     return [(a, b) for a, b in [*out, (start, end)] if b - a >= LEAST]
 
 
+def novel_parts(start: int, end: int, is_novel: Callable[[int, int, int], bool]) -> list[tuple[int, int, str]]:
+    """The parts of a candidate of more than MEASURED characters that do not compress after what stands before them, joined where they meet.
+
+    Every character is measured: MEASURED at a time and, where those compress, by overlapping
+    windows, so that a short secret counts wherever it stands and is not outweighed by what is dull.
+    """
+    found: list[tuple[int, int, str]] = []
+    for size, step in ((MEASURED, MEASURED), (WINDOW, STEP)):
+        wide, k = found, 0
+        found = list(wide)
+        for a in itertools.chain(range(start, end - size, step), [end - size]):
+            while k < len(wide) and wide[k][1] < a + size:
+                k += 1
+            if (k == len(wide) or a < wide[k][0]) and is_novel(a, a + size, end):
+                found.append((a, a + size, "novel"))
+        found = union(sorted(found))
+    return found
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], compressor, letters) -> list[tuple[int, int, str]]:
     """Candidates that start in a sensitive context, or their parts outside the base spans, that do not compress.
 
+    Of more than MEASURED characters those parts are reported that do not compress (novel_parts).
     The end of a run of candidate characters is looked for once, however many sensitive words stand
-    in it, base spans are found by their ends, and what is measured is bounded; so the time grows
-    with the text.
+    in it, base spans are found by their ends, a long part is searched from its first start only,
+    and others are bounded; so the time grows with the text.
     """
     out: list[tuple[int, int, str]] = []
-    base, run_end, known = union(base), 0, {}
+    parts: list[tuple[int, int, str]] = []
+    base, run_end, known, searched = union(base), 0, {}, set()
     ends = [b for _, b, _ in base]
+
+    def is_novel(start: int, end: int, last: int) -> bool:
+        question = surroundings(text, start, end, last)
+        if question not in known:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[question] = added_bits(*question, compressor if MIXED.search(question[1]) else letters) >= NOVEL_BITS
+        return known[question]
+
     for word in SENSITIVE.finditer(text):
         at = word.end()
         # the last start in the context has LEAST characters before limit
@@ -127,16 +165,13 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], compressor, letters
                 run_end = run_end if whole <= run_end else CANDIDATE.match(text, m.start()).end()
                 whole = run_end
             for start, end in outside(m.start(), whole, base, bisect.bisect_right(ends, m.start())):
-                if out and start < out[-1][1]:
-                    continue
-                question = surroundings(text, start, end)
-                if question not in known:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[question] = added_bits(*question, compressor if MIXED.search(question[1]) else letters) >= NOVEL_BITS
-                if known[question]:
+                if end - start > MEASURED:
+                    if end not in searched:
+                        searched.add(end)
+                        parts += novel_parts(start, end, is_novel)
+                elif (not out or start >= out[-1][1]) and is_novel(start, end, end):
                     out.append((start, end, "novel"))
-    return out
+    return union(sorted(out + parts))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -65,6 +65,35 @@ def test_time_of_a_scan_grows_with_the_text():
         assert time.time() - began < seconds
 
 
+def test_secrets_anywhere_in_a_long_candidate(spark):
+    """Every part of a candidate is measured: a secret counts wherever it stands, also the second time, and what compresses is not reported with it."""
+    rng = random.Random(12)
+    draw = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+    runs = ["config_settings/localhost_" * 400, "z" * 9000, "".join(rng.choice(["value", "number", "string", "username"]) + rng.choice("._/") for _ in range(1200))]
+    texts, where = [], []
+    for run in runs:
+        for at in (0, 1000, 1024, 2000, 5003, 6000):
+            for n in (40, 600, 1500):
+                secret = draw(n)
+                texts.append("the bearer is " + run[:at] + secret + run[at:6000] + " for the archive")
+                where.append((14 + at, 14 + at + n))
+    secret = draw(64)
+    texts += ["the bearer is " + "z" * 2000 + (secret + "y" * 70) * 3 + " x", "the bearer is " + "z" * 1100 + "token" + secret, "the bearer is " + "z" * 5000 + " x", "passphrase " + "z" * 1500 + "=" + "0" * 30 + secret + "/" * 1500]
+    where += [(2014, 2078), (1119, 1183), (0, 0), (1542, 1606)]
+    got = {r.doc_id: r for r in secrets.scan(table(spark, list(enumerate(texts)))).collect()}
+    for i, (start, end) in enumerate(where):
+        spans = [(int(a), int(b)) for kind, a, b in (s.split(":") for s in got[i].spans.split(",") if s) if kind == "novel"]
+        assert len(spans) == got[i].n_novel and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+        # a window at either edge may hold too little of the secret
+        assert sum(max(0, min(b, end) - max(a, start)) for a, b in spans) >= end - start - 16
+        assert sum(b - a for a, b in spans) <= end - start + 64 + (1024 if end - start > 1000 else 0)
+    compressor, letters = secrets.new_compressor(), secrets.letter_compressor()
+    text = "the bearer is " + "".join("".join(rng.choices("abcdefgh", k=3)) + "token" for _ in range(25_000))
+    began = time.time()
+    secrets.novel_spans(text, [], compressor, letters)
+    assert time.time() - began < 20
+
+
 def test_very_long_texts(spark):
     """Texts of some megabytes, beside short ones, are handled whole."""
     rng = random.Random(3)
